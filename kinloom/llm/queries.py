@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import langid, mixing
+from kinloom.llm import avi, langid, mixing, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_columns(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -19,5 +27,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op8_language_id, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
