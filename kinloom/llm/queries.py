@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import avi, langid, mixing, simhash, warc
+from kinloom.llm import avi, crf, langid, mixing, simhash, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -31,5 +35,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
