@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import avi, crf, langid, mixing, simhash, warc
+from kinloom.llm import avi, crf, langid, mixing, packing, simhash, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary that the contract of op3 names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -19,6 +26,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -35,5 +46,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op3_best_fit_packing, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
