@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import avi, crf, langid, mixing, packing, simhash, warc
+from kinloom.llm import avi, crf, langid, mixing, packing, simhash, vectors, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +46,9 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op3_best_fit_packing, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op3_best_fit_packing, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
