@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import avi, crf, langid, mixing, packing, simhash, suffix, vectors, warc
+from kinloom.llm import avi, crf, debruijn, langid, mixing, packing, simhash, suffix, vectors, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(documents(spark, sf_dir))
 
 
+def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.dedup(documents(spark, sf_dir))
+
+
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -54,5 +58,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_debruijn_dedup, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}

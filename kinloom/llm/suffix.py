@@ -46,32 +46,40 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor of a text: its position, its hash, and the first and last window (by start) that are assigned to it."""
-    if len(raw) < span:
-        return (np.zeros(0, np.int64),) * 4
-    data, width, found = np.frombuffer(raw, np.uint8), span - GRAM + 1, []
-    for i in range(0, len(raw) - span + 1, _BLOCK - span):
-        h = _grams(data[i : i + _BLOCK])
-        low = np.uint64(_BLOCK - 1)
-        key = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # leftmost of the least
-        least, n = key, 1
+def minimizers(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leftmost least of every width consecutive hashes: its position, and the first and last window that have it.
+
+    Hashes are compared by their upper 44 bits, the rest is a position; long arrays go in overlapping blocks.
+    """
+    found, low = [], np.uint64(_BLOCK - 1)
+    for i in range(0, len(h) - width + 1, _BLOCK - width):
+        part = h[i : i + _BLOCK]
+        least, n = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
         while n * 2 <= width:
             least = np.minimum(least[:-n], least[n:])
             n *= 2
         if n < width:
-            rest = width - n
-            least = np.minimum(least[:-rest], least[rest:])
-        at = (least & low).astype(np.int64)[: _BLOCK - span]
+            least = np.minimum(least[: n - width], least[width - n :])
+        at = (least & low).astype(np.int64)[: _BLOCK - width]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        last = np.r_[first[1:], len(at)] - 1
-        found.append((at[first] + i, h[at[first]].view(np.int64), first + i, last + i))
-    pos, h, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((at[first] + i, first + i, np.r_[first[1:], len(at)] - 1 + i))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    pos, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
     if len(found) > 1:  # one anchor at either side of a block's end
         begins = np.r_[True, pos[1:] != pos[:-1]]
         last = last[np.r_[np.flatnonzero(begins)[1:], len(pos)] - 1]
-        pos, h, first = pos[begins], h[begins], first[begins]
-    return pos, h, first, last
+        pos, first = pos[begins], first[begins]
+    return pos, first, last
+
+
+def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each anchor of a text: its position, its hash, and the first and last window (by start) that are assigned to it."""
+    if len(raw) < span:
+        return (np.zeros(0, np.int64),) * 4
+    h = _grams(np.frombuffer(raw, np.uint8))
+    pos, first, last = minimizers(h, span - GRAM + 1)
+    return pos, h[pos].view(np.int64), first, last
 
 
 def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
