@@ -60,6 +60,15 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(n, KINDS[k]) for n, k in (x.split() for x in schema.split(","))])
 
 
+#: Rows of a table of ids that are broadcast, a few bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """ids, a staged table of narrow rows, marked for broadcast if it has BROADCAST_ROWS rows or fewer."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import WORD, partitions, stage
+from kinloom.llm.base import WORD, bounded, stage
 
 
 def targets(sizes: list[tuple[str | None, int]], *, weights=(1, 2, 3), max_epochs: float = 3) -> dict[str | None, float]:
@@ -85,14 +85,12 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The rows of docs as often as the mix takes them.
 
     Whole documents only: where the mix takes part of a document, the document comes once more if that part is half of
-    it or more.  Rows without words are not taken.
+    it or more.  Rows that are equal in id, text and source come equally often, the mean of what the mix takes of
+    them.  Rows without words are not taken.
     """
-    key = "__kinloom_row"
-    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col, source_col).alias("h")))
+    key, times = "__kinloom_row", "__kinloom_times"
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col, source_col))
     taken = mix(keyed, id_col=key, text_col=text_col, source_col=source_col, **options)
-    taken = taken.select(F.col("doc_id").alias("__kinloom_taken"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__kinloom_times")).filter("__kinloom_times > 0")
-    # Rows that are equal in id, text and source share a key: each is dealt one of the numbers of the key.
-    taken = taken.withColumn("__kinloom_nth", F.row_number().over(Window.partitionBy("__kinloom_taken").orderBy("__kinloom_times")))
-    keyed = keyed.withColumn("__kinloom_n", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
-    joined = keyed.join(taken, (F.col(key) == F.col("__kinloom_taken")) & (F.col("__kinloom_n") == F.col("__kinloom_nth")))
-    return joined.withColumn("__kinloom_copy", F.explode(F.sequence(F.lit(1), F.col("__kinloom_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = taken.groupBy(F.col("doc_id").alias(key)).agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(times)).filter(F.col(times) > 0)
+    joined = keyed.join(bounded(stage(taken, "mix-times")), key)
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, map_arrow, partitions, stage
+from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, stage
 from kinloom.llm.components import components
 
 BITS, DISTANCE, BLOCKS, SHINGLE, SEED = 64, 3, 6, 3, 42
@@ -149,6 +149,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's smallest; of rows with equal ids, every one.  Rows without an id stay."""
-    kept = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col).filter("doc_id = component_id")
-    kept = kept.select(F.col("doc_id").alias("__kinloom_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kinloom_kept"), "left").filter(F.col("__kinloom_kept").isNotNull() | F.col(id_col).isNull()).drop("__kinloom_kept")
+    gone = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col).filter("doc_id <> component_id")
+    gone = stage(gone.select(F.col("doc_id").alias("__kinloom_gone")).distinct(), "near-copies")
+    return docs.join(bounded(gone), F.col(id_col) == F.col("__kinloom_gone"), "left_anti")

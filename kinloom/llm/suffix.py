@@ -25,13 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, map_arrow, partitions, stage
+from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, stage
 from kinloom.llm.vectors import grouped
 
 SPAN, GRAM = 200, 32
 STRETCHES = 2048  # different stretches of one anchor that one shard holds
 SHARD_BYTES = 3 << 20
-BROADCAST_ROWS = 1_000_000  # ids of affected documents that are broadcast, 8 bytes each; more are joined by a shuffle
 _BLOCK = 1 << 20
 
 
@@ -206,7 +205,7 @@ def _occurrences(keyed: DataFrame, span: int) -> DataFrame:
 
 def _texts(keyed: DataFrame, rids: DataFrame) -> DataFrame:
     """rid and text of the documents in rids; a text that several rows share comes once for each."""
-    return keyed.join(F.broadcast(rids) if rids.count() <= BROADCAST_ROWS else rids, "rid", "left_semi")
+    return keyed.join(bounded(rids), "rid", "left_semi")
 
 
 def _shards(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -344,7 +343,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
 def _split(keyed: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with marks, and those without; only the texts of the former are shuffled where the marks' ids can be broadcast."""
     rids = marked.select("rid")
-    ids = F.broadcast(rids) if rids.count() <= BROADCAST_ROWS else rids
+    ids = bounded(rids)
     return keyed.join(ids, "rid", "left_semi").join(marked, "rid"), keyed.join(ids, "rid", "left_anti")
 
 
@@ -371,7 +370,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = marked.select(F.col("rid").alias("__kinloom_rid"), F.col("marks").alias("__kinloom_marks"))
     named = docs.withColumn("__kinloom_rid", rid).withColumnRenamed(text_col, "__kinloom_text")
     rids = known.select("__kinloom_rid")
-    ids = F.broadcast(rids) if rids.count() <= BROADCAST_ROWS else rids
+    ids = bounded(rids)
     rest = named.join(ids, "__kinloom_rid", "left_anti").drop("__kinloom_rid")
     touched = named.join(ids, "__kinloom_rid", "left_semi").join(known, "__kinloom_rid").drop("__kinloom_rid")
     cut = touched.mapInArrow(rows, rest.schema)
