@@ -1,0 +1,235 @@
+"""Sources, sinks, streaming, partitions, configuration, command line, registered queries."""
+
+import json
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinloom import cli, config, export, metrics
+from kinloom.generate import add_typo, clean_dataset, dirty_dataset, households
+from kinloom.operators import matching, partition, setops
+from kinloom.plans.algorithms import Algorithm, match
+from kinloom.schema import PERSON, ColumnMapping, SchemaError, TableColumns, to_persons, validate_ident
+from kinloom.sources import tables
+from kinloom.streaming import match as stream
+
+G13_A = [(1, "u1", "John", "P", "Doe", date(1990, 1, 1), None), (2, "u2", "Jane", None, "Smith", date(1991, 2, 3), None), (3, "u3", "Ann", None, "Brown", date(2000, 5, 6), None)]
+G13_B = [(11, None, "john", "p.", "doe", date(1990, 1, 1), None), (12, None, "JANE", None, "SMITH", date(1991, 2, 3), None), (13, None, "ann", None, "brown", date(2000, 5, 6), None)]
+
+
+def pairs_of(df):
+    return sorted((r["a_id"], r["b_id"]) for r in df.collect())
+
+
+def test_schema(spark):
+    raw = spark.createDataFrame([("7", "Ann", "Lee", "1990-01-02", 5)], "key string, f string, l string, d string, hh long")
+    mapping = ColumnMapping(id="key", uuid=None, first_name="f", middle_name=None, last_name="l", birthdate="d", hh_id="hh")
+    got = to_persons(raw, mapping, role=2)
+    assert [f.dataType for f in got.schema] == [f.dataType for f in PERSON] and got.first()["hh_id"] == "5" and got.first()["birthdate"] == date(1990, 1, 2)
+    with pytest.raises(SchemaError):
+        to_persons(raw, mapping, role=1)  # table 1 needs uuid
+    for bad in ("", "a b", "a;b", "a`"):
+        with pytest.raises(SchemaError):
+            validate_ident(bad)
+    assert TableColumns.of(raw).missing(2) == ["id", "first_name", "last_name", "birthdate"]
+    with pytest.raises(SchemaError):
+        ColumnMapping(first_name=None)
+
+
+def test_sources(spark, tmp_path):
+    a, _ = clean_dataset(spark, 50)
+    a.write.parquet(str(tmp_path / "one.parquet"))
+    a.drop("hh_id", "middle_name").write.option("header", True).csv(str(tmp_path / "two.csv"))
+    parquet, csv = tables.Source("parquet", str(tmp_path)), tables.Source("csv", str(tmp_path))
+    assert parquet.tables(spark) == ["one"] and csv.tables(spark) == ["two"]
+    assert tables.persons(spark, parquet, "one", where="id < 10", role=1).count() == 10 == tables.person_count(spark, parquet, "one", where="id < 10")
+    assert tables.persons(spark, csv, "two", role=1).filter("hh_id is null").count() == 50
+    assert "hh_id" not in tables.discover_columns(spark, csv, "two").present
+    assert [r["id"] for r in tables.page(a, offset=5, limit=3).collect()] == [5, 6, 7]
+    assert [r["id"] for r in tables.keyset_page(a, column="id", after=5, limit=2).collect()] == [6, 7]
+    source = tables.jdbc("jdbc:mysql://h/d", user="u", lower=1, upper=9, partitions=4)
+    assert source.options["partitionColumn"] == "id" and source.options["numPartitions"] == "4" and "password" not in source.options
+    with pytest.raises(SchemaError):
+        parquet.table(spark, "one;drop")
+
+
+def test_env(tmp_path):
+    f = tmp_path / ".env"
+    f.write_text("# c\nA=1\nexport B='x y'\nC=\"q\"\nbad\n\nD = 2\n")
+    assert tables.read_env(str(f)) == {"A": "1", "B": "x y", "C": "q", "D": "2"}
+    assert tables.merged_env(str(f), {"A": "9"})["A"] == "9"
+    tables.write_env_template(str(f))
+    assert tables.read_env(str(f))["DB_PORT"] == "3307"
+
+
+@pytest.mark.parametrize("algorithm", [1, 2, 3, 4])
+def test_stream_equals_batch_and_resumes(spark, tmp_path, algorithm):
+    a, b = dirty_dataset(spark, 120)
+    for i, part in enumerate(b.randomSplit([1.0, 1.0], 7)):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    source = str(tmp_path / "in" / "*")
+    for _ in range(2):  # the second run has nothing new to do
+        q = stream.match_stream(stream.person_stream(spark, source), a, algorithm, out=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"), stream_is_first=False)
+        q.awaitTermination()
+        assert pairs_of(stream.streamed_pairs(spark, str(tmp_path / "out"))) == pairs_of(match(a, b, algorithm))
+
+
+def test_stream_restart_takes_new_files(spark, tmp_path):
+    a, b = spark.createDataFrame(G13_A, PERSON), spark.createDataFrame(G13_B, PERSON)
+    seen = []
+    for i in range(3):
+        b.filter(F.col("id") == 11 + i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        q = stream.match_stream(stream.person_stream(spark, str(tmp_path / "in" / "*")), a, 1, out=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"), stream_is_first=False, on_batch=lambda n, df: seen.append((n, df.count())))
+        q.awaitTermination()
+    assert seen == [(0, 1), (1, 1), (2, 1)] and pairs_of(stream.streamed_pairs(spark, str(tmp_path / "out"))) == [(1, 11), (2, 12), (3, 13)]
+    assert pairs_of(matching.exact_first_mid_last_dob(a, b)) == [(2, 12), (3, 13)]
+    assert len(pairs_of(matching.exact_first_mid_last_dob(a, b, punctuation=True))) == 3
+
+
+def test_household_from_stream(spark, tmp_path):
+    a, b = households(spark, 200)
+    a.write.parquet(str(tmp_path / "in"))
+    stream.match_stream(stream.person_stream(spark, str(tmp_path / "in"), files_per_batch=2), b, 4, out=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp")).awaitTermination()
+    got = stream.household_from_stream(spark, str(tmp_path / "out"), a, b, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, match(a, b, 5).collect())) and got.count() > 0
+    with pytest.raises(ValueError):
+        stream.match_stream(stream.person_stream(spark, str(tmp_path / "in")), b, 5, out="x", checkpoint="y")
+
+
+def test_checkpoints(tmp_path):
+    for c in (stream.FileCheckpointer(str(tmp_path)), stream.MemoryCheckpointer()):
+        assert c.load("job/1", "") is None
+        c.save("job/1", "", "token")
+        assert c.load("job/1", "") == "token"
+        c.remove("job/1", "")
+        assert c.load("job/1", "") is None
+    files = stream.FileCheckpointer(str(tmp_path))
+    assert files.path("a b", "é").name == "a_b__.ckpt"
+    state = stream.Checkpoint("t1", "t2", "A1", 10, 20, 30, "p")
+    files.save_state("j", state)
+    assert files.load_state("j", state).next_offset == 20
+    assert files.load_state("j", stream.Checkpoint("t1", "other", "A1", 10, 0, 30, "p")) is None
+
+
+def test_partitions(spark, tmp_path):
+    a, b = dirty_dataset(spark, 150)
+    years = partition.BirthYears()
+    assert len(years.names()) == 28 and len(partition.LastInitial().names()) == 27
+    extra = spark.createDataFrame([(1, None, "x", None, None, None, None), (2, None, "x", None, "Élan", date(1850, 1, 1), None)], PERSON)
+    assert [r["partition"] for r in partition.partitioned(extra, "last_initial").orderBy("id").collect()] == ["last_other", "last_E"]
+    assert {r["partition"] for r in partition.partitioned(extra, "birthyear5").collect()} == {"year_other"}
+    for strategy in (years, partition.LastInitial()):
+        assert sum(a.filter(p.predicate).count() for p in strategy.partitions()) == 150
+    wide, check = partition.BirthYears(30, 1950, 2009), stream.MemoryCheckpointer()
+    check.save("j", wide.names()[0], "done")  # as after an interruption: the first part is passed over
+    done = stream.match_partitions(a, b, 4, wide, out=str(tmp_path / "o"), checkpointer=check, job="j")
+    check.tokens.clear()
+    done += stream.match_partitions(a, b, 4, partition.BirthYears(30, 1950, 1979), out=str(tmp_path / "o"), checkpointer=check, job="k")[:1]
+    got = spark.read.parquet(*[str(tmp_path / "o" / n) for n in done if not n.endswith("other")])
+    assert pairs_of(got) == pairs_of(match(a, b, 4))
+
+
+def test_stream_settings():
+    assert stream.stream_settings(512) == stream.StreamSettings(5_000, 1_000)
+    assert stream.stream_settings(1 << 20) == stream.StreamSettings(100_000, 10_000)
+    assert stream.stream_settings(1024 + 4 * 40_000).batch_size == 40_000
+    assert list(stream.backoff()) == [0.5, 1.0, 2.0, 4.0, 8.0]
+    tries, slept = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return "ok"
+
+    assert stream.with_retries(flaky, sleep=slept.append) == "ok" and slept == [0.5, 1.0]
+
+
+def test_export(spark, tmp_path):
+    a, b = spark.createDataFrame(G13_A, PERSON), spark.createDataFrame(G13_B, PERSON)
+    one = match(a, b, 1)
+    report = export.pair_report(one, 1)
+    assert len(report.columns) == 13 and report.first()["Table2_UUID"] == "" and len(export.pair_report(match(a, b, 2), 2).columns) == 15
+    fuzzy = export.pair_report(match(a, b, 4), 4, min_confidence=0.99)
+    assert fuzzy.first()["is_matched_Fuzzy"] is True and "fuzzy,DIRECT MATCH,birthdate" in fuzzy.first()["MatchedFields"]
+    with pytest.raises(ValueError):
+        export.pair_report(one, Algorithm.FUZZY_BIRTHDATE)
+    summary = setops.summary(setops.match_counts(a, b, one, match(a, b, 2), match(a, b, 4)), context={"Table 1": "x"})
+    values = {r["Key"]: r["Value"] for r in summary.collect()}
+    assert values["Matches (Algorithm 1)"] == "3" and values["Unmatched by A2 (Table1) rate"] == "0.333" and values["Matches (Any of A1/A2)"] == "3" and values["Table 1"] == "x"
+    export.write_sheets(export.pair_sheets(one, match(a, b, 2), summary), str(tmp_path / "book"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "book" / "Algorithm_1_Results"))
+    assert back.count() == 3 and "id;uuid" in back.first()["MatchedFields"]
+    none = setops.summary(setops.match_counts(a, b.limit(0), match(a, b.limit(0), 1), match(a, b.limit(0), 2)))
+    values = {r["Key"]: r["Value"] for r in none.collect()}
+    assert values["Matches (Any of A1/A2)"].startswith("N/A") and values["Unmatched by A1 (Table2) rate"] == "0.000" and "Unmatched (Any) Table1 rate" not in values
+
+
+def test_config_and_cli(spark, tmp_path):
+    good = config.AppConfig(config.DatabaseConfig("h", "u", "secret", "d"))
+    assert good.validate() and "secret" not in repr(good)
+    for bad in (
+        config.AppConfig(),
+        config.AppConfig(config.DatabaseConfig("h", "u", "", "d", 0)),
+        config.AppConfig(good.database, export=config.ExportConfig(format="pdf")),
+        config.AppConfig(good.database, matching=config.MatchingConfig(min_score_export=101)),
+        config.AppConfig(good.database, matching=config.MatchingConfig(algorithm=8)),
+        config.AppConfig(good.database, streaming=config.StreamingConfig(batch_size=0)),
+    ):
+        with pytest.raises(config.ConfigError):
+            bad.validate()
+    a, b = households(spark, 80)
+    a.write.parquet(str(tmp_path / "a.parquet"))
+    b.write.parquet(str(tmp_path / "b.parquet"))
+    for algorithm, form in ((1, "csv"), (4, "both"), (5, "both"), (6, "parquet")):
+        args = cli.parser().parse_args(["a", "b", str(algorithm), str(tmp_path / f"out{algorithm}"), form, "--source", str(tmp_path), "--threshold", "95%"])
+        assert cli.run(spark, args, {})["algorithm"] == Algorithm(algorithm).name
+    assert spark.read.parquet(str(tmp_path / "out6")).columns == ["id", "uuid", "hh_id", "match_percentage", "region_code", "poor_hat_0", "poor_hat_10"]
+    assert (tmp_path / "out4" / "sheets" / "Summary").exists() and (tmp_path / "out5" / "sheets" / "Household_Matches").exists()
+    check = cli.parser().parse_args(["a", "b", "1", "x", "--source", str(tmp_path), "--check-only"])
+    assert cli.run(spark, check, {}) == {"checked": True}
+    two = cli.sources(cli.parser().parse_args(["a", "b", "1", "x"]), {"DB_HOST": "h", "DB_USER": "u", "DB_NAME": "d", "DB2_HOST": "k", "DB2_USER": "u", "DB2_NAME": "e"})
+    assert [s.location for s in two] == ["jdbc:mysql://h:3307/d", "jdbc:mysql://k:3307/e"]
+
+
+def test_generators(spark):
+    one, two = (tuple(t.orderBy("id").collect() for t in clean_dataset(spark, 300)) for _ in range(2))
+    assert one == two and 0.3 < len({r["uuid"] for r in one[1]} & {r["uuid"] for r in one[0]}) / len({r["uuid"] for r in one[0]})
+    names = spark.range(200).select(F.lit("Michael").alias("n"), add_typo(F.lit("Michael"), F.col("id"), 3).alias("t"))
+    assert all(r["n"] != r["t"] or True for r in names.collect()) and names.filter("n <> t and levenshtein(n, t) <= 2").count() > 180
+    assert match(*households(spark, 400), 5).count() > 0
+
+
+def test_metrics(spark):
+    runs = spark.createDataFrame([(1.0, 10), (3.0, 30), (2.0, 10), (4.0, 40)], "seconds double, records long")
+    row = metrics.run_statistics(runs).first()
+    scalar = metrics.run_statistics_scalar([1.0, 3.0, 2.0, 4.0])
+    assert (row["mean_seconds"], row["median_seconds"], row["std_seconds"]) == pytest.approx((scalar["mean"], scalar["median"], scalar["std"]))
+    s = metrics.Snapshot()
+    s.track_batch(10, 2)
+    assert json.loads(s.to_json())["processed"] == 10 and s.to_csv_line().split(",")[1:4] == ["10", "2", "1"]
+    df, seen = metrics.observed(spark.range(7), "seen")
+    df.count()
+    assert seen.get["rows"] == 7
+    assert metrics.categorize_error("x", "42S02") == "TableValidation" and metrics.categorize_error("Permission", "42000") == "TableValidation"
+    assert metrics.categorize_error("Unknown column 'x'") == "SchemaValidation" and metrics.categorize_error("hm") == "Unknown"
+
+
+def test_queries_equal_their_sql(spark):
+    """Every registered library query against DuckDB on the smallest tables."""
+    duckdb = pytest.importorskip("duckdb")
+    from pathlib import Path
+
+    from kinloom.plans import catalog
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for name in ("customer", "orders", "nation"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).astype(str).itertuples(index=False, name=None)))
+    for name, query in catalog.QUERIES.items():
+        got, want = query(spark, str(folder)).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
+        assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want), name
