@@ -18,6 +18,7 @@ from kinloom.llm.base import arrow_schema, held_out, map_arrow
 
 LONGEST = 3  # letters in an n-gram; three code points of 21 bits fill a 64-bit number
 PROFILE = 300
+GAP = np.uint64(1)  # what stands for characters that aren't letters
 
 
 @lru_cache(1)
@@ -40,6 +41,7 @@ def ngram_counts(text: str | None, longest: int = LONGEST) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     framed = np.concatenate((np.zeros(1, np.uint64), known, np.zeros(1, np.uint64)))
     chars = framed[np.r_[True, (framed[1:] != 0) | (framed[:-1] != 0)]]  # the first character of a gap stands for it
+    chars[chars == 0] = GAP  # not 0, so that n-grams of different lengths are different numbers
     found, counts, grams = [], [], np.zeros(len(chars), np.uint64)
     for n in range(1, longest + 1):
         if len(chars) < n:
@@ -49,8 +51,7 @@ def ngram_counts(text: str | None, longest: int = LONGEST) -> tuple[np.ndarray,
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         value, count = ordered[starts], np.diff(np.r_[starts, len(ordered)])
         if n == 1:  # a gap by itself says nothing
-            value, count = value[value != 0], count[value != 0]
-            value = value | np.uint64(1 << 63)  # keeps one letter apart from a gap and a letter
+            value, count = value[value != GAP], count[value != GAP]
         found.append(value)
         counts.append(count)
     return np.concatenate(found), np.concatenate(counts)
