@@ -91,6 +91,6 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key, times = "__kinloom_row", "__kinloom_times"
     keyed = docs.withColumn(key, F.xxhash64(id_col, text_col, source_col))
     taken = mix(keyed, id_col=key, text_col=text_col, source_col=source_col, **options)
-    taken = taken.groupBy(F.col("doc_id").alias(key)).agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(times)).filter(F.col(times) > 0)
+    taken = taken.filter("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(times)).filter(F.col(times) > 0)
     joined = keyed.join(bounded(stage(taken, "mix-times")), key)
     return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -119,6 +119,9 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int,
     The piece of rank r takes sequence ``first sequence + (r - first rank) // pieces a sequence``, at ``offset`` plus
     its place among them times length.  Best-fit decreasing: a piece goes where least room is left over, and opens a
     sequence if it fits none.
+
+    The plan is bounded whatever the counts are: a length splits at most two ranges of sequences, and a range that is
+    filled loses more than half of its room, so there are at most 2 * limit * log2(limit) + limit slots (102,400).
     """
     rooms: list[int] = []  # sorted room sizes of open sequences
     open_: dict[int, list[tuple[int, int]]] = {}  # room -> ranges (first sequence, how many)
@@ -177,7 +180,7 @@ def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     slots = docs.sparkSession.createDataFrame(plan(histogram, limit), "length long, rank_from long, rank_to long, first long, each long, base long")
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(counts.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # The plan's rows are bounded by the histogram: a few for each length.
+    # The plan's rows are bounded by limit, not by documents (see plan).
     placed = ranked.join(F.broadcast(slots), "length").filter("rank >= rank_from and rank < rank_to")
     place = F.col("rank") - F.col("rank_from")
     return placed.select(
