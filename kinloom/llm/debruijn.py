@@ -7,8 +7,8 @@ least (its anchor): equal edges have equal anchors, so the graph falls into part
   brought together by its hash; all but the first document's copy of it are repeats as a whole.
 * Where an anchor has several different paths the graph branches.  Those paths, one copy each, are fetched by joins with the
   documents they come from, taken apart into edges again, and compared edge by edge.
-* Each repeat names the document and the place it repeats.  Repeats of one document that continue each other in their source
-  as well are joined into spans.
+* Each repeat names the document and the place it repeats.  Repeats that lie in their source as they lie in the document
+  are joined into long spans, which are verified word by word at their source's coordinates (repeated_spans).
 
 Documents are known by a 64-bit hash of id and text.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.base import arrow_schema, map_arrow, partitions, stage
@@ -201,13 +201,47 @@ def _branches(keyed: DataFrame, copies: DataFrame) -> DataFrame:
     return grouped(pieces, ["key"], compare, "rid long,first int,last int,source long,source_first int")
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents with their key, and staged rid, marks: words (from, to) that repeat a document with a smaller id."""
+def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with their key, and rid, first, last, source, source_first: edges that repeat those of an earlier document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     found = stage(_compacted(_map_side(keyed)), "paths")
     places = ["rid", "first", "last", "source", "source_first"]
-    every = found.filter("kind = 1").select(*places).union(_branches(keyed, found.filter("kind = 2")).select(*places))
+    return keyed, found.filter("kind = 1").select(*places).union(_branches(keyed, found.filter("kind = 2")).select(*places))
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, from, to, source_doc_id, source_from: maximal spans of words that a document repeats from an earlier one.
+
+    Repeats of one document that lie in its source as they lie in the document are joined; a span's words are then
+    held against the source's words at its coordinates, and a span that differs is left out.
+    """
+    keyed, every = _repeats(docs, id_col, text_col)
+    line = every.withColumn("shift", F.col("first") - F.col("source_first"))
+    along = Window.partitionBy("rid", "source", "shift").orderBy("first", "last")
+    reach = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = line.withColumn("apart", F.when(F.col("first") > reach + 1, 1).otherwise(0))
+    parts = parts.withColumn("part", F.sum("apart").over(along))
+    joined = parts.groupBy("rid", "source", "shift", "part").agg(F.min("first").alias("from"), (F.max("last") + WINDOW).alias("to"))
+    joined = stage(joined.select("rid", "source", "from", "to", (F.col("from") - F.col("shift")).alias("source_from")), "repeated-spans")
+    texts = keyed.select("rid", "doc_id", "text").dropDuplicates(["rid"])
+    here = texts.select("rid", "doc_id", F.col("text").alias("own"))
+    there = texts.select(F.col("rid").alias("source"), F.col("doc_id").alias("source_doc_id"), F.col("text").alias("other"))
+    names = ["doc_id", "from", "to", "source_doc_id", "source_from"]
+
+    def verified(batch: pa.RecordBatch) -> dict:
+        columns = {n: batch.column(n).to_pylist() for n in [*names, "own", "other"]}
+        keep = []
+        for own, other, a, b, s in zip(columns["own"], columns["other"], columns["from"], columns["to"], columns["source_from"], strict=True):
+            keep.append(words_of(own)[a:b] == words_of(other)[s : s + b - a])
+        return {n: [v for v, k in zip(columns[n], keep, strict=True) if k] for n in names}
+
+    return map_arrow(joined.join(here, "rid").join(there, "source").select(*names, "own", "other"), verified, "doc_id long,from int,to int,source_doc_id long,source_from int")
+
+
+def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents with their key, and staged rid, marks: words (from, to) that repeat a document with a smaller id."""
+    keyed, every = _repeats(docs, id_col, text_col)
     marked = every.groupBy("rid").agg(F.collect_set(F.struct(F.col("first").alias("from"), (F.col("last") + WINDOW).alias("to"))).alias("marks"))
     return keyed, stage(marked, "spans")
 

@@ -300,6 +300,14 @@ def test_debruijn(docs, none, monkeypatch, held):
     assert Counter(map(tuple, debruijn.dedup(docs).collect())) == want and sum(k[2] for k in want) > 100
     if held == 1:
         assert debruijn.dedup(none).count() == 0
+        plain = {r[0]: w for r, w in zip(ROWS, split, strict=True) if r[0] not in (None, 5)}
+        covered = {}
+        for r in debruijn.repeated_spans(docs.filter("doc_id is not null and doc_id <> 5")).collect():
+            n = r["to"] - r["from"]
+            assert n >= 13 and r["source_doc_id"] < r["doc_id"] and plain[r["doc_id"]][r["from"] : r["to"]] == plain[r["source_doc_id"]][r["source_from"] : r["source_from"] + n]
+            covered.setdefault(r["doc_id"], set()).update(range(r["from"], r["to"]))
+        gone = {k[0]: k[2] for k in want if k[0] not in (None, 5) and k[2]}
+        assert {k: len(v) for k, v in covered.items()} == gone
 
 
 # ---- 6: WARC ----
