@@ -22,41 +22,55 @@ def block_columns(persons: DataFrame) -> DataFrame:
     return n.withColumns({"year": F.year("birthdate"), "fi": phonetic.ascii_initial(F.col("n_first")), "li": phonetic.ascii_initial(F.col("n_last")), "sx": phonetic.soundex4(F.col("n_last"))})
 
 
+KEY = ["year", "fi", "li", "sx"]
+
+
 def _key(year: Column, fi: Column, sx: Column, tier: int) -> Column:
-    return F.struct(year.alias("year"), fi.alias("fi"), F.col("a_li").alias("li"), sx.alias("sx"), F.lit(tier).alias("tier"))
+    return F.struct(year.alias("year"), fi.alias("fi"), F.col("li").alias("li"), sx.alias("sx"), F.lit(tier).alias("tier"))
 
 
 def _asked(a: DataFrame, b: DataFrame, keys: list[Column]) -> DataFrame:
-    """Candidate pairs (a row's number, tier); a pair that several keys of one person bring comes once, with its best tier."""
-    one = side(a, "a").withColumn("a_row", F.monotonically_increasing_id())
-    one = one.withColumn("key", F.explode(F.array_distinct(F.array(*keys))))
-    two = side(b, "b").withColumn("b_row", F.monotonically_increasing_id())
-    on = (F.col("key.year") == F.col("b_year")) & (F.col("key.fi") == F.col("b_fi")) & (F.col("key.li") == F.col("b_li")) & (F.col("key.sx") == F.col("b_sx"))
-    joined = one.join(two, on).withColumn("tier", F.col("key.tier")).drop("key")
-    return joined.withColumn("best_of_pair", F.row_number().over(Window.partitionBy("a_row", "b_row").orderBy("tier"))).filter("best_of_pair = 1").drop("best_of_pair")
+    """The keys of each person (a row's number) of the first table under which the second table has someone.
 
+    Keys are held against the second table's distinct keys, so that no pair is made before the tiers are settled.
+    """
+    numbered = a.withColumn("row", F.monotonically_increasing_id())
+    asked = numbered.withColumn("key", F.explode(F.array_compact(F.array(*keys))))
+    asked = asked.select(F.struct(*[F.col(c) for c in a.columns]).alias("person"), "row", "key.*")
+    return asked.join(b.select(*KEY).distinct(), KEY)
 
-def blocked_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Tier 1: same year, initials and Soundex; 2: a partner without a first initial; 3: the coarse Soundex."""
-    year, fi, sx = F.col("a_year"), F.col("a_fi"), F.col("a_sx")
-    keys = [_key(year, fi, sx, 1), _key(year, F.lit("?"), sx, 2), _key(year, fi, phonetic.coarse_soundex(sx), 3)]
-    return _lowest(_asked(a, b, keys))
 
+def _pairs(settled: DataFrame, b: DataFrame) -> DataFrame:
+    """Candidate pairs (a_*, b_*) of the persons of settled keys."""
+    two = side(b, "b")
+    on = None
+    for k in KEY:
+        c = F.col(k) == F.col(f"b_{k}")
+        on = c if on is None else on & c
+    names = settled.schema["person"].dataType.fieldNames()
+    return settled.join(two, on).select(*[F.col(f"person.{n}").alias(f"a_{n}") for n in names], *two.columns)
+
+
+def blocked_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Tier 1: same year, initials and Soundex; 2: a partner without a first initial; 3: the coarse Soundex.
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    top = F.min("tier").over(Window.partitionBy("a_row"))
-    return pairs.withColumn("lowest", top).filter("tier = lowest").drop("lowest", "tier", "a_row", "b_row")
+    Each person meets its lowest tier that isn't empty.
+    """
+    year, fi, sx = F.col("year"), F.col("fi"), F.col("sx")
+    coarse = phonetic.coarse_soundex(sx)
+    asked = _asked(a, b, [_key(year, fi, sx, 1), F.when(fi != "?", _key(year, F.lit("?"), sx, 2)), F.when(sx != coarse, _key(year, fi, coarse, 3))])
+    return _pairs(asked.withColumn("lowest", F.min("tier").over(Window.partitionBy("row"))).filter("tier = lowest"), b)
 
 
 def neighbour_year_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Tiers 1 and 2 as above; the years before and after always count; the coarse Soundex if nothing else does."""
-    year, fi, sx = F.col("a_year"), F.col("a_fi"), F.col("a_sx")
-    keys = [_key(year, fi, sx, 1), _key(year, F.lit("?"), sx, 2), _key(year - 1, fi, sx, 3), _key(year + 1, fi, sx, 3), _key(year, fi, phonetic.coarse_soundex(sx), 4)]
-    pairs = _asked(a, b, keys)
-    own = Window.partitionBy("a_row")
+    """Tiers 1 and 2 as above; the years before and after always count (3); the coarse Soundex if nothing else does (4)."""
+    year, fi, sx = F.col("year"), F.col("fi"), F.col("sx")
+    coarse = phonetic.coarse_soundex(sx)
+    keys = [_key(year, fi, sx, 1), F.when(fi != "?", _key(year, F.lit("?"), sx, 2)), _key(year - 1, fi, sx, 3), _key(year + 1, fi, sx, 3), F.when(sx != coarse, _key(year, fi, coarse, 4))]
+    asked, own = _asked(a, b, keys), Window.partitionBy("row")
     has = {f"has_{t}": F.max((F.col("tier") == t).cast("int")).over(own) for t in (1, 2, 3)}
     counts = (F.col("tier").isin(1, 3)) | ((F.col("tier") == 2) & (F.col("has_1") == 0)) | ((F.col("tier") == 4) & (F.col("has_1") + F.col("has_2") + F.col("has_3") == 0))
-    return pairs.withColumns(has).filter(counts).drop("tier", "a_row", "b_row", *has)
+    return _pairs(asked.withColumns(has).filter(counts), b)
 
 
 def _scored(persons: DataFrame, accent_fold: bool) -> DataFrame:
