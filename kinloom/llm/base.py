@@ -36,12 +36,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow over batches; rows gives columns by name, in the order of schema."""
+_CLEARS: list[Callable[[], None]] = []
+
+
+def kept(clear: Callable[[], None]) -> None:
+    """Register what empties a memory that a Python worker keeps from task to task."""
+    _CLEARS.append(clear)
+
+
+def release() -> None:
+    """Empty every such memory: a worker that goes on with another operator doesn't hold those of the one before."""
+    for clear in _CLEARS:
+        clear()
+
+
+def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, *, keeps: bool = False) -> DataFrame:
+    """mapInArrow over batches; rows gives columns by name, in the order of schema.  keeps: rows uses a worker's memory."""
     names = [x.split()[0] for x in schema.split(",")]
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         for batch in batches:
             if batch.num_rows:
                 out = rows(batch)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import map_arrow, partitions, stage
+from kinloom.llm.base import kept, map_arrow, partitions, stage
 
 LIMIT, END_ID = 4096, 1
 #: Words, and parts of words, whose ids a worker keeps from one block of texts to the next.
@@ -96,6 +96,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+kept(encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a text's ids and end_id, cut into runs of at most limit."""
     names = "doc_id long,piece int,start long,length long,ids_crc32 long"
@@ -110,7 +113,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
         return dict(zip((x.split()[0] for x in names.split(",")), zip(*out, strict=True), strict=True))
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, names)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, names, keeps=True)
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, stage
+from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage
 from kinloom.llm.components import components
 
 BITS, DISTANCE, BLOCKS, SHINGLE, SEED = 64, 3, 6, 3, 42
@@ -105,6 +105,7 @@ def links(fps: DataFrame, *, fp_col: str = "fp", chunk: int = CHUNK) -> DataFram
     celled = celled.repartition(partitions(fps), "key", "cell").sortWithinPartitions("key", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rest = np.zeros((0, 3), np.int64)
         for batch in batches:
             rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "cell", "fp")], axis=1)))
