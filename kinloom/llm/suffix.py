@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, stage
+from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage
 from kinloom.llm.vectors import grouped
 
 SPAN, GRAM = 200, 32
 STRETCHES = 2048  # different stretches of one anchor that one shard holds
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 _BLOCK = 1 << 20
 
 
@@ -85,40 +85,48 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Positions of data in the order of the suffixes from them; equal suffixes come in the order of their positions.
 
     left: bytes from each position to the end of its stretch; suffixes end there.  Larsson-Sadakane: suffixes are
-    grouped by 8 bytes, then every group that holds several is sorted by the groups of the suffixes h further on, h
-    doubling; groups of one are left alone.
+    grouped by their first 7 bytes, then every group that holds several is sorted by the groups of the suffixes h
+    further on, h doubling; groups of one are left alone.  data has fewer than 2 ** 31 bytes.
     """
     n = len(data)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    padded = np.concatenate((data, np.zeros(7, np.uint8)))
     key = np.zeros(n, np.uint64)
-    for i in range(8):
+    for i in range(7):
         key = key << np.uint64(8) | np.where(left > i, padded[i : n + i], 0).astype(np.uint64)
-    short = np.minimum(left, 8)
-    sa = np.lexsort((short, key))
-    new = np.r_[True, (key[sa][1:] != key[sa][:-1]) | (short[sa][1:] != short[sa][:-1])]
+    key = key << np.uint64(8) | np.minimum(left, 7).astype(np.uint64)  # one that ends comes before one that goes on with zeros
+    sa = np.argsort(key)
+    ordered = key[sa]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h, depth = 8, int(left.max(initial=0))
-    while h < depth:
-        starts = np.flatnonzero(new)
-        several = np.repeat(np.diff(np.r_[starts, n]) > 1, np.diff(np.r_[starts, n]))
-        at = np.flatnonzero(several & (left[sa] > h))  # a suffix that has ended is equal to all of its group
-        if not len(at):
-            break
-        # those that have ended come first in their group, and stay where they are put
-        whole = np.flatnonzero(several)
+    h, depth = 7, int(left.max(initial=0))
+    whole = np.flatnonzero(_several(new))
+    while h < depth and len(whole):
         pos = sa[whole]
-        further = np.where(left[pos] > h, rank[np.minimum(pos + h, n - 1)], -1)
-        order = np.lexsort((further, rank[pos]))
-        pos, further = pos[order], further[order]
-        group = rank[pos]
+        # a suffix that has ended comes first in its group, and is equal to the others that have
+        further = np.where(left[pos] > h, rank[np.minimum(pos + h, n - 1)] + 1, 0)
+        both = rank[pos] << 32 | further
+        order = np.argsort(both)
+        pos, both = pos[order], both[order]
         sa[whole] = pos
-        new[whole] = np.r_[True, (group[1:] != group[:-1]) | (further[1:] != further[:-1])]
-        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        begins = np.r_[True, both[1:] != both[:-1]]
+        new[whole] = begins
+        rank[pos] = whole[np.maximum.accumulate(np.where(begins, np.arange(len(whole)), 0))]
+        still = _several(begins)
+        # suffixes that have ended stay as they are
+        whole = whole[still & (left[pos] > h)]
         h *= 2
+    tied = np.flatnonzero(_several(new))
+    pos = sa[tied]
+    sa[tied] = pos[np.argsort(rank[pos] << 32 | pos)]
     return sa
 
 
+def _several(new: np.ndarray) -> np.ndarray:
+    """For each place in an order of groups that begin at ``new``: its group has several members."""
+    return ~(new & np.r_[new[1:], True])
+
+
 def common_prefixes(data: np.ndarray, starts: np.ndarray, left: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each suffix in order, the bytes it shares with the one before it, most at most (0 for the first).
 
@@ -186,21 +194,43 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _occurrences(keyed: DataFrame, span: int) -> DataFrame:
-    """ah, ch, rid, first, last: an anchor's hash, its stretch's hash, the document, and the stretch's windows."""
+    """ah, ch, rid, first, last, n: an anchor's hash, its stretch's hash, the document, the stretch's windows, copies.
+
+    Stretches that a batch has several times repeat for certain: one row stands for them (n copies), and their windows,
+    run together, come as rows with n = 0.  So a long periodic text or a group of copies gives few rows.
+    """
+    names = "ah long,ch long,rid long,first int,last int,n int"
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {n: [] for n in ("ah", "ch", "rid", "first", "last")}
+        got: dict[str, list] = {n: [] for n in ("ah", "ch", "rid", "first", "last")}
         for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             pos, h, first, last = anchors(raw, span)
             if len(pos):
                 cut = zip(pos.tolist(), first.tolist(), last.tolist(), strict=True)
-                out["ch"].append(np.array([xxhash.xxh3_64_intdigest(raw[a : b + span], p - a) for p, a, b in cut], np.uint64).view(np.int64))
-                for k, v in (("ah", h), ("rid", np.full(len(pos), rid)), ("first", first), ("last", last)):
-                    out[k].append(v)
-        return {k: np.concatenate(v) if v else [] for k, v in out.items()}
-
-    return map_arrow(keyed.select("rid", "text"), rows, "ah long,ch long,rid long,first int,last int")
+                ch = np.array([xxhash.xxh3_64_intdigest(raw[a : b + span], p - a) for p, a, b in cut], np.uint64).view(np.int64)
+                for k, v in zip(got, (h, ch, np.full(len(pos), rid), first, last), strict=True):
+                    got[k].append(v)
+        if not got["ah"]:
+            return {x.split()[0]: [] for x in names.split(",")}
+        a = {k: np.concatenate(v) for k, v in got.items()}
+        order = np.lexsort((a["first"], a["rid"], a["ch"], a["ah"]))
+        a = {k: v[order] for k, v in a.items()}
+        starts = np.flatnonzero(np.r_[True, (a["ah"][1:] != a["ah"][:-1]) | (a["ch"][1:] != a["ch"][:-1])])
+        n = np.diff(np.r_[starts, len(order)])
+        settled = np.repeat(n > 1, n)
+        own = {k: v[settled] for k, v in a.items()}
+        order = np.lexsort((own["first"], own["rid"]))
+        rid, first, last = (own[k][order] for k in ("rid", "first", "last"))
+        runs = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (first[1:] > last[:-1] + span)]) if len(rid) else np.zeros(0, np.int64)
+        last = np.maximum.reduceat(last, runs) if len(runs) else last
+        none = np.zeros(len(runs), np.int64)
+        return {
+            "ah": np.r_[a["ah"][starts], none], "ch": np.r_[a["ch"][starts], none], "rid": np.r_[a["rid"][starts], rid[runs]],
+            "first": np.r_[a["first"][starts], first[runs]], "last": np.r_[a["last"][starts], last], "n": np.r_[n, none],
+        }
+
+    return map_arrow(keyed.select("rid", "text"), rows, names)
 
 
 def _texts(keyed: DataFrame, rids: DataFrame) -> DataFrame:
@@ -249,9 +279,10 @@ def _within_shards(stretches: DataFrame, span: int) -> DataFrame:
             cut = np.searchsorted(digest, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGE_BITS))
             for r, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(digest)], strict=True)):
                 if a < b:
-                    yield None, None, None, r, hash((rows[0][0], chunk)) & 0x7FFFFFFF, digest[a:b].tobytes(), rid[a:b].tobytes(), start[a:b].tobytes()
+                    yield None, None, None, r, hash((rows[0][0], chunk)) & 0x7FFFFFFFFFFFFFFF, digest[a:b].tobytes(), rid[a:b].tobytes(), start[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -300,11 +331,12 @@ def marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
     """The documents with their key (doc_id, text, rid), and staged rid, marks: bytes of each affected document that repeat."""
     keyed = _keyed(docs, id_col, text_col)
     found = stage(_occurrences(keyed, span), "anchors")
-    shared = stage(found.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"), "shared-anchors")
+    place = ["rid", F.col("first").alias("from"), (F.col("last") + span).alias("to")]
+    settled, found = found.filter("n = 0").select(*place), found.filter("n > 0")
+    shared = stage(found.groupBy("ah").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("ah"), "shared-anchors")
     found = stage(found.join(shared, "ah"), "shared-occurrences")
-    kinds = stage(found.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "stretches")
-    several = kinds.filter("n > 1").select("ah", "ch")
-    whole = found.join(several, ["ah", "ch"]).select("rid", F.col("first").alias("from"), (F.col("last") + span).alias("to"))
+    kinds = stage(found.groupBy("ah", "ch").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "stretches")
+    whole = found.filter("n = 1").join(kinds.filter("n > 1").select("ah", "ch"), ["ah", "ch"]).select(*place)
     # anchors with different stretches, one copy of each; those with very many are dealt over shards
     mixed = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("ah", F.ceil(F.col("kinds") / STRETCHES).cast("int").alias("chunks"))
     wanted = kinds.join(stage(mixed, "mixed-anchors"), "ah").select("ah", F.pmod(F.xxhash64("ch"), F.col("chunks")).cast("int").alias("chunk"), "chunks", "ch", "one.*", "n")
@@ -313,7 +345,7 @@ def marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
     out = stage(_within_shards(_shards(_texts(keyed, rids), wanted, span), span), "shards")
     inside = out.filter("range is null").select("rid", "from", "to")
     across = _across_shards(out.filter("range is not null").select("range", "run", "digests", "rids", "starts"), span)
-    every = whole.union(inside).union(across).groupBy("rid").agg(F.collect_set(F.struct("from", "to")).alias("marks"))
+    every = settled.union(whole).union(inside).union(across).groupBy("rid").agg(F.collect_set(F.struct("from", "to")).alias("marks"))
     return keyed, stage(every, "marks")
 
 
@@ -357,6 +389,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     _, marked = marks(docs, id_col=id_col, text_col=text_col, span=span)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = []
             for text, found in zip(batch.column("__kinloom_text").to_pylist(), batch.column("__kinloom_marks").to_pylist(), strict=True):
