@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import held_out, map_arrow
+from kinloom.llm.base import held_out, map_arrow, release
 
 #: Classes of characters, by code point.
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
@@ -159,7 +159,7 @@ def _chain(good: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def fit(texts: list[str | None], labels: list[int], *, rounds: int = 150, penalty: float = 1e-3, most_lines: int = 64) -> Field:
+def fit(texts: list[str | None], labels: list[int], *, rounds: int = 150, penalty: float = 1e-3, most_lines: int = 16) -> Field:
     """Fit a field by conditional likelihood (Adam over the whole sample), then the logistic scale of document scores.
 
     Texts of more than most_lines lines are cut into several chains.  Classes count equally, however often each occurs.
@@ -262,6 +262,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, *, least: float = 0.3, id
     position = names.index(text_col)
 
     def run(batches):
+        release()
         for batch in batches:
             texts = batch.column(position).to_pylist()
             yield batch.filter(pa.array([field.score(t) >= least for t in texts], pa.bool_()))
