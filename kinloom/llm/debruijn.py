@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, map_arrow, partitions, stage
+from kinloom.llm.base import arrow_schema, kept, map_arrow, partitions, stage
 from kinloom.llm.suffix import _split, _texts, covered, minimizers
 from kinloom.llm.vectors import grouped
 
 WINDOW, GRAM = 13, 4
+PATHS = 1024  # paths of one anchor that are compared together
 KEPT_WORDS = 300_000  # words whose hashes a worker keeps
 HELD_ROWS = 1_000_000  # rows of one anchor that a task holds; more are taken in pieces
 _P = 0x9E3779B97F4A7C15
@@ -44,6 +45,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+kept(_hashes.clear)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,7 +122,7 @@ def _map_side(keyed: DataFrame) -> DataFrame:
         a["key"] = np.where(later, a["rid"], a["key"])  # settled rows are dealt out by document
         return {n: a[n] for n in names}
 
-    return map_arrow(keyed.filter("doc_id is not null").select("doc_id", "rid", "text"), rows, ROWS)
+    return map_arrow(keyed.filter("doc_id is not null").select("doc_id", "rid", "text"), rows, ROWS, keeps=True)
 
 
 def _compacted(mapped: DataFrame) -> DataFrame:
@@ -168,28 +170,35 @@ def _compacted(mapped: DataFrame) -> DataFrame:
 
 
 def _branches(keyed: DataFrame, copies: DataFrame) -> DataFrame:
-    """rid, from, to, source, source_from: edges of branching paths that an earlier document has as well."""
-    asked = copies.groupBy("rid").agg(F.collect_set(F.struct("key", "first", "last")).alias("asked"))
+    """rid, first, last, source, source_first: edges of branching paths that an earlier document has as well.
+
+    An anchor with very many paths is dealt out by its edges' hashes, about PATHS paths to a part.
+    """
+    many = copies.groupBy("key").count().filter(F.col("count") > PATHS).select("key", F.ceil(F.col("count") / PATHS).cast("int").alias("parts"))
+    dealt = copies.join(stage(many, "large-anchors"), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = dealt.groupBy("rid").agg(F.collect_set(F.struct("key", "parts", "first", "last")).alias("asked"))
     rids = stage(asked.select("rid"), "branching-documents")
-    schema = "key long,doc_id long,rid long,first int,edges binary"
+    schema = "key long,part int,doc_id long,rid long,edges binary,places binary"
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {x.split()[0]: [] for x in schema.split(",")}
         for doc, rid, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text", "asked")), strict=True):
             edges = _runs(word_hashes(words_of(text)), WINDOW)
             for a in asked:
-                for k, v in zip(out, (a["key"], doc, rid, a["first"], edges[a["first"] : a["last"] + 1].tobytes()), strict=True):
-                    out[k].append(v)
+                own, at = edges[a["first"] : a["last"] + 1], np.arange(a["first"], a["last"] + 1, dtype=np.int32)
+                part = own % np.uint64(a["parts"])
+                for p in np.unique(part).tolist():
+                    for k, v in zip(out, (a["key"], p, doc, rid, own[part == p].tobytes(), at[part == p].tobytes()), strict=True):
+                        out[k].append(v)
         return out
 
-    pieces = map_arrow(_texts(keyed, rids).dropDuplicates(["rid"]).join(asked, "rid").select("doc_id", "rid", "text", "asked"), cut, schema)
+    pieces = map_arrow(_texts(keyed, rids).dropDuplicates(["rid"]).join(asked, "rid").select("doc_id", "rid", "text", "asked"), cut, schema, keeps=True)
 
     def compare(table: pa.Table) -> Iterator[dict]:
         raw = table.column("edges").to_pylist()
         n = np.array([len(x) // 8 for x in raw])
-        edge, doc = np.frombuffer(b"".join(raw), np.uint64), np.repeat(table.column("doc_id").to_numpy(), n)
-        rid = np.repeat(table.column("rid").to_numpy(), n)
-        at = np.repeat(table.column("first").to_numpy(), n) + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
+        edge, at = np.frombuffer(b"".join(raw), np.uint64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
+        doc, rid = (np.repeat(table.column(c).to_numpy(), n) for c in ("doc_id", "rid"))
         order = np.lexsort((at, rid, doc, edge))
         edge, doc, rid, at = edge[order], doc[order], rid[order], at[order]
         new = np.r_[True, edge[1:] != edge[:-1]]
@@ -198,7 +207,7 @@ def _branches(keyed: DataFrame, copies: DataFrame) -> DataFrame:
         if hit.any():
             yield {"rid": rid[hit], "first": at[hit], "last": at[hit], "source": rid[head][hit], "source_first": at[head][hit]}
 
-    return grouped(pieces, ["key"], compare, "rid long,first int,last int,source long,source_first int")
+    return grouped(pieces, ["key", "part"], compare, "rid long,first int,last int,source long,source_first int")
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
