@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,27 @@ def release() -> None:
         clear()
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Rows and bytes of the batches that texts go to Python in: long texts make Spark's 10,000 rows hundreds of MB.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch limits to BATCH where they are higher."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, *, keeps: bool = False) -> DataFrame:
     """mapInArrow over batches; rows gives columns by name, in the order of schema.  keeps: rows uses a worker's memory."""
     names = [x.split()[0] for x in schema.split(",")]
@@ -62,7 +84,11 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str
             if batch.num_rows:
                 out = rows(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=target.field(n).type) for n in names], schema=target)
+                del out
+            del batch
+        trim()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import held_out, map_arrow, release
+from kinloom.llm.base import held_out, map_arrow, release, small_batches, trim
 
 #: Classes of characters, by code point.
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
@@ -266,5 +266,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, *, least: float = 0.3, id
         for batch in batches:
             texts = batch.column(position).to_pylist()
             yield batch.filter(pa.array([field.score(t) >= least for t in texts], pa.bool_()))
+        trim()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, target)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage
+from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage, trim
 from kinloom.llm.vectors import grouped
 
 SPAN, GRAM = 200, 32
@@ -293,6 +293,7 @@ def _within_shards(stretches: DataFrame, span: int) -> DataFrame:
                 size += len(row[7])
         if held:
             yield packed(held)
+        trim()
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
         made = list(shard(held))
