@@ -3,9 +3,10 @@
 Vectors of one label get a first neighbour list from random-hyperplane buckets.  In every round each vector brings its
 neighbours and a bounded sample of those that list it together, and pairs among them that are nearer than a
 list's last entry enter the list.  Entries over the threshold are links.  Lists are as long as ``k``; where one holds
-links only it is saturated, and is enlarged to the vector's whole component: components are compared in blocks, so that every link inside
-one is counted without being written out.  Recall is audited against brute force for a fixed number of vectors, and
-falling short starts another round.
+links only it is saturated, and what it leaves out is found by comparison: all vectors of a label are compared in blocks for links
+between components, which join them, and components are compared in blocks, so that every link inside one is counted
+without being written out.  Recall is audited against brute force for a fixed number of vectors, and falling short
+starts another round.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from kinloom.llm.base import arrow_schema, map_arrow, partitions, release, stage
 from kinloom.llm.components import components
 
 THRESHOLD, K, TABLES, LEAF, CELL, AUDITED, ENOUGH = 0.98, 10, 8, 64, 512, 256, 0.97
+BLOCK = 2048  # vectors of one label that are compared with as many others in one go
 
 
 def _unit(values: list | None) -> np.ndarray | None:
@@ -107,6 +109,14 @@ def _cells(df: DataFrame, key: str, size: int) -> DataFrame:
     return dealt.withColumn("chunk", F.pmod(F.xxhash64("pid", F.col(key)), F.col("chunks")).cast("int"))
 
 
+def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """df with chunk, chunks and cell: each row once for every chunk of its key, in the cell of the two chunks."""
+    dealt = _cells(df, key, size)
+    chunks = F.col("chunks").cast("long")
+    other = F.sequence(F.lit(0), F.col("chunks") - 1)
+    return dealt.withColumn("cell", F.explode(F.transform(other, lambda j: F.least(j, F.col("chunk")) * chunks + F.greatest(j, F.col("chunk")))))
+
+
 def _nearest(table: pa.Table, k: int) -> Iterator[dict]:
     """For each member of one cell the k nearest others."""
     pid, u = table.column("pid").to_numpy(), _matrix(table.column("unit"), np.float32)
@@ -185,10 +195,7 @@ def _descend(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
 def _inside(members: DataFrame, threshold: float) -> DataFrame:
     """pid, n: for each vector the vectors of its component that it links with, compared in blocks of two chunks."""
-    dealt = _cells(members, "root", CELL // 2)
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    pair = F.transform(other, lambda j: F.least(j, F.col("chunk")) * F.col("chunks") + F.greatest(j, F.col("chunk")))
-    celled = dealt.select("root", "pid", "unit", "times", "chunk", "chunks", F.explode(pair).alias("cell"))
+    celled = _blocks(members.select("root", "pid", "unit", "times"), "root", CELL // 2)
 
     def count(table: pa.Table) -> Iterator[dict]:
         pid, u, chunk, times = table.column("pid").to_numpy(), _matrix(table.column("unit")), table.column("chunk").to_numpy(), table.column("times").to_numpy()
@@ -202,6 +209,38 @@ def _inside(members: DataFrame, threshold: float) -> DataFrame:
     return grouped(celled, ["root", "cell"], count, "pid long,n long").groupBy("pid").agg(F.sum("n").alias("n"))
 
 
+def _borders(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: roots of components that links join, by comparing all vectors of one label and length in blocks of two chunks.
+
+    Of the components that the links of one cell join only a spanning forest is handed on.
+    """
+    celled = _blocks(members.select("pid", "root", "unit", F.xxhash64("label", F.octet_length("unit")).alias("g")), "g", BLOCK)
+
+    def join(table: pa.Table) -> Iterator[dict]:
+        chunk, u = table.column("chunk").to_numpy(), _matrix(table.column("unit"))
+        roots, own = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        cell, chunks = table.column("cell")[0].as_py(), table.column("chunks")[0].as_py()
+        left, right = np.flatnonzero(chunk == cell // chunks), np.flatnonzero(chunk == cell % chunks)
+        tree, others = np.arange(len(roots)), u[right].T
+        for i in range(0, len(left), 256):
+            a, b = np.nonzero((u[left[i : i + 256]] @ others) >= threshold)
+            a, b = own[left[a + i]], own[right[b]]
+            while len(a):  # hook the larger root under the smaller, until both ends of every link have one root
+                x, y = tree[a], tree[b]
+                apart = x != y
+                if not apart.any():
+                    break
+                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+                np.minimum.at(tree, np.maximum(x, y), np.minimum(x, y))
+                while (tree[tree] != tree).any():
+                    tree = tree[tree]
+        other = np.flatnonzero(tree != np.arange(len(roots)))
+        if len(other):
+            yield {"a": roots[other], "b": roots[tree[other]]}
+
+    return grouped(celled, ["g", "cell"], join, "a long,b long")
+
+
 def audit(members: DataFrame, *, threshold: float = THRESHOLD, queries: int = AUDITED, seed: int = 3) -> tuple[int, int]:
     """Links of a fixed number of vectors by brute force, and how many of them join vectors of one component.
 
@@ -251,6 +290,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         true, found = audit(members, threshold=threshold)
         if found >= ENOUGH * true:
             break
+    joined = components(_borders(members, threshold)).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    members = stage(members.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole"), "members")
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("component_id"))
     counted = _inside(members.join(several.filter("size > 1").select("root"), "root", "left_semi"), threshold)
     known = members.select("pid", "root", "times").join(several.select("root", "component_id"), "root").join(counted, "pid", "left")

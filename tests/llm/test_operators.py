@@ -461,6 +461,23 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_weak_borders(spark):
+    """Two tight groups of more than k vectors that only weaker links join: no list of k has room for those."""
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=64)
+    a /= np.linalg.norm(a)
+    side = rng.normal(size=64)
+    side -= side @ a * a
+    side /= np.linalg.norm(side)
+    b = 0.985 * a + math.sqrt(1 - 0.985**2) * side
+    rows = [(100 * g + i, (c + rng.normal(size=64) * 0.0028).tolist(), 0) for g, c in enumerate((a, b)) for i in range(20)]
+    rows += [(500 + i, rng.normal(size=64).tolist(), 0) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(brute_links(rows))
+    assert [r[1:] for r in want[:40]] == [(39, 0, i == 0) for i in range(40)]
+    assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == want
+
+
 # ---- pipeline ----
 
 
