@@ -3,10 +3,12 @@
 Vectors of one label get a first neighbour list from random-hyperplane buckets.  In every round each vector brings its
 neighbours and a bounded sample of those that list it together, and pairs among them that are nearer than a
 list's last entry enter the list.  Entries over the threshold are links.  Lists are as long as ``k``; where one holds
-links only it is saturated, and what it leaves out is found by comparison: all vectors of a label are compared in blocks for links
-between components, which join them, and components are compared in blocks, so that every link inside one is counted
-without being written out.  Recall is audited against brute force for a fixed number of vectors, and falling short
-starts another round.
+links only it is saturated.  Rounds end when they find no more links.
+
+Lists are not relied upon for recall: all vectors of a label are then compared in blocks, exactly, for links between the
+components found so far, which join them, and components are compared in blocks, so that every link inside one is
+counted without being written out.  This takes time with the square of a label's vectors, and rows with the square over
+BLOCK; the rounds leave it few components to join.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from kinloom.llm.base import arrow_schema, map_arrow, partitions, release, stage, trim
 from kinloom.llm.components import components
 
-THRESHOLD, K, TABLES, LEAF, CELL, AUDITED, ENOUGH = 0.98, 10, 8, 64, 512, 256, 0.97
+THRESHOLD, K, TABLES, LEAF, CELL = 0.98, 10, 8, 64, 512
 BLOCK = 2048  # vectors of one label that are compared with as many others in one go
 
 
@@ -241,34 +243,6 @@ def _borders(members: DataFrame, threshold: float) -> DataFrame:
     return grouped(celled, ["g", "cell"], join, "a long,b long")
 
 
-def audit(members: DataFrame, *, threshold: float = THRESHOLD, queries: int = AUDITED, seed: int = 3) -> tuple[int, int]:
-    """Links of a fixed number of vectors by brute force, and how many of them join vectors of one component.
-
-    members: pid, label, unit, root.  The queries are those with the smallest hashes.
-    """
-    drawn = members.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(queries).select("pid", "label", "unit", "root").collect()
-    held = [(r["pid"], r["label"], np.frombuffer(r["unit"], np.float64), r["root"]) for r in drawn]
-
-    def run(batch: pa.RecordBatch) -> dict:
-        pid, labels, root = batch.column("pid").to_numpy(), np.array(batch.column("label").to_pylist()), batch.column("root").to_numpy()
-        raw, true, found = batch.column("unit").to_pylist(), 0, 0
-        sizes = np.array([len(x) // 8 for x in raw])
-        for d in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == d)
-            u = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), d)
-            own = [q for q in held if len(q[2]) == d]
-            if own:
-                linked = (u @ np.stack([q[2] for q in own]).T) >= threshold
-                linked &= labels[at][:, None] == np.array([q[1] for q in own])[None, :]
-                linked &= pid[at][:, None] != np.array([q[0] for q in own])[None, :]
-                true += int(linked.sum())
-                found += int((linked & (root[at][:, None] == np.array([q[3] for q in own])[None, :])).sum())
-        return {"true": [true], "found": [found]}
-
-    got = map_arrow(members.select("pid", "label", "unit", "root"), run, "true long,found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).collect()[0]
-    return got["t"] or 0, got["f"] or 0
-
-
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, leaf: int = LEAF, rounds: int = 4, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per input row.
 
@@ -280,16 +254,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = stage(_points(vectors, id_col, vector_col, label_col), "vectors")
     points = stage(rows.filter("pid is not null").groupBy("pid").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")), "points")
     lists = stage(_first_lists(points, k, tables, leaf, seed), "lists")
+    found = -1
     for _ in range(rounds):
         lists = stage(_descend(lists, points, k), "lists")
         # a list entry is of single precision: links are decided below, within components of verified entries
         near = lists.select("u", F.explode("near").alias("n")).filter(F.col("n.sim") >= threshold - 1e-5).select(F.least("u", F.col("n.v")).alias("a"), F.greatest("u", F.col("n.v")).alias("b")).distinct()
-        links = stage(_verified(near, points, threshold), "links")
-        roots = components(links)
-        members = stage(points.join(roots.withColumnRenamed("node", "pid"), "pid", "left").withColumn("root", F.coalesce("root", "pid")), "members")
-        true, found = audit(members, threshold=threshold)
-        if found >= ENOUGH * true:
+        links, before = stage(_verified(near, points, threshold), "links"), found
+        found = links.count()
+        if found == before:
             break
+    roots = components(links)
+    members = stage(points.join(roots.withColumnRenamed("node", "pid"), "pid", "left").withColumn("root", F.coalesce("root", "pid")), "members")
     joined = components(_borders(members, threshold)).select(F.col("node").alias("root"), F.col("root").alias("whole"))
     members = stage(members.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole"), "members")
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("component_id"))

@@ -478,6 +478,19 @@ def test_vectors_weak_borders(spark):
     assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == want
 
 
+def test_vectors_few_links(spark):
+    """Links of few vectors, and lists that come from one bucket in a thousand pairs: none of them may be missed."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(1500, 64))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(base)]
+    rows += [(2000 + i, (base[i] + rng.normal(size=64) * 0.15).tolist(), 0) for i in range(40)]  # cosine about 0.989
+    rows += [(3000 + i, (base[50] + rng.normal(size=64) * 0.02).tolist(), 0) for i in range(60)]  # most links are here
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(brute_links(rows))
+    assert sum(r[1] > 0 for r in want) > 120
+    assert sorted(map(tuple, vectors.near_duplicates(df, tables=1, leaf=2, rounds=1).collect())) == want
+
+
 # ---- pipeline ----
 
 
