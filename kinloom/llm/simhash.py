@@ -44,15 +44,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; also key, a long, if key_col names one."""
+    keys = [F.col(key_col).alias("key")] if key_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keys)
 
     def run(batch: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)} | ({"key": batch.column("key")} if key_col else {})
 
-    return map_arrow(rows, run, "doc_id long,fp long")
+    return map_arrow(rows, run, "doc_id long,fp long" + (",key long" if key_col else ""))
 
 
 def _choices() -> list[int]:
@@ -153,3 +154,29 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col).filter("doc_id <> component_id")
     gone = stage(gone.select(F.col("doc_id").alias("__kinloom_gone")).distinct(), "near-copies")
     return docs.join(bounded(gone), F.col(id_col) == F.col("__kinloom_gone"), "left_anti")
+
+
+def one_row_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of docs for each component, rows without an id among them.
+
+    It has the component's smallest id, or none if no row has one; of several such rows the one with the smallest key
+    stays.  A row's key is a 64-bit hash of all its columns, so rows of equal keys are equal rows.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__kinloom_key", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    fps = stage(fingerprints(keyed, id_col=id_col, text_col=text_col, key_col="__kinloom_key"), "fingerprints")
+    roots = components(links(fps))
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    rooted = stage(rooted, "roots")
+    stays = rooted.groupBy("root").agg(F.min("first")["key"].alias("stays"))
+    by_fp = stage(rooted.join(stays, "root").select("fp", "stays"), "fp-components")
+    judged = fps.join(by_fp, "fp").groupBy("key", "stays").count().filter("key <> stays or count > 1")
+    judged = stage(judged.select(F.col("key").alias("__kinloom_key"), (F.col("key") != F.col("stays")).alias("goes")), "near-copies")
+    left = keyed.join(bounded(judged.filter("goes").select("__kinloom_key")), "__kinloom_key", "left_anti")
+    several = judged.filter("not goes").select("__kinloom_key")
+    if not several.isEmpty():
+        several = bounded(several)
+        once = left.join(several, "__kinloom_key", "left_semi").dropDuplicates(["__kinloom_key"])
+        left = left.join(several, "__kinloom_key", "left_anti").unionByName(once)
+    return left.select(*columns)

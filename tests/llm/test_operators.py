@@ -516,3 +516,21 @@ def test_pipeline(spark, tmp_path):
     assert counts[0] > counts[1] and docs.agg(F.max("length")).first()[0] <= 4096
     kept = spark.read.parquet(str(tmp_path / "1"))
     assert kept.count() == kept.select("text").distinct().count()
+
+
+def test_pipeline_keeps_one_row_of_repeated_rows(spark):
+    """Texts of repeated rows and of rows without an id come through the second and third stage once."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    t = [words(rng, 80) for _ in range(6)]
+    pairs = [(1, t[0]), (1, t[0]), (2, t[1]), (None, t[1]), (None, t[2]), (None, t[2]), (3, t[3]), (3, t[3] + " x"), (4, t[4]), (7, t[5]), (6, t[5]), (6, t[5])]
+    rows = [(i, text, "en", "s", len(text), None if n % 2 else 0.5, "k", n if i == 3 else 7) for n, (i, text) in enumerate(pairs)]
+    rows[1] = rows[0]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
+    out = sorted((r["doc_id"] or 0, r["text"]) for r in pipeline.repeated_passages(spark, kept, "").collect())
+    assert [i for i, _ in out] == [0, 1, 2, 3, 4, 6]
+    assert all(text.removesuffix(" x") == t[{0: 2, 1: 0, 2: 1, 3: 3, 4: 4, 6: 5}[i]] for i, text in out)
+    assert pipeline.near_copies(spark, docs.limit(0), "").count() == 0
