@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from kinloom.llm.base import map_arrow
 
 CRLF = b"\r\n"
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: Innermost first; an element without an end tag loses its tags alone.
+_HIDDEN = re.compile(r"<svg\b[^>]*/>|<(noscript|template|svg)\b[^>]*>(?:(?!<\1\b).)*?</\1\s*>", re.I | re.S)
+#: What a head can hold: as its end tag is optional, anything else ends it.
+_HEAD = re.compile(r"<head\b[^>]*>(?:\s+|<title\b[^>]*>.*?</title\s*>|</?(?:meta|link|base|basefont|bgsound|noscript|template|html|title)\b[^>]*>)*(?:</head\s*>)?", re.I | re.S)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*(?:>|\Z)")
@@ -89,7 +93,10 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 def plain_text(page: str) -> str:
     """A page's visible text: a line for each block element, white space run together, entities resolved."""
     title = _TITLE.search(page)
-    text = (title[1] + "\n" if title else "") + _DROPPED.sub(" ", page)
+    body, n = _RAW.sub(" ", page), 1
+    while n:
+        body, n = _HIDDEN.subn(" ", body)
+    text = (title[1] + "\n" if title else "") + _HEAD.sub(" ", body)
     text = html.unescape(_TAG.sub("", _BREAK.sub("\n", text)))
     return _LINES.sub("\n", _SPACE.sub(" ", text)).strip(" \n")
 

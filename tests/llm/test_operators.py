@@ -334,6 +334,23 @@ def test_warc(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_without_end_tags():
+    """A head, svg, noscript or template without an end tag does not take the rest of the page with it."""
+    for page, want in (
+        ("<head><title>T</title><body><p>text", "T\ntext"),
+        ("<head><meta charset=utf-8><title>T</title><script>'<p>no</p>'</script><p>text", "T\ntext"),
+        ("<head><title>T</title>bare text", "T\nbare text"),
+        ("<head><title>T</title></head><p>one<svg width='1'/>two", "T\none two"),
+        ("<p>one<svg><path d=''/></svg>two<svg>three<p>four<svg><text>no</text></svg>", "one twothree\nfour"),
+        ("<svg>a<svg>b</svg>c</svg>text", "text"),
+        ("<template><p>one", "one"),
+        ("<p>one<noscript>two<p>three", "onetwo\nthree"),
+        ("<p>one<style>p{}<p>two", "one"),
+        ("<p>one<script>x</p>", "one"),
+    ):
+        assert warc.plain_text(page) == want, page
+
+
 # ---- 7: AVI ----
 
 
