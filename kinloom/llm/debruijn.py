@@ -130,13 +130,14 @@ def _compacted(mapped: DataFrame) -> DataFrame:
     target = arrow_schema(ROWS)
     spread = mapped.repartition(partitions(mapped), "key").sortWithinPartitions("kind", "key", "ch", "doc_id", "rid", "first")
 
-    def settled(a: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def settled(a: dict[str, np.ndarray], others: list[int]) -> pa.RecordBatch:
+        """others: anchors that have further paths in another piece."""
         new, head = _first_of(a)
         zero = a["kind"] == 0
         later = zero & (a["doc_id"] > a["doc_id"][head])
         start = np.r_[True, a["key"][1:] != a["key"][:-1]]
         ah = np.cumsum(start) - 1
-        several = np.bincount(ah, weights=new)[ah] > 1
+        several = (np.bincount(ah, weights=new)[ah] > 1) | np.isin(a["key"], others)
         # every place in the first document, as only there edges are compared
         own = zero & ~later & several
         keep = later | own | (a["kind"] == 1)
@@ -147,24 +148,24 @@ def _compacted(mapped: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
+        others: list[int] = []
         for batch in batches:
             a = {n: batch.column(n).to_numpy() for n in target.names}
             rest = a if rest is None else {k: np.concatenate((rest[k], a[k])) for k in a}
             other = np.flatnonzero(rest["key"] != rest["key"][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
-            ghost = None
+            shared: list[int] = []
             if len(rest["key"]) - cut > HELD_ROWS:  # one anchor beyond what is held: cut between two paths
                 other = np.flatnonzero(rest["ch"] != rest["ch"][-1])
                 if len(other) and int(other[-1]) + 1 > cut:
                     cut = int(other[-1]) + 1
-                    ghost = {k: v[cut - 1 : cut] for k, v in rest.items()}  # tells the next piece that the anchor has another path
+                    shared = [int(rest["key"][-1])]  # tells this piece and the next that the anchor has another path
             if cut:
-                yield settled({k: v[:cut] for k, v in rest.items()})
+                yield settled({k: v[:cut] for k, v in rest.items()}, others + shared)
                 rest = {k: v[cut:] for k, v in rest.items()}
-                if ghost is not None:
-                    rest = {k: np.concatenate((ghost[k], v)) for k, v in rest.items()}
+                others = shared
         if rest is not None and len(rest["key"]):
-            yield settled(rest)
+            yield settled(rest, others)
 
     return spread.mapInArrow(run, ROWS)
 

@@ -311,6 +311,20 @@ def test_debruijn(docs, none, monkeypatch, held):
         assert {k: len(v) for k, v in covered.items()} == gone
 
 
+def test_compacted_in_pieces(spark, monkeypatch):
+    """A path that is alone before a cut still has its first document's places compared, and no others."""
+    monkeypatch.setattr(debruijn, "HELD_ROWS", 1)
+    paths = [(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (2, 6), (3, 2), (3, 7), (3, 8)]
+    rows = [(0, 9, ch, doc, doc * 10, ch * 100, ch * 100 + 3, 0, 0) for ch, doc in paths] + [(0, 11, 5, 1, 10, 0, 1, 0, 0), (0, 11, 5, 2, 20, 0, 1, 0, 0)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in (1, 2, 4, 5, 100):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got = debruijn._compacted(spark.createDataFrame(rows, debruijn.ROWS)).collect()
+        assert sorted((r["key"], r["ch"], r["doc_id"]) for r in got if r["kind"] == 2) == [(9, 1, 1), (9, 2, 4), (9, 3, 2)]
+        assert sorted((r["ch"], r["doc_id"], r["source"]) for r in got if r["kind"] == 1) == [(1, 2, 10), (1, 3, 10), (2, 5, 40), (2, 6, 40), (3, 7, 20), (3, 8, 20), (5, 2, 10)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 # ---- 6: WARC ----
 
 
