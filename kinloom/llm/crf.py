@@ -20,26 +20,33 @@ from kinloom.llm.base import held_out, map_arrow, release, small_batches, trim
 #: Classes of characters, by code point.
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 OWN = 18  # features of a line itself
-#: Lines of a text that the field sees as one chain; longer texts are chains of this many lines, each with its neighbours' features.
-CHAIN = 4096
+
+
+def _class(x: str) -> int:
+    if x.isalpha():
+        return 1 if x.isupper() else 0
+    if x.isdigit():
+        return 2
+    if x.isspace():
+        return 3
+    if x in ".,;:!?'\"()-’“”":
+        return 4
+    return 5 if x.isprintable() else 6
 
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    out = np.full(0x10000, 6, np.uint8)
-    for c in range(0x10000):
-        x = chr(c)
-        if x.isalpha():
-            out[c] = 1 if x.isupper() else 0
-        elif x.isdigit():
-            out[c] = 2
-        elif x.isspace():
-            out[c] = 3
-        elif x in ".,;:!?'\"()-’“”":
-            out[c] = 4
-        elif x.isprintable():
-            out[c] = 5
-    return out
+    return np.array([_class(chr(c)) for c in range(0x10000)], np.uint8)
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """The class of each code point; those beyond the table are rare, and looked at one by one."""
+    kinds = _classes()[np.minimum(points, 0xFFFF)]
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        some, which = np.unique(points[far], return_inverse=True)
+        kinds[far] = np.array([_class(chr(c)) for c in some.tolist()], np.uint8)[which]
+    return kinds
 
 
 def _lines(text: str | None) -> list[str]:
@@ -54,7 +61,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     lines = _lines(text)
     n = len(lines)
     points = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _classes()[np.minimum(points, 0xFFFF)]
+    kinds = _kinds(points)
     length = np.fromiter(map(len, lines), np.int64, n)
     at = np.repeat(np.arange(n), length + 1)[:-1] if n else np.zeros(0, np.int64)
     share = np.bincount(at * 7 + kinds, minlength=n * 7).reshape(n, 7)[:, :7].astype(float)
@@ -84,28 +91,65 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((x, before, after, ends), axis=1), np.maximum(length, 1).astype(float)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+class Chains:
+    """Whole chains of any lengths, laid out line by line: the first lines of all chains, then the second ones, and so on.
 
+    Chains are ordered from the longest on, so that those that have a line t are the first of those that have a line before.
+    """
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log marginals (chains, lines, 2), the sum of transition marginals (2, 2), and log partition functions of chains that are padded at their end."""
-    n, most, _ = scores.shape
-    f, b = np.zeros_like(scores), np.zeros_like(scores)
-    f[:, 0] = scores[:, 0]
-    for t in range(1, most):
-        step = _logsum(f[:, t - 1, :, None] + transition, 1) + scores[:, t]
-        f[:, t] = np.where((t < lengths)[:, None], step, f[:, t - 1])
-    z = _logsum(f[:, -1], 1)
-    pairs = np.zeros((2, 2))
-    for t in range(most - 2, -1, -1):
-        ahead = scores[:, t + 1] + b[:, t + 1]
-        inside = t + 1 < lengths
-        b[:, t] = np.where(inside[:, None], _logsum(transition + ahead[:, None, :], 2), 0)
-        joint = np.exp(f[:, t, :, None] + transition + ahead[:, None, :] - z[:, None, None])
-        pairs += joint[inside].sum(axis=0)
-    return f + b - z[:, None, None], pairs, z
+    def __init__(self, lengths: np.ndarray):
+        self.order = np.argsort(-lengths, kind="stable")
+        self.lengths = lengths[self.order]
+        self.alive = np.searchsorted(-self.lengths, -np.arange(int(lengths.max(initial=0))), side="left")  # chains with a line t
+        self.starts = np.r_[0, np.cumsum(self.alive)]
+        begins = np.r_[0, np.cumsum(lengths)][:-1][self.order]
+        #: Where the lines are in the chains run together, and the chain (in order) of each.
+        self.lines = np.concatenate([begins[:n] + t for t, n in enumerate(self.alive.tolist())]) if len(lengths) else np.zeros(0, np.int64)
+        self.chain = np.concatenate([np.arange(n) for n in self.alive.tolist()]) if len(lengths) else np.zeros(0, np.int64)
+
+    def forward_backward(self, good: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of each line, the transition marginals of each chain (chains, 2, 2), and log partition functions.
+
+        good: scores of the state good by line, those of bad are 0.  Messages are scaled to a sum of 1 at every line.
+        """
+        e, low = np.exp(transition), np.minimum(-good, 0)
+        g = np.stack((np.exp(low), np.exp(low + good)), axis=1)  # both states, divided by the greater
+        f, b, scale = np.empty_like(g), np.empty_like(g), np.empty(len(g))
+        z = np.zeros(len(self.lengths))
+        pairs = np.zeros((len(self.lengths), 2, 2))
+        for t, n in enumerate(self.alive.tolist()):
+            at = self.starts[t]
+            m = g[at : at + n] if not t else f[self.starts[t - 1] : self.starts[t - 1] + n] @ e * g[at : at + n]
+            scale[at : at + n] = m.sum(axis=1)
+            f[at : at + n] = m / scale[at : at + n, None]
+            z[:n] += np.log(scale[at : at + n]) - low[at : at + n]
+        ahead = 0
+        for t in range(len(self.alive) - 1, -1, -1):
+            at, n = self.starts[t], self.alive[t]
+            b[at : at + n] = 1.0
+            if ahead:
+                one = self.starts[t + 1]
+                m = g[one : one + ahead] * b[one : one + ahead] / scale[one : one + ahead, None]
+                b[at : at + ahead] = m @ e.T
+                pairs[:ahead] += f[at : at + ahead, :, None] * e * m[:, None, :]
+            ahead = n
+        return (f * b)[:, 1], pairs, z
+
+
+def likelihood(x: np.ndarray, chains: Chains, y: np.ndarray, weight: np.ndarray, params: np.ndarray) -> tuple[float, np.ndarray]:
+    """The weighted negative log likelihood of chains whose lines all have their chain's label, and its gradient.
+
+    x: features by line, y and weight by chain, both as chains orders them; params: a weight a feature, then transitions.
+    """
+    width, steps = x.shape[1], chains.lengths - 1
+    good, transition = x @ params[:width].astype(x.dtype), params[width:].reshape(2, 2)
+    good = good.astype(float)
+    p, pairs, z = chains.forward_backward(good, transition)
+    own = weight[chains.chain]
+    loss = (weight * z).sum() - (own * y[chains.chain] * good).sum() - (weight * steps * transition[y, y]).sum()
+    np.subtract.at(pairs, (np.arange(len(y)), y, y), steps)
+    gradient = np.concatenate(((own * (p - y[chains.chain])).astype(x.dtype) @ x, (weight[:, None, None] * pairs).sum(axis=0).ravel()))
+    return float(loss), gradient
 
 
 class Field:
@@ -116,12 +160,7 @@ class Field:
 
     def marginals(self, features: np.ndarray) -> np.ndarray:
         """P(good) for each line of one text."""
-        good = ((features - self.mean) / self.scale) @ self.weights
-        out = np.empty(len(good))
-        for i in range(0, len(good), CHAIN):
-            s = good[i : i + CHAIN]
-            out[i : i + CHAIN] = _chain(s, self.transition)
-        return out
+        return _chain(((features - self.mean) / self.scale) @ self.weights, self.transition)
 
     def raw(self, text: str | None) -> float:
         x, w = line_features(text)
@@ -159,10 +198,10 @@ def _chain(good: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def fit(texts: list[str | None], labels: list[int], *, rounds: int = 150, penalty: float = 1e-3, most_lines: int = 16) -> Field:
+def fit(texts: list[str | None], labels: list[int], *, rounds: int = 150, penalty: float = 1e-3) -> Field:
     """Fit a field by conditional likelihood (Adam over the whole sample), then the logistic scale of document scores.
 
-    Texts of more than most_lines lines are cut into several chains.  Classes count equally, however often each occurs.
+    Every text is one chain of all its lines.  Classes count equally, however often each occurs, and so do the texts of a class.
     With labels of one class only (or none) the field scores every text by that class.
     """
     width = 3 * OWN + 3
@@ -173,33 +212,14 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 150, penalt
     every = np.concatenate([x for x, _ in got])
     mean, scale = every.mean(axis=0), every.std(axis=0)
     mean[-3], scale[scale < 1e-9] = 0, 1  # the constant stays
-    chains, ys, weight = [], [], []
-    share = {y: len(labels) / 2 / labels.count(y) for y in set(labels)}
-    for (x, _), y in zip(got, labels, strict=True):
-        for i in range(0, len(x), most_lines):
-            chains.append((x[i : i + most_lines] - mean) / scale)
-            ys.append(y)
-            weight.append(share[y] / -(-len(x) // most_lines))
-    lengths = np.array([len(c) for c in chains])
-    x = np.zeros((len(chains), lengths.max(), width), np.float32)
-    for i, c in enumerate(chains):
-        x[i, : len(c)] = c
-    y, weight = np.array(ys), np.array(weight) / np.maximum(lengths, 1)
-    mask = np.arange(x.shape[1]) < lengths[:, None]
+    chains = Chains(np.array([len(x) for x, _ in got]))
+    x = ((every[chains.lines] - mean) / scale).astype(np.float32)
+    y = np.array(labels)[chains.order]
+    weight = (len(labels) / 2 / np.bincount(y, minlength=2))[y] / chains.lengths
+    weight /= weight.sum()
     params, first, second = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for step in range(1, rounds + 1):
-        scores = np.zeros((*x.shape[:2], 2))
-        scores[:, :, 1] = x @ params[:width]
-        gradient = np.zeros(width + 4)
-        for group in (0, 1):  # weights differ by chain; transitions are summed by class
-            rows = y == group
-            logs, pairs, _ = forward_backward(scores[rows], lengths[rows], params[width:].reshape(2, 2))
-            off = (np.exp(logs[:, :, 1]) - group) * mask[rows] * weight[rows][:, None]
-            gradient[:width] += np.tensordot(off, x[rows], axes=([0, 1], [0, 1]))
-            seen = np.zeros((2, 2))
-            seen[group, group] = (lengths[rows] - 1).sum()
-            gradient[width:] += ((pairs - seen) * weight[rows].mean()).ravel()
-        gradient = gradient / weight.sum() + penalty * params
+        gradient = likelihood(x, chains, y, weight, params)[1] + penalty * params
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         params -= 0.1 * (1 - step / (rounds + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     field = Field(mean, scale, params[:width], params[width:].reshape(2, 2))
@@ -231,7 +251,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     drawn = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53)) < least)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     # The drawn ids are bounded by twice per_class.
-    sample = texts.join(F.broadcast(drawn), "id").select("id", "text", "y").collect()
+    # A repeated id teaches its least text, so that the sample stays as small as its ids.
+    sample = texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y").collect()
     sample = sorted((tuple(r) for r in sample), key=lambda r: (r[0], r[1]))
     return fit([r[1] for r in sample], [r[2] for r in sample])
 

@@ -86,15 +86,73 @@ def test_line_features_and_chain():
     rng = np.random.default_rng(0)
     scores, transition = rng.normal(size=(1, 6, 2)), rng.normal(size=(2, 2))
     scores[:, :, 0] = 0
-    logs, pairs, z = crf.forward_backward(scores, np.array([6]), transition)
+    p, pairs, z = crf.Chains(np.array([6])).forward_backward(scores[0, :, 1], transition)
     total, marginal = 0.0, np.zeros(6)
     for path in np.ndindex(*[2] * 6):  # every labelling
-        p = math.exp(sum(scores[0, i, s] for i, s in enumerate(path)) + sum(transition[a, b] for a, b in zip(path, path[1:], strict=False)))
-        total, marginal = total + p, marginal + p * np.array(path)
-    assert math.log(total) == pytest.approx(z[0]) and np.exp(logs[0, :, 1]) == pytest.approx(marginal / total) and pairs.sum() == pytest.approx(5)
+        w = math.exp(sum(scores[0, i, s] for i, s in enumerate(path)) + sum(transition[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total, marginal = total + w, marginal + w * np.array(path)
+    assert math.log(total) == pytest.approx(z[0]) and p == pytest.approx(marginal / total) and pairs.sum() == pytest.approx(5)
     assert crf._chain(scores[0, :, 1], transition) == pytest.approx(marginal / total)
 
 
+def test_likelihood_gradient():
+    rng = np.random.default_rng(4)
+    lengths = np.array([3, 1, 7, 4, 7])
+    chains = crf.Chains(lengths)
+    every = rng.normal(size=(lengths.sum(), 5))
+    x, y, weight = every[chains.lines], np.array([1, 0, 0, 1, 1])[chains.order], rng.random(5) + 0.1
+    params = rng.normal(size=9)
+    loss, gradient = crf.likelihood(x, chains, y, weight, params)
+    step = 1e-5
+    near = [(crf.likelihood(x, chains, y, weight, params + step * e)[0] - crf.likelihood(x, chains, y, weight, params - step * e)[0]) / (2 * step) for e in np.eye(9)]
+    assert gradient == pytest.approx(near, abs=1e-6)
+    # the loss itself: every labelling of every chain, line by line as the texts have them
+    brute, begin = 0.0, np.r_[0, np.cumsum(lengths)]
+    transition = params[5:].reshape(2, 2)
+    for k, c in enumerate(chains.order.tolist()):
+        good = every[begin[c] : begin[c + 1]] @ params[:5]
+        weigh = {path: sum(good[i] for i, s in enumerate(path) if s) + sum(transition[a, b] for a, b in zip(path, path[1:], strict=False)) for path in np.ndindex(*[2] * len(good))}
+        brute += weight[k] * (math.log(sum(map(math.exp, weigh.values()))) - weigh[(int(y[k]),) * len(good)])
+    assert loss == pytest.approx(brute)
+
+
+def plain_score(field, text):
+    """A document's score by forward-backward in logarithms over the whole text, line after line."""
+    x, w = crf.line_features(text)
+    good = ((x - field.mean) / field.scale) @ field.weights
+    t, n = field.transition, len(good)
+    add = np.logaddexp
+    f, b = [(0.0, good[0])], [(0.0, 0.0)]
+    for i in range(1, n):
+        p, q = f[-1]
+        f.append((add(p + t[0, 0], q + t[1, 0]), add(p + t[0, 1], q + t[1, 1]) + good[i]))
+    for i in range(n - 1, 0, -1):
+        p, q = b[-1]
+        b.append((add(t[0, 0] + p, t[0, 1] + good[i] + q), add(t[1, 0] + p, t[1, 1] + good[i] + q)))
+    m = np.array([math.exp(x[1] + y[1] - add(x[0] + y[0], x[1] + y[1])) for x, y in zip(f, b[::-1], strict=True)])
+    raw = (m * w).sum() / w.sum()
+    raw = min(max(raw, 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(field.slope * math.log(raw / (1 - raw)) + field.shift)))
+
+
+def test_quality_equals_plain(spark):
+    """The query's rows, held against the plain form: long chains, repeated rows, repeated and null ids, far code points."""
+    rng = random.Random(9)
+    line = lambda good: words(rng, 6).capitalize() + "." if good else " | ".join(words(rng, 5).split())
+    rows = [(i, "\n".join(line(i % 2 if rng.random() < 0.8 else rng.random() < 0.5) for _ in range(rng.randint(1, 9)))) for i in range(120)]
+    rows += [(200, "\n".join(line(rng.random() < 0.5) for _ in range(6000))), (201, "\U0001f600 \U00020000\n" * 3), (201, rows[4][1]), (4, rows[4][1]), (None, rows[5][1]), (202, None), (203, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)] + [(4, 0, 0)], "doc_id long, quality int, toxic int")
+    field = crf.fit_quality(docs, labels)
+    got = sorted(((r["doc_id"], r["score"], r["predicted"]) for r in crf.classify(docs, labels).collect()), key=str)
+    want = sorted(((i, plain_score(field, t)) for i, t in rows), key=str)
+    assert len(got) == len(want) and all(g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-9) and g[2] == int(g[1] >= 0.3) for g, w in zip(got, want, strict=True))
+    assert len({s for i, s, _ in got if i == 4}) == 1
+    # a line's marginal depends on lines beyond any block's end
+    x, _ = crf.line_features(rows[120][1])
+    assert len(field.marginals(x)) == 6000
+
+
 def test_quality_held_out(spark, none):
     rng = random.Random(5)
     good = [(i, "\n".join(words(rng, 12).capitalize() + "." for _ in range(4))) for i in range(150)]
