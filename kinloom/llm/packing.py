@@ -15,20 +15,25 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.base import kept, map_arrow, partitions, stage
 
 LIMIT, END_ID = 4096, 1
-#: Words, and parts of words, whose ids a worker keeps from one block of texts to the next.
-KEPT = 450_000
+#: Words, and parts of words, whose ids a worker keeps for good, and those it has besides until it forgets them.
+KEPT, SPARE = 150_000, 150_000
+#: Parts that are encoded in one call, as one text.
+TOGETHER = 1000
 
 #: The vocabulary's own split of a text into parts (a fixed value of its file), for letters up to U+024F.
 _PARTS = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
+_PLAIN = bytes([*range(9, 14), *range(32, 127)])
 _FAR = re.compile("[^\t-\r -~\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0131-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01ef\u01f4-\u024f]|<\\|")
 
 
@@ -42,55 +47,92 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Parts are lower-cased and split already: what is left of the tokenizer is its model over their bytes.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # Of each known word: where its ids begin in the run of all ids, and how many there are.
+        self.known: dict[str, int] = {}
+        self.begins, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts, all encoded as one text; every part ends in an id that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, run together, and where each part's end.  Many are encoded as one text; every part ends in an id that ends a word."""
+        texts = [" ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
         cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) != len(parts):
-            return {p: self._whole(p) for p in parts}
-        raw, at = ids.tobytes(), [0, *(cut * 4).tolist()]
-        return {p: raw[at[i] : at[i + 1]] for i, p in enumerate(parts)}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        split = {w: [w] if w.isalpha() else _PARTS.findall(w) for w in words}
-        new = set().union(*split.values()) - self.parts.keys()
-        found = self._encode_parts(list(new)) if new else {}
-        self.parts |= found
-        look = self.parts.__getitem__
-        learnt = {w: look(ps[0]) if len(ps) == 1 else b"".join(map(look, ps)) for w, ps in split.items()}
-        if len(self.parts) > KEPT:
-            for p in new:
-                del self.parts[p]
-        return learnt
-
-    def encode(self, texts: list[str | None], block: int = 1024) -> list[bytes]:
+        if len(cut) == len(parts):
+            return ids, cut
+        each = [self._whole(p) for p in parts]
+        return np.concatenate(each), np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Words whose ids, run together, end at ends become known."""
+        begins = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.begins = np.concatenate((self.begins, begins + len(self.ids)))
+        self.sizes = np.concatenate((self.sizes, (ends - begins).astype(np.int32)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words, run together, and where each word's end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        place = np.repeat(self.begins[at] - (ends - sizes), sizes)
+        place += np.arange(len(place))
+        return self.ids[place], ends
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The numbers of words; those that aren't known are learnt."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        split = {w: ps for w in new if not w.isalpha() and len(ps := _PARTS.findall(w)) != 1}
+        parts = list(set(new).difference(split).union(*split.values()).difference(known))
+        if parts:
+            self._add(parts, *self._encode_parts(parts))
+        if split:
+            counts = np.cumsum(np.fromiter(map(len, split.values()), np.int64, len(split)))
+            ids, ends = self._gather(np.fromiter((known[p] for ps in split.values() for p in ps), np.int64, int(counts[-1])))
+            self._add(list(split), ids, np.concatenate((np.zeros(1, np.int64), ends))[counts])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def _forget(self) -> None:
+        """Only the KEPT words that were known first stay."""
+        self.known = dict(islice(self.known.items(), KEPT))
+        self.begins, self.sizes = self.begins[:KEPT], self.sizes[:KEPT]
+        self.ids = self.ids[: int(self.begins[-1] + self.sizes[-1])].copy()
+
+    def encode(self, texts: list[str | None], block: int = 1024) -> list[np.ndarray]:
         """Little-endian 32-bit ids of each text; a null text counts as empty."""
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         for i in range(0, len(texts), block):
-            own = texts[i : i + block]
-            split = [None if t and (_FAR.search(t) or not unicodedata.is_normalized("NFC", t)) else (t or "").lower().split() for t in own]
-            new = set().union(*filter(None, split)) - self.words.keys()
-            self.words |= self._learn(new)
-            look = self.words.__getitem__
-            out += [self._whole(t) if ws is None else b"".join(map(look, ws)) for t, ws in zip(own, split, strict=True)]
-            if len(self.words) > KEPT:
-                for w in new:
-                    del self.words[w]
+            own = [t or "" for t in texts[i : i + block]]
+            plain = [_is_plain(t) for t in own]
+            words = pc.ascii_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(own, plain, strict=True)], pa.large_string()))
+            coded = words.flatten().dictionary_encode()
+            places = self._places(coded.dictionary.to_pylist())
+            ids, ends = self._gather(places[coded.indices.to_numpy()])
+            cut = np.concatenate((np.zeros(1, np.int64), ends))[words.offsets.to_numpy()].tolist()
+            out += [ids[a:b] if p else self._whole(t) for t, p, a, b in zip(own, plain, cut, cut[1:], strict=False)]
+            if len(self.known) > KEPT + SPARE:
+                self._forget()
         return out
 
 
+def _is_plain(text: str) -> bool:
+    """The split of words is certain: characters that _FAR doesn't name, in composed form."""
+    if text.isascii():
+        return not text.encode().translate(None, _PLAIN) and "<|" not in text
+    return not _FAR.search(text) and unicodedata.is_normalized("NFC", text)
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -107,9 +149,9 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     def rows(batch: pa.RecordBatch) -> dict:
         out = []
         for i, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist()), strict=True):
-            ids += end
-            for k, at in enumerate(range(0, len(ids), 4 * limit)):
-                part = ids[at : at + 4 * limit]
+            raw = ids.tobytes() + end
+            for k, at in enumerate(range(0, len(raw), 4 * limit)):
+                part = raw[at : at + 4 * limit]
                 out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
         return dict(zip((x.split()[0] for x in names.split(",")), zip(*out, strict=True), strict=True))
 

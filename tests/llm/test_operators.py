@@ -221,16 +221,20 @@ def test_simhash_pigeonhole():
 # ---- 3: packing ----
 
 
-def test_encoder_equals_tokenizer():
+@pytest.mark.parametrize("keep", [None, 3])
+def test_encoder_equals_tokenizer(monkeypatch, keep):
     from tokenizers import Tokenizer
 
     path = tokenizer_path()
     plain = Tokenizer.from_file(path)
     texts = ["it's a_b__c 12ab3 Don't ''s !!'t x'd", "Été ½ ² ª µ ß İstanbul ſ", "a b　c", "", "<|endoftext|> x", "é x", "don't.“hi”", "日本語", "a\x1cb\x85c​d", "\x00\x01 a", "_ __ _a 1_2", "ǅ ŉ Ⅷ", None] + [r[1] for r in ROWS]
     encoder = packing.Encoder(path)
-    for _ in range(2):
-        got = encoder.encode(texts)
-        assert all(np.frombuffer(g, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
+    if keep:  # words are forgotten after every block
+        monkeypatch.setattr(packing, "KEPT", keep)
+        monkeypatch.setattr(packing, "SPARE", 0)
+    for block in (1024, 7):
+        got = encoder.encode(texts, block)
+        assert all(g.tolist() == plain.encode(t or "", add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
 
 
 def test_plan_is_best_fit():
