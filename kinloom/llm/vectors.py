@@ -1,31 +1,37 @@
 """Embedding near-duplicates by NN-descent.
 
 Vectors of one label get a first neighbour list from random-hyperplane buckets.  In every round each vector brings its
-neighbours and a bounded sample of those that list it together, and pairs among them that are nearer than a
-list's last entry enter the list.  Entries over the threshold are links.  Lists are as long as ``k``; where one holds
-links only it is saturated.  Rounds end when they find no more links.
-
-Lists are not relied upon for recall: all vectors of a label are then compared in blocks, exactly, for links between the
-components found so far, which join them, and components are compared in blocks, so that every link inside one is
-counted without being written out.  This takes time with the square of a label's vectors, and rows with the square over
-BLOCK; the rounds leave it few components to join.
+neighbours and a bounded sample of those that list it together, and pairs among them that are nearer than a list's last
+entry enter the list.  Rounds end when they find no more links and the lists hardly change.
+
+* A list that is full and whose last entry still is a link is saturated: it may lack others.  It is enlarged to twice
+  its length, up to ``k_most``.
+* What is saturated at ``k_most`` lies in a group of very many.  The links inside such a group are counted exactly, by
+  comparing its vectors in blocks of two chunks, without writing pairs out; for links to other groups its vectors get
+  further lists, of vectors outside their group alone, which descend in the same way until no groups join any more.
+* Entries are proposed in half precision and verified in double precision; those over the threshold are links.
+* An audit compares a bounded sample of vectors, most of them with entries near the threshold, with all vectors of their
+  labels.  Where recall falls short the search goes on from twice as many buckets; it fails if that never helps.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, map_arrow, partitions, release, stage, trim
+from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage, trim
 from kinloom.llm.components import components
 
-THRESHOLD, K, TABLES, LEAF, CELL = 0.98, 10, 8, 64, 512
-BLOCK = 2048  # vectors of one label that are compared with as many others in one go
+THRESHOLD, K, K_MOST, TABLES, LEAF, CELL = 0.98, 10, 40, 8, 64, 512
+BLOCK = 1024  # vectors of one group that are compared with as many others in one go
+SLACK = 0.002  # what half precision can take from a cosine, at most
+AUDITED, AUDITED_BYTES, RECALL = 4096, 16 << 20, 0.99  # vectors that an audit compares with all others, at most
+_log = logging.getLogger(__name__)
 
 
 def _unit(values: list | None) -> np.ndarray | None:
@@ -40,24 +46,40 @@ def _unit(values: list | None) -> np.ndarray | None:
 
 
 def _points(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, pid (null for vectors that link with nothing), unit: the unit vector's doubles."""
+    """vec_id, label, unit: the unit vector's doubles (null for vectors that link with nothing)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {"vec_id": batch.column("vec_id"), "label": batch.column("label"), "pid": [], "unit": []}
-        for label, v in zip(batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            u = None if label is None else _unit(v)
-            raw = None if u is None else u.tobytes()
-            out["unit"].append(raw)
-            out["pid"].append(None if raw is None else xxhash.xxh64_intdigest(raw + label.encode()) - (1 << 63))
-        return out
+        units = [None if label is None else _unit(v) for label, v in zip(batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True)]
+        return {"vec_id": batch.column("vec_id"), "label": batch.column("label"), "unit": [None if u is None else (u + 0.0).tobytes() for u in units]}
+
+    return map_arrow(rows, run, "vec_id long,label string,unit binary")
+
 
-    return map_arrow(rows, run, "vec_id long,label string,pid long,unit binary")
+def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vec_id and pid of all rows, and the distinct vectors: pid, label, unit, half, times, least.
+
+    Rows are grouped by the vectors themselves.  pid is a hash of them, salted anew in the unlikely case that two
+    different vectors share one.
+    """
+    some = rows.filter("unit is not null").groupBy("label", "unit").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least"))
+    some = stage(some, "distinct-vectors")
+    salt = 0
+    while not some.groupBy(F.xxhash64("label", "unit", F.lit(salt))).count().filter("count > 1").isEmpty():
+        salt += 1
+    pid = F.xxhash64("label", "unit", F.lit(salt))
+
+    def halved(batch: pa.RecordBatch) -> dict:
+        return {n: batch.column(n) for n in names} | {"half": [np.frombuffer(x).astype(np.float16).tobytes() for x in batch.column("unit").to_pylist()]}
+
+    names = ["pid", "label", "unit", "times", "least"]
+    points = map_arrow(some.select(pid.alias("pid"), "label", "unit", "times", "least"), halved, "pid long,label string,unit binary,times long,least long,half binary")
+    return rows.select("vec_id", F.when(F.col("unit").isNotNull(), pid).alias("pid")), stage(points, "points")
 
 
 def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
     """Vectors of one length as rows."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1).astype(kind, copy=False)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 def grouped(df: DataFrame, keys: list[str], rows: Callable[[pa.Table], Iterator[dict]], schema: str) -> DataFrame:
@@ -119,159 +141,276 @@ def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
     return dealt.withColumn("cell", F.explode(F.transform(other, lambda j: F.least(j, F.col("chunk")) * chunks + F.greatest(j, F.col("chunk")))))
 
 
-def _nearest(table: pa.Table, k: int) -> Iterator[dict]:
-    """For each member of one cell the k nearest others."""
-    pid, u = table.column("pid").to_numpy(), _matrix(table.column("unit"), np.float32)
+def _nearest(table: pa.Table, apart: bool) -> Iterator[dict]:
+    """For each member of one cell its nearest others, as many as its list is long (k), if they enter it.
+
+    apart: only others of another root count, and only members that are saturated have a list.
+    """
+    pid, k, last = (table.column(c).to_numpy() for c in ("pid", "k", "last"))
     n = len(pid)
     if n < 2:
         return
-    sims = u @ u.T
-    np.fill_diagonal(sims, -2)
-    take = min(k, n - 1)
+    v = _matrix(table.column("half"), np.float16).astype(np.float32)
+    rows = np.arange(n)
+    if apart:
+        root = table.column("root").to_numpy()
+        rows = np.flatnonzero(table.column("saturated").to_numpy(zero_copy_only=False))
+        if not len(rows) or (root == root[0]).all():
+            return
+    take = int(min(k[rows].max(), n - 1))
+    sims = v[rows] @ v.T
+    sims[pid[rows][:, None] == pid[None, :]] = -2
+    if apart:
+        sims[root[rows][:, None] == root[None, :]] = -2
     best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-    yield {"u": np.repeat(pid, take), "v": pid[best.ravel()], "sim": np.take_along_axis(sims, best, 1).ravel().astype(np.float64)}
+    sim = np.take_along_axis(sims, best, 1)
+    order = np.argsort(-sim, axis=1, kind="stable")
+    best, sim = np.take_along_axis(best, order, 1), np.take_along_axis(sim, order, 1)
+    keep = (np.arange(take)[None, :] < k[rows][:, None]) & (sim > last[rows][:, None])
+    if keep.any():
+        i, j = np.nonzero(keep)
+        yield {"u": pid[rows][i], "v": pid[best[i, j]], "sim": sim[i, j].astype(np.float64), "k": k[rows][i]}
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """u, near: the k best of the proposed neighbours of each u, best first (array of struct<sim, v>).
+_PROPOSED = "u long,v long,sim double,k int"
+
+
+def _best(edges: DataFrame, most: int) -> DataFrame:
+    """u, k, near: the k best of the proposed neighbours of each u, best first (array of struct<sim, v>).
 
     Proposals are ranked by a window whose limit is also applied before its shuffle, so that a vector that very many
-    others list brings k rows a task.
+    others list brings few rows a task.
     """
-    merged = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    merged = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("k").alias("k"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    found = merged.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("sim", "v")), False).alias("near"))
-    return found.select("u", "near")
+    found = merged.withColumn("rank", rank).filter(F.col("rank") <= most).filter("rank <= k")
+    return found.groupBy("u").agg(F.max("k").alias("k"), F.sort_array(F.collect_list(F.struct("sim", "v")), False).alias("near"))
 
 
-def _first_lists(points: DataFrame, k: int, tables: int, leaf: int, seed: int) -> DataFrame:
-    """Neighbours within buckets of random hyperplanes, as many planes as make buckets of about leaf vectors."""
-    groups = points.groupBy("label", F.octet_length("unit").alias("bytes")).count()
+def _first_lists(points: DataFrame, tables: int, leaf: int, seed: int, most: int, apart: bool = False) -> DataFrame:
+    """Neighbours within buckets of random hyperplanes, as many planes as make buckets of about leaf vectors.
+
+    points: pid, label, half, k, last (the least similarity that enters a list), and root and saturated if apart.
+    """
+    groups = points.groupBy("label", F.octet_length("half").alias("bytes")).count()
     deep = groups.select(F.col("label").alias("g_label"), "bytes", F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / leaf))).cast("int").alias("bits"))
-    with_bits = points.join(deep, (F.col("label") == F.col("g_label")) & (F.octet_length("unit") == F.col("bytes"))).select("pid", "unit", "bits", F.xxhash64("label", "bytes").alias("g"))
+    also = ["root", "saturated"] if apart else []
+    with_bits = points.join(deep, (F.col("label") == F.col("g_label")) & (F.octet_length("half") == F.col("bytes")))
+    with_bits = with_bits.select("pid", "half", "bits", F.xxhash64("label", "bytes").alias("g"), "k", "last", *also)
 
     def keys(batch: pa.RecordBatch) -> dict:
-        pid, bits, g = (batch.column(c).to_numpy() for c in ("pid", "bits", "g"))
-        raw = batch.column("unit").to_pylist()
-        sizes = np.array([len(x) // 8 for x in raw])
-        out = np.empty((len(pid), tables), np.int64)
+        bits, g = (batch.column(c).to_numpy() for c in ("bits", "g"))
+        raw = batch.column("half").to_pylist()
+        n, sizes = len(raw), np.array([len(x) // 2 for x in raw])
+        out = np.empty((n, tables), np.int64)
         for d in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == d)
-            u = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), d)
+            u = np.frombuffer(b"".join(raw[i] for i in at), np.float16).astype(np.float32).reshape(len(at), d)
             deepest = min(62, int(bits[at].max()))
             for t in range(tables):
-                planes = np.random.default_rng([seed, t, d]).standard_normal((d, 62))[:, :deepest]
+                planes = np.random.default_rng([seed, t, d]).standard_normal((d, 62))[:, :deepest].astype(np.float32)
                 side = ((u @ planes) > 0).astype(np.int64)
                 side[np.arange(deepest)[None, :] >= bits[at][:, None]] = 0
                 out[at, t] = side @ (1 << np.arange(deepest, dtype=np.int64)) if deepest else 0
-        return {"pid": np.repeat(pid, tables), "g": np.repeat(g, tables), "t": np.tile(np.arange(tables), len(pid)), "side": out.ravel(), "unit": [x for x in raw for _ in range(tables)]}
+        every = pa.array(np.repeat(np.arange(n), tables))
+        return {c: batch.column(c).take(every) for c in ("pid", "half", "k", "last", *also)} | {"g": np.repeat(g, tables), "t": np.tile(np.arange(tables), n), "side": out.ravel()}
+
+    schema = "pid long,half binary,k int,last double" + (",root long,saturated boolean" if apart else "")
+    keyed = map_arrow(with_bits, keys, schema + ",g long,t long,side long")
+    keyed = keyed.select("pid", "half", "k", "last", *also, F.xxhash64("g", "t", "side").alias("key"))
+    return _best(grouped(_cells(keyed, "key", CELL), ["key", "chunk"], lambda t: _nearest(t, apart), _PROPOSED), most)
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """u, v, sim, k: the entries of lists, one a row."""
+    return lists.select("u", "k", F.explode("near").alias("n")).select("u", F.col("n.v").alias("v"), F.col("n.sim").alias("sim"), "k")
+
 
-    keyed = map_arrow(with_bits, keys, "pid long,g long,t long,side long,unit binary")
-    keyed = keyed.select("pid", "unit", F.xxhash64("g", "t", "side").alias("key"))
-    return _best(grouped(_cells(keyed, "key", CELL), ["key", "chunk"], lambda t: _nearest(t, k), "u long,v long,sim double"), k)
+def _last(lists: DataFrame) -> DataFrame:
+    """pid, k, last: the least similarity that enters the list of each vector that has one."""
+    return lists.select(F.col("u").alias("pid"), "k", F.when(F.size("near") >= F.col("k"), F.element_at("near", -1)["sim"]).otherwise(-1.5).alias("last"))
 
 
-def _descend(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """One round: neighbours and a sample of at most about 2 k reverse neighbours of each vector meet."""
-    forward = lists.select(F.col("u").alias("w"), F.explode("near").alias("n")).select("w", F.col("n.v").alias("pid"))
+def _descend(meeting: DataFrame, lists: DataFrame, points: DataFrame, k: int, most: int, apart: bool = False) -> DataFrame:
+    """One round over lists: neighbours, and a sample of about 2 k reverse neighbours, of each vector of meeting meet."""
+    forward = meeting.select(F.col("u").alias("w"), F.explode("near").alias("n")).select("w", F.col("n.v").alias("pid")).distinct()
     listed = forward.groupBy("pid").agg(F.count(F.lit(1)).alias("by"))
     chance = F.pmod(F.xxhash64("w", F.col("pid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     reverse = forward.join(listed, "pid").filter(chance < 2.0 * k / F.col("by")).select(F.col("pid").alias("w"), F.col("w").alias("pid"))
-    members = forward.union(reverse).union(lists.select(F.col("u").alias("w"), F.col("u").alias("pid"))).distinct()
-    last = lists.select(F.col("u").alias("pid"), F.when(F.size("near") >= k, F.element_at("near", -1)["sim"]).otherwise(-2.0).alias("last"))
-    sent = members.join(points.select("pid", "unit").join(last, "pid", "left"), "pid")
+    members = forward.union(reverse).union(meeting.select(F.col("u").alias("w"), F.col("u").alias("pid"))).distinct()
+    also = ["root", "saturated"] if apart else []
+    known = points.select("pid", "half", *also).join(_last(lists), "pid", "left").withColumns({"k": F.coalesce("k", F.lit(k)), "last": F.coalesce("last", F.lit(-1.5))})
+    proposed = grouped(members.join(known, "pid"), ["w"], lambda t: _nearest(t, apart), _PROPOSED)
+    return _best(proposed.union(_pairs(lists)), most)
 
-    def meet(table: pa.Table) -> Iterator[dict]:
-        last = np.nan_to_num(table.column("last").to_numpy(), nan=-2.0)
-        for out in _nearest(table, k):
-            pids = table.column("pid").to_numpy()
-            order = np.argsort(pids)
-            keep = out["sim"] > last[order[np.searchsorted(pids, out["u"], sorter=order)]]
-            if keep.any():
-                yield {n: x[keep] for n, x in out.items()}
 
-    proposed = grouped(sent, ["w"], meet, "u long,v long,sim double")
-    old = lists.select("u", F.explode("near").alias("n")).select("u", F.col("n.v").alias("v"), F.col("n.sim").alias("sim"))
-    return _best(proposed.union(old), k)
+def _enlarged(lists: DataFrame, least: float, most: int) -> DataFrame:
+    """lists in which saturated ones that are shorter than most may be twice as long."""
+    full = (F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= least)
+    return lists.withColumn("k", F.when(full, F.least(F.col("k") * 2, F.lit(most))).otherwise(F.col("k")).cast("int"))
+
+
+def _state(lists: DataFrame, least: float) -> tuple[int, int, float]:
+    """Links and enlargements in lists, and the sum of all similarities."""
+    links = F.sum(F.size(F.filter("near", lambda n: n["sim"] >= least)))
+    sims = F.sum(F.aggregate("near", F.lit(0.0), lambda x, n: x + n["sim"]))
+    r = lists.agg(links.alias("links"), F.sum("k").alias("k"), sims.alias("sims")).first()
+    return r["links"] or 0, r["k"] or 0, r["sims"] or 0.0
+
+
+def _settled(lists: DataFrame, points: DataFrame, k: int, most: int, least: float, rounds: int) -> DataFrame:
+    """lists after rounds of descent, as many as change links, lengths or a thousandth of all similarities."""
+    before = _state(lists, least)
+    for _ in range(rounds):
+        wide = _enlarged(lists, least, most)
+        lists = stage(_descend(wide, wide, points, k, most), "lists")
+        now = _state(lists, least)
+        if now[:2] == before[:2] and now[2] <= before[2] + 1e-3 * abs(before[2]):
+            break
+        before = now
+    return lists
+
+
+def _near(lists: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of entries whose similarity is least or more."""
+    pairs = _pairs(lists).filter(F.col("sim") >= least)
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def _rooted(points: DataFrame, links: DataFrame) -> DataFrame:
+    """points with root: the same for all vectors of a component."""
+    roots = components(links).withColumnRenamed("node", "pid")
+    return stage(points.join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid")), "members")
+
+
+def _joined_groups(members: DataFrame, lists: DataFrame, links: DataFrame, least: float, threshold: float, *, k: int, most: int, tables: int, leaf: int, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """members and links after saturated vectors have looked for links outside their components, until no components join."""
+    full = stage(lists.filter((F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= least)).select(F.col("u").alias("pid")), "saturated")
+    if full.isEmpty():
+        return members.withColumn("saturated", F.lit(False)), links
+    flagged = lambda m: stage(m.join(full.withColumn("full", F.lit(True)), "pid", "left").withColumn("saturated", F.coalesce("full", F.lit(False))).drop("full"), "flagged")
+    members = flagged(members)
+    for turn in range(rounds):
+        start = members.withColumns({"k": F.lit(k), "last": F.lit(-1.5)})
+        across = stage(_first_lists(start, tables, leaf, seed + 1 + turn, most, apart=True), "across")
+        before = _state(across, least)
+        for _ in range(rounds):
+            across = stage(_descend(lists.unionByName(across), across, members, k, most, apart=True), "across")
+            now = _state(across, least)
+            if now[0] == before[0] and now[2] <= before[2] + 1e-3 * abs(before[2]):
+                break
+            before = now
+        found = stage(_verified(_near(across, least), members, threshold), "links-across")
+        if found.isEmpty():
+            break
+        links = stage(links.union(found).distinct(), "links")
+        members = flagged(_rooted(members.drop("root", "saturated"), links))
+    return members, links
 
 
 def _inside(members: DataFrame, threshold: float) -> DataFrame:
     """pid, n: for each vector the vectors of its component that it links with, compared in blocks of two chunks."""
-    celled = _blocks(members.select("root", "pid", "unit", "times"), "root", CELL // 2)
+    celled = _blocks(members.select("root", "pid", "unit", "times"), "root", BLOCK)
 
     def count(table: pa.Table) -> Iterator[dict]:
         pid, u, chunk, times = table.column("pid").to_numpy(), _matrix(table.column("unit")), table.column("chunk").to_numpy(), table.column("times").to_numpy()
-        linked = (u @ u.T) >= threshold
-        np.fill_diagonal(linked, False)
         cell, chunks = table.column("cell")[0].as_py(), table.column("chunks")[0].as_py()
-        if cell // chunks != cell % chunks:  # what meets within a chunk is counted in the chunk's own cell
-            linked &= chunk[:, None] != chunk[None, :]
-        yield {"pid": pid, "n": linked @ times}
+        same, n = cell // chunks == cell % chunks, np.zeros(len(pid), np.int64)
+        for i in range(0, len(pid), 256):
+            linked = (u[i : i + 256] @ u.T) >= threshold
+            linked[np.arange(len(linked)), np.arange(i, i + len(linked))] = False
+            if not same:  # what meets within a chunk is counted in the chunk's own cell
+                linked &= chunk[i : i + 256, None] != chunk[None, :]
+            n[i : i + 256] = linked @ times
+        yield {"pid": pid, "n": n}
 
     return grouped(celled, ["root", "cell"], count, "pid long,n long").groupBy("pid").agg(F.sum("n").alias("n"))
 
 
-def _borders(members: DataFrame, threshold: float) -> DataFrame:
-    """a, b: roots of components that links join, by comparing all vectors of one label and length in blocks of two chunks.
+def _counts(members: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """pid, n: the other distinct vectors that each vector links with, weighted by their copies.
 
-    Of the components that the links of one cell join only a spanning forest is handed on.
+    Lists that are not saturated have all links of their vector; components with a saturated one are compared in blocks.
     """
-    celled = _blocks(members.select("pid", "root", "unit", F.xxhash64("label", F.octet_length("unit")).alias("g")), "g", BLOCK)
+    large = stage(members.filter("saturated").select("root").distinct(), "large-groups")
+    blocked = members.join(bounded(large), "root", "left_semi")
+    both = links.union(links.select("b", "a")).toDF("pid", "other").distinct()
+    copies = members.join(bounded(large), "root", "left_anti").select(F.col("pid").alias("other"), "times")
+    listed = both.join(copies, "other").groupBy("pid").agg(F.sum("times").alias("n"))
+    return stage(listed.union(_inside(blocked, threshold)), "counts")
 
-    def join(table: pa.Table) -> Iterator[dict]:
-        chunk, u = table.column("chunk").to_numpy(), _matrix(table.column("unit"))
-        roots, own = np.unique(table.column("root").to_numpy(), return_inverse=True)
-        cell, chunks = table.column("cell")[0].as_py(), table.column("chunks")[0].as_py()
-        left, right = np.flatnonzero(chunk == cell // chunks), np.flatnonzero(chunk == cell % chunks)
-        tree, others = np.arange(len(roots)), u[right].T
-        for i in range(0, len(left), 256):
-            a, b = np.nonzero((u[left[i : i + 256]] @ others) >= threshold)
-            a, b = own[left[a + i]], own[right[b]]
-            while len(a):  # hook the larger root under the smaller, until both ends of every link have one root
-                x, y = tree[a], tree[b]
-                apart = x != y
-                if not apart.any():
-                    break
-                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-                np.minimum.at(tree, np.maximum(x, y), np.minimum(x, y))
-                while (tree[tree] != tree).any():
-                    tree = tree[tree]
-        other = np.flatnonzero(tree != np.arange(len(roots)))
-        if len(other):
-            yield {"a": roots[other], "b": roots[tree[other]]}
-
-    return grouped(celled, ["g", "cell"], join, "a long,b long")
-
-
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, leaf: int = LEAF, rounds: int = 4, seed: int = 11) -> DataFrame:
+
+def _audit(points: DataFrame, lists: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """Recall of links: AUDITED vectors at most, drawn by hash, against all vectors of their labels.
+
+    A quarter is drawn from those with an entry near the threshold, the rest from all.  The lesser of the share of all
+    their links that was found, and of the mean share of a vector's links among those drawn from all.
+    """
+    longest = points.agg(F.max(F.octet_length("unit"))).first()[0]
+    most = max(64, min(AUDITED, AUDITED_BYTES // (longest or 8)))
+    drawn = lambda df, n: df.orderBy(F.xxhash64("pid", F.lit(5)), "pid").limit(n)
+    close = lists.filter(F.element_at("near", 1)["sim"] >= threshold - 0.05).select(F.col("u").alias("pid"))
+    pids = drawn(points.select("pid"), most - most // 4).withColumn("any", F.lit(1)).union(drawn(close, most // 4).withColumn("any", F.lit(0))).groupBy("pid").agg(F.max("any").alias("any"))
+    sample = points.join(F.broadcast(pids), "pid").join(counts, "pid", "left").select("pid", "label", "unit", "any", F.coalesce("n", F.lit(0)).alias("n")).collect()  # AUDITED rows at most
+    if not sample:
+        return 1.0
+    kinds: dict[tuple[str, int], list] = {}
+    for r in sample:
+        kinds.setdefault((r["label"], len(r["unit"])), []).append((r["pid"], bytes(r["unit"])))
+
+    def compare(batch: pa.RecordBatch) -> dict:
+        label, pid, times = (batch.column(c) for c in ("label", "pid", "times"))
+        label, pid, times, unit = label.to_pylist(), pid.to_numpy(), times.to_numpy(), batch.column("unit").to_pylist()
+        out: dict[str, list] = {"pid": [], "n": []}
+        at: dict[tuple[str, int], list[int]] = {}
+        for i, x in enumerate(zip(label, map(len, unit), strict=True)):
+            if x in kinds:
+                at.setdefault(x, []).append(i)
+        for x, rows in at.items():
+            asked = np.array([p for p, _ in kinds[x]])
+            here = np.frombuffer(b"".join(unit[i] for i in rows)).reshape(len(rows), -1)
+            there = np.frombuffer(b"".join(u for _, u in kinds[x])).reshape(len(asked), -1)
+            linked = ((there @ here.T) >= threshold) & (asked[:, None] != pid[rows][None, :])
+            out["pid"] += asked.tolist()
+            out["n"] += (linked @ times[rows]).tolist()
+        return out
+
+    true = {r["pid"]: r["n"] for r in map_arrow(points.select("label", "pid", "times", "unit"), compare, "pid long,n long").groupBy("pid").agg(F.sum("n").alias("n")).collect()}
+    some = [(min(r["n"], true[r["pid"]]), true[r["pid"]], r["any"]) for r in sample if true.get(r["pid"])]
+    shares = [f / t for f, t, drawn_from_all in some if drawn_from_all]
+    return min(sum(f for f, _, _ in some) / sum(t for _, t, _ in some) if some else 1.0, sum(shares) / len(shares) if shares else 1.0)
+
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, k_most: int = K_MOST, tables: int = TABLES, leaf: int = LEAF, rounds: int = 8, attempts: int = 5, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per input row.
 
     Vectors link if their labels are equal and not null, their lengths agree and their cosine is threshold or more.
     Vectors that are null, empty, zero or have null or non-finite components, and those without a label, link with
     nothing and are kept.  Equal vectors of one label link with each other, and are compared once.  component_id is the
-    smallest vec_id of the component (of null ids alone: null, and not kept).
+    smallest vec_id of the component (of null ids alone: null, and not kept).  Links are verified; that few are missed is
+    audited on AUDITED vectors, and RuntimeError says that recall stayed below RECALL through all attempts.
     """
-    rows = stage(_points(vectors, id_col, vector_col, label_col), "vectors")
-    points = stage(rows.filter("pid is not null").groupBy("pid").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")), "points")
-    lists = stage(_first_lists(points, k, tables, leaf, seed), "lists")
-    found = -1
-    for _ in range(rounds):
-        lists = stage(_descend(lists, points, k), "lists")
-        # a list entry is of single precision: links are decided below, within components of verified entries
-        near = lists.select("u", F.explode("near").alias("n")).filter(F.col("n.sim") >= threshold - 1e-5).select(F.least("u", F.col("n.v")).alias("a"), F.greatest("u", F.col("n.v")).alias("b")).distinct()
-        links, before = stage(_verified(near, points, threshold), "links"), found
-        found = links.count()
-        if found == before:
+    rows, points = _distinct(stage(_points(vectors, id_col, vector_col, label_col), "vectors"))
+    least, lists, start = threshold - SLACK, None, points.withColumns({"k": F.lit(k), "last": F.lit(-1.5)})
+    for attempt in range(attempts):
+        first = _first_lists(start, tables << attempt, leaf << attempt, seed + 100 * attempt, k_most)
+        lists = stage(first if lists is None else _best(_pairs(first).union(_pairs(lists)), k_most), "lists")
+        lists = _settled(lists, points, k, k_most, least, rounds)
+        links = stage(_verified(_near(lists, least), points, threshold), "links")
+        members = _rooted(points, links)
+        members, links = _joined_groups(members, lists, links, least, threshold, k=k, most=k_most, tables=tables << attempt, leaf=leaf << attempt, rounds=rounds, seed=seed + 100 * attempt)
+        counts = _counts(members, links, threshold)
+        recall = _audit(points, lists, counts, threshold)
+        _log.info("recall of links in attempt %d: %.4f", attempt + 1, recall)
+        if recall >= RECALL:
             break
-    roots = components(links)
-    members = stage(points.join(roots.withColumnRenamed("node", "pid"), "pid", "left").withColumn("root", F.coalesce("root", "pid")), "members")
-    joined = components(_borders(members, threshold)).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-    members = stage(members.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole"), "members")
+    else:
+        raise RuntimeError(f"recall of links is {recall:.4f} after {attempts} attempts")
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("component_id"))
-    counted = _inside(members.join(several.filter("size > 1").select("root"), "root", "left_semi"), threshold)
-    known = members.select("pid", "root", "times").join(several.select("root", "component_id"), "root").join(counted, "pid", "left")
-    known = known.select("pid", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    joined = rows.select("vec_id", "pid").join(known, "pid", "left")
+    several = stage(several.filter("size > 1").select("root", "component_id"), "groups")
+    known = members.select("pid", "root", "times", "least").join(bounded(several), "root", "left").join(counts, "pid", "left")
+    known = known.select("pid", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    joined = rows.join(known, "pid", "left")
     component = F.when(F.col("pid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

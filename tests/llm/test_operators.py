@@ -574,16 +574,48 @@ def test_vectors_weak_borders(spark):
 
 
 def test_vectors_few_links(spark):
-    """Links of few vectors, and lists that come from one bucket in a thousand pairs: none of them may be missed."""
+    """Links of few vectors among many, and one large group: all are found; from one round over tiny buckets, nine of ten at least."""
     rng = np.random.default_rng(2)
     base = rng.normal(size=(1500, 64))
     rows = [(i, v.tolist(), 0) for i, v in enumerate(base)]
     rows += [(2000 + i, (base[i] + rng.normal(size=64) * 0.15).tolist(), 0) for i in range(40)]  # cosine about 0.989
     rows += [(3000 + i, (base[50] + rng.normal(size=64) * 0.02).tolist(), 0) for i in range(60)]  # most links are here
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"unit": F.lit("x"), "pid": F.lit(1), "root": F.lit(2)})
     want = sorted(brute_links(rows))
     assert sum(r[1] > 0 for r in want) > 120
-    assert sorted(map(tuple, vectors.near_duplicates(df, tables=1, leaf=2, rounds=1).collect())) == want
+    assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == want
+    weak = sorted(map(tuple, vectors.near_duplicates(df, tables=1, leaf=2, rounds=1).collect()))
+    share = [min(g[1] / w[1], 1) for g, w in zip(weak, want, strict=True) if w[1]]
+    assert sum(share) / len(share) >= 0.9 and all(g[1] <= w[1] for g, w in zip(weak, want, strict=True))
+
+
+def test_vectors_enlarged(spark):
+    """Groups of more than k and fewer than k_most vectors: lists grow until they hold all links, and nothing is compared in blocks."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 32))
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(base)]
+    rows += [(1000 + 100 * g + i, (base[g] + rng.normal(size=32) * 0.05).tolist(), g % 3) for g in range(6) for i in range(25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(brute_links(rows))
+    assert max(r[1] for r in want) == 25
+    points = vectors._distinct(vectors._points(df, "vec_id", "embedding", "label"))[1]
+    start = points.withColumns({"k": F.lit(5), "last": F.lit(-1.5)})
+    lists = vectors._settled(vectors._first_lists(start, 4, 16, 1, 40), points, 5, 40, 0.978, 8)
+    assert lists.filter("k = 40").count() >= 150 and lists.filter((F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= 0.978)).count() == 0
+    assert sorted(map(tuple, vectors.near_duplicates(df, k=5, tables=4, leaf=16).collect())) == want
+
+
+def test_vectors_recall_is_audited(spark):
+    """A search that can't find links is told by the audit, and doesn't pass for whole."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(200, 16))
+    rows = [(2 * i + j, (base[i] + rng.normal(size=16) * 0.1).tolist(), 0) for i in range(200) for j in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    points = vectors._distinct(vectors._points(df, "vec_id", "embedding", "label"))[1]
+    lists = spark.createDataFrame([], "u long, k int, near array<struct<sim:double,v:long>>")
+    assert vectors._audit(points, lists, spark.createDataFrame([], "pid long, n long"), 0.98) == 0.0
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.near_duplicates(df, tables=1, leaf=1, rounds=0, attempts=1)
 
 
 # ---- pipeline ----
