@@ -45,12 +45,12 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def minimizers(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The leftmost least of every width consecutive hashes: its position, and the first and last window that have it.
+def least_positions(h: np.ndarray, width: int) -> np.ndarray:
+    """The position of the leftmost least of every width consecutive hashes.
 
     Hashes are compared by their upper 44 bits, the rest is a position; long arrays go in overlapping blocks.
     """
-    found, low = [], np.uint64(_BLOCK - 1)
+    found, low = [np.zeros(0, np.int64)], np.uint64(_BLOCK - 1)
     for i in range(0, len(h) - width + 1, _BLOCK - width):
         part = h[i : i + _BLOCK]
         least, n = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
@@ -59,17 +59,17 @@ def minimizers(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
             n *= 2
         if n < width:
             least = np.minimum(least[: n - width], least[width - n :])
-        at = (least & low).astype(np.int64)[: _BLOCK - width]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        found.append((at[first] + i, first + i, np.r_[first[1:], len(at)] - 1 + i))
-    if not found:
+        found.append((least & low).astype(np.int64)[: _BLOCK - width] + i)
+    return np.concatenate(found)
+
+
+def minimizers(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leftmost least of every width consecutive hashes: its position, and the first and last window that have it."""
+    at = least_positions(h, width)
+    if not len(at):
         return (np.zeros(0, np.int64),) * 3
-    pos, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-    if len(found) > 1:  # one anchor at either side of a block's end
-        begins = np.r_[True, pos[1:] != pos[:-1]]
-        last = last[np.r_[np.flatnonzero(begins)[1:], len(pos)] - 1]
-        pos, first = pos[begins], first[begins]
-    return pos, first, last
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], first, np.r_[first[1:], len(at)] - 1
 
 
 def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -82,15 +82,15 @@ def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def grouped(df: DataFrame, keys: list[str], rows: Callable[[pa.Table], Iterator[dict]], schema: str) -> DataFrame:
-    """Rows of one task, sorted by keys, group by group; groups have to be bounded by what makes the keys."""
+def grouped(df: DataFrame, keys: list[str], rows: Callable[[pa.Table], Iterator[dict]], schema: str, apart: bool = True) -> DataFrame:
+    """Rows of one task, sorted by keys, group by group (several whole groups at once if not apart); groups have to be bounded by what makes the keys."""
     names = [x.split()[0] for x in schema.split(",")]
     target = arrow_schema(schema)
     spread = df.repartition(partitions(df), *keys).sortWithinPartitions(*keys)
 
     def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key = np.stack([table.column(k).to_numpy() for k in keys])
-        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]).tolist()
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]).tolist() if apart else [0]
         for i, j in zip(starts, [*starts[1:], table.num_rows], strict=True):
             for out in rows(table.slice(i, j - i)):
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=target.field(n).type) for n in names], schema=target)

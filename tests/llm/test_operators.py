@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinloom.llm import avi, crf, debruijn, langid, mixing, packing, simhash, suffix, vectors, warc
+from kinloom.llm import avi, base, crf, debruijn, langid, mixing, packing, simhash, suffix, vectors, warc
 from kinloom.llm.components import components
 from kinloom.llm.queries import tokenizer_path
 
@@ -53,6 +53,15 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(autouse=True)
+def batches(spark):
+    """Batch limits as they were: operators lower them, and so do tests."""
+    was = {k: spark.conf.get(k) for k in base.BATCH}
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
 # ---- components ----
 
 
@@ -343,10 +352,13 @@ def test_suffix_dedup(docs, none, monkeypatch, stretches):
 # ---- 5: De Bruijn ----
 
 
-@pytest.mark.parametrize("held", [debruijn.HELD_ROWS, 1])
-def test_debruijn(docs, none, monkeypatch, held):
-    monkeypatch.setattr(debruijn, "HELD_ROWS", held)
-    monkeypatch.setattr(debruijn, "PATHS", max(1, min(held, 1024)))  # 1: every branching anchor is dealt out
+@pytest.mark.parametrize("held", [1 << 20, 1])
+def test_debruijn(spark, docs, none, monkeypatch, held):
+    """held = 1: every branching anchor is dealt out, texts are hashed one by one, and rows come to Python one by one."""
+    monkeypatch.setattr(debruijn, "PATHS", min(held, debruijn.PATHS))
+    monkeypatch.setattr(debruijn, "CHUNK_BYTES", min(held, debruijn.CHUNK_BYTES))
+    if held == 1:
+        monkeypatch.setattr(base, "BATCH", {"spark.sql.execution.arrow.maxRecordsPerBatch": 1})
     split = [WORD.findall(r[1] or "") for r in ROWS]
     first = {}
     for r, w in zip(ROWS, split, strict=True):
@@ -375,9 +387,44 @@ def test_debruijn(docs, none, monkeypatch, held):
         assert {k: len(v) for k, v in covered.items()} == gone
 
 
+def test_spans_that_differ(spark):
+    """Spans whose words aren't those of their source, as of hashes that met by chance, remove nothing."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "y " * 20 + text)], "doc_id long, text string")
+    keyed = debruijn._keyed(docs, "doc_id", "text")
+    rid = {r["doc_id"]: r["rid"] for r in keyed.collect()}
+    spans = [(rid[2], 1, 40, rid[1], 0), (rid[3], 0, 13, rid[1], 0), (rid[3], 20, 15, rid[1], 0), (rid[3], 50, 13, rid[1], 30), (rid[3], 45, 20, rid[2], 30)]
+    judged, rest = debruijn._verified(keyed, spark.createDataFrame(spans, "rid long, `from` int, n int, source long, source_from int"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in judged.collect()}
+    assert got == {1: (40, 0), 2: (41, 40), 3: (60, 15)} and rest.count() == 0
+
+
+def test_repeated_rows_and_long_texts(spark, monkeypatch):
+    """Rows that are there several times, one text that repeats itself, and overlapping pieces of either."""
+    rng = random.Random(8)
+    long = words(rng, 30)
+    rows = [(4, long), (4, long), (4, long), (2, " ".join([long] * 40)), (9, "a " * 300), (7, "a " * 50), (9, "a " * 300), (11, long + " " + "a " * 20), (None, long)]
+    want = Counter()
+    first = {}
+    split = [WORD.findall(t) for _, t in rows]
+    for (i, _), w in zip(rows, split, strict=True):
+        for k in range(len(w) - 12 if i is not None else 0):
+            first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    for (i, _), w in zip(rows, split, strict=True):
+        gone = set()
+        for k in range(len(w) - 12 if i is not None else 0):
+            if first[tuple(w[k : k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        want[i, len(w), len(gone)] += 1
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, key int, source string")
+    for n in (1, 3, 1000):
+        monkeypatch.setattr(base, "BATCH", {"spark.sql.execution.arrow.maxRecordsPerBatch": n})
+        got = debruijn.dedup(df.repartition(2)).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == want
+
+
 def test_compacted_in_pieces(spark, monkeypatch):
     """A path that is alone before a cut still has its first document's places compared, and no others."""
-    monkeypatch.setattr(debruijn, "HELD_ROWS", 1)
     paths = [(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (2, 6), (3, 2), (3, 7), (3, 8)]
     rows = [(0, 9, ch, doc, doc * 10, ch * 100, ch * 100 + 3, 0, 0) for ch, doc in paths] + [(0, 11, 5, 1, 10, 0, 1, 0, 0), (0, 11, 5, 2, 20, 0, 1, 0, 0)]
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
