@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as every contract of this subpackage has it (Java and Python regex).
@@ -111,6 +111,16 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with number, from 0 in the given order: rows go to tasks by ranges of the order, and tasks are counted first."""
+    spread = stage(df.repartitionByRange(partitions(df), *order).withColumn("task", F.spark_partition_id()), "ranges")
+    counts = spread.groupBy("task").agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.select("task", F.coalesce(F.sum("rows").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("task").orderBy(*order)) - 1
+    # One row for each task.
+    return spread.withColumn("number", own).join(F.broadcast(counts), "task").withColumn("number", F.col("number") + F.col("before")).drop("task", "before")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -548,11 +548,49 @@ def test_ngrams_and_distance():
 # ---- 9: mixing ----
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), ("a", 1000), (None, 100), ("c", 10)])
-    assert sum(got.values()) == pytest.approx(1210) and got["c"] == 30 and all(got[s] <= 3 * n + 1e-9 for s, n in (("b", 100), ("a", 1000), (None, 100)))
-    assert got["b"] == 300 or got["b"] == pytest.approx(2 * got["a"])
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0}
+def shares(sizes, weights=(1, 2, 3)):
+    """Targets by sharing what is left among sources below their caps, again and again."""
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, out, free = sum(sizes.values()), {}, set(order)
+    while free:
+        share = left / sum(weight[s] for s in free)
+        full = {s for s in free if share * weight[s] >= 3 * sizes[s]}
+        out |= {s: 3.0 * sizes[s] for s in full} or {s: share * weight[s] for s in free}
+        left, free = left - sum(3 * sizes[s] for s in full), free - full if full else set()
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(1)
+    cases = [{"b": 100, "a": 1000, None: 100, "c": 10}, {"a": 0}, {"a": 5}, {None: 7, "z": 1}, {f"s{i}": rng.choice([0, 1, 10, 10**6]) for i in range(40)} | {"\U00010000": 9, "\uffff": 4, None: 0}]
+    for sizes in cases:
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+        assert got == pytest.approx(shares(sizes)) and sum(got.values()) == pytest.approx(sum(sizes.values()))
+    assert mixing.targets(spark.createDataFrame([], "source string, n long")).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 8, 4096])
+def test_mix_takes_in_the_order_of_keys(spark, ranges):
+    """What is taken, held against a walk through each source's documents in the order of their keys."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randint(0, 12)), rng.choice(["a", "b", "c", None])) for i in range(300)]
+    rows += [(5, "same text", "d")] * 90 + [(6, "x y z", "d")] + [(None, words(rng, 5), "b")] * 7 + [(None, None, "b"), (7, None, "e"), (8, "", "a")]
+    df = spark.createDataFrame([(*r, 1, 2.0, "r") for r in rows], "doc_id long, text string, source string, size long, key double, range string").repartition(5)
+    keyed = [r.asDict() for r in mixing.keys(df).collect()]
+    size = Counter()
+    for r in keyed:
+        size[r["source"]] += r["size"]
+    aims, want = shares(dict(size)), Counter()
+    for source, n in size.items():
+        epochs = min(int(aims[source] // n), 3) if n else 0
+        left = round(aims[source]) - epochs * n
+        for r in sorted((r for r in keyed if r["source"] == source), key=lambda r: (r["key"], r["h"], r["size"])):
+            part = min(r["size"], left)
+            left -= part
+            want[r["doc_id"], r["size"], n, epochs * r["size"] + part] += 1
+    got = Counter((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mixing.mix(df, ranges=ranges).collect())
+    assert got == want
 
 
 def test_mix(docs, none):
