@@ -2,7 +2,8 @@
 
 Frames are grey, 64 samples wide, and coded by JPEG's lossless process (SOF3, predictor 1), so that any payload comes
 back bit for bit.  The Huffman table gives a difference of s bits a code of 9 - s bits: every sample takes nine bits,
-and whole frames are coded and decoded by array operations.  Frames with other tables are decoded bit by bit.
+and whole frames are coded and decoded by array operations.  Lossless frames with other tables are decoded bit by bit,
+and baseline frames, as cameras write them, by their luminance.
 
 Shots are cut where the histogram difference of two frames stands out from the differences around it.
 """
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.llm import jpeg
 from kinloom.llm.base import map_arrow
 
 WIDTH, HEIGHT, FPS, BINS = 64, 16, 25, 16
@@ -110,10 +112,25 @@ def _slow_differences(info: dict, data: bytes) -> np.ndarray:
     return out
 
 
+def _is_lossless(frame: bytes) -> bool:
+    """The frame's first header of a frame (SOFn) is that of the lossless process."""
+    at = 2
+    while at + 4 <= len(frame) and frame[at] == 0xFF:
+        if 0xC0 <= frame[at + 1] <= 0xCF and frame[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return frame[at + 1] == 0xC3
+        at += 2 + struct.unpack(">H", frame[at + 2 : at + 4])[0]
+    return False
+
+
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """uint8 of shape (n, height, width); all frames are of one size."""
+    """uint8 of shape (n, height, width); all frames are of one size.  Baseline frames give their luminance."""
     if not frames:
         return np.zeros((0, HEIGHT, WIDTH), np.uint8)
+    if not _is_lossless(frames[0]):
+        each = [jpeg.decode(f) for f in frames]
+        if len({x.shape for x in each}) > 1:
+            raise ValueError("frames differ in size")
+        return np.stack(each)
     parsed = [_segments(f) for f in frames]
     h, w = parsed[0][0]["height"], parsed[0][0]["width"]
     if any((i["height"], i["width"]) != (h, w) for i, _ in parsed):
@@ -156,44 +173,75 @@ def write_avi(payload: bytes) -> bytes:
     return _chunk(b"RIFF", body)
 
 
+def _children(data: bytes, at: int, stop: int):
+    """Name, begin and length of the body of each chunk from at to stop; a list's name has its kind behind a slash."""
+    while at + 8 <= stop:
+        name, n = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name in (b"LIST", b"RIFF"):
+            yield name + b"/" + data[at + 8 : at + 12], at + 12, min(n - 4, stop - at - 12)
+        else:
+            yield name, at + 8, min(n, stop - at - 8)
+        at += 8 + n + n % 2
+
+
+def _movie_frames(data: bytes, at: int, n: int, stream: bytes) -> list[bytes]:
+    """Frames of one stream in a movi list, in rec lists as well."""
+    out = []
+    for name, begin, size in _children(data, at, at + n):
+        if name == b"LIST/rec ":
+            out += _movie_frames(data, begin, size, stream)
+        elif name in (stream + b"dc", stream + b"db") and size:
+            out.append(data[begin : begin + size])
+    return out
+
+
 def read_avi(data: bytes) -> tuple[list[bytes], float, int | None]:
-    """Frames by the file's index (by its movi list if it has none), seconds a frame, and the payload's length if the file says it."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+    """Frames of the first video stream, seconds a frame, and the payload's length if the file says it.
+
+    Frames come by the file's index, or by its movi list if it has none; what further RIFF parts (AVIX) hold follows.
+    """
+    parts = list(_children(data, 0, len(data)))
+    if not parts or parts[0][0] != b"RIFF/AVI ":
         raise ValueError("not an AVI file")
-    frames, step, length, movie, index = [], 1 / FPS, None, None, None
-    end = min(len(data), 8 + struct.unpack("<I", data[4:8])[0])
-    todo = [(12, end)]
-    while todo:
-        at, stop = todo.pop()
-        while at + 8 <= stop:
-            name, n = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
-            body = at + 8
-            if name == b"LIST":
-                if data[body : body + 4] == b"movi":
-                    movie = (body, body + n)
-                else:
-                    todo.append((body + 4, body + n))
-            elif name == b"avih":
-                step = struct.unpack("<I", data[body : body + 4])[0] / 1e6
-            elif name == b"ICMT" and data[body : body + 8] == b"payload=":
-                length = int(data[body + 8 : body + n].rstrip(b"\0"))
-            elif name == b"idx1":
-                index = (body, n)
-            at = body + n + n % 2
+    step, length, movie, index, streams, video = 1 / FPS, None, None, None, 0, None
+    for name, at, n in _children(data, parts[0][1], parts[0][1] + parts[0][2]):
+        if name == b"LIST/hdrl":
+            for inner, begin, size in _children(data, at, at + n):
+                if inner == b"avih":
+                    step = struct.unpack("<I", data[begin : begin + 4])[0] / 1e6
+                elif inner == b"LIST/strl":
+                    head = next((data[b : b + s] for c, b, s in _children(data, begin, begin + size) if c == b"strh"), b"")
+                    if video is None and head[:4] == b"vids":
+                        video = b"%02d" % streams
+                        scale, rate = struct.unpack("<II", head[20:28])
+                        step = scale / rate if scale and rate else step
+                    streams += 1
+        elif name == b"LIST/INFO":
+            for inner, begin, size in _children(data, at, at + n):
+                if inner == b"ICMT" and data[begin : begin + 8] == b"payload=":
+                    length = int(data[begin + 8 : begin + size].rstrip(b"\0"))
+        elif name == b"LIST/movi":
+            movie = (at - 4, n + 4)
+        elif name == b"idx1":
+            index = (at, n)
     if movie is None:
         raise ValueError("no movi list")
+    video = video or b"00"
     if index:
-        entries = np.frombuffer(data, "<u4", index[1] // 4, index[0]).reshape(-1, 4)
+        frames = []
+        entries = np.frombuffer(data, "<u4", index[1] // 16 * 4, index[0]).reshape(-1, 4)
         base = movie[0] if len(entries) and entries[0, 2] < movie[0] else 0  # offsets count from the list or from the file
-        for _, _, offset, n in entries.tolist():
-            frames.append(data[base + offset + 8 : base + offset + 8 + n])
+        names = {struct.unpack("<I", video + kind)[0] for kind in (b"dc", b"db")}
+        for name, _, offset, n in entries.tolist():
+            if name in names and n:
+                frames.append(data[base + offset + 8 : base + offset + 8 + n])
     else:
-        at = movie[0] + 4
-        while at + 8 <= movie[1]:
-            n = struct.unpack("<I", data[at + 4 : at + 8])[0]
-            if data[at + 2 : at + 4] in (b"dc", b"db"):
-                frames.append(data[at + 8 : at + 8 + n])
-            at += 8 + n + n % 2
+        frames = _movie_frames(data, movie[0] + 4, movie[1] - 4, video)
+    for name, at, n in parts[1:]:
+        if name == b"RIFF/AVIX":
+            for inner, begin, size in _children(data, at, at + n):
+                if inner == b"LIST/movi":
+                    frames += _movie_frames(data, begin, size, video)
     return frames, step, length
 
 
@@ -232,7 +280,8 @@ def clip_times(frames: np.ndarray, step: float) -> list[tuple[int, int]]:
 def clips(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """id, clip (from 0), start_ms, end_ms, frames: a row for each shot of each AVI file.
 
-    A null file, one that isn't an AVI file of lossless grey frames, and one without frames give no row.
+    Frames are lossless grey or baseline ones; a null file, one that isn't an AVI file of such frames, and one without
+    frames give no row.  Rows with null and repeated ids give rows of their own.
     """
 
     def rows(batch: pa.RecordBatch) -> dict:

@@ -510,6 +510,101 @@ def test_shots(spark, docs):
     assert avi.clips(avi.store_texts(docs)).select("id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def baseline(spark, image, quality=0.9):
+    """A picture (grey, or red, green, blue) as the JVM's own writer codes it, and what its reader makes of that."""
+    jvm = spark._jvm
+    h, w = image.shape[:2]
+    kind = jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY if image.ndim == 2 else jvm.java.awt.image.BufferedImage.TYPE_INT_RGB
+    picture = jvm.java.awt.image.BufferedImage(w, h, kind)
+    for y in range(h):
+        for x in range(w):
+            if image.ndim == 2:
+                picture.getRaster().setSample(x, y, 0, int(image[y, x]))
+            else:
+                r, g, b = image[y, x].tolist()
+                picture.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(2)
+    param.setCompressionQuality(quality)
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), param)
+    writer.dispose()
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    if image.ndim == 2:
+        return data, np.array([[back.getRaster().getSample(x, y, 0) for x in range(w)] for y in range(h)])
+    rgb = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(w)] for y in range(h)])
+    return data, 0.299 * (rgb >> 16) + 0.587 * (rgb >> 8 & 255) + 0.114 * (rgb & 255)
+
+
+def segments(frame):
+    """Marker, begin and end of each segment up to the scan."""
+    at = 2
+    while frame[at + 1] != 0xDA:
+        n = struct.unpack(">H", frame[at + 2 : at + 4])[0]
+        yield frame[at + 1], at, at + 2 + n
+        at += 2 + n
+
+
+def motion_jpeg(frames, rate=10, sound=False, parts=1):
+    """An AVI file of JPEG frames, with sound between them, in several RIFF parts."""
+    chunk = avi._chunk
+    head = lambda kind, scale, rate: struct.pack("<4s4sIHHIIIIIIII4H", kind, b"MJPG", 0, 0, 0, 0, scale, rate, 0, len(frames), 0, 0, 0, 0, 0, 0, 0)
+    lists = [chunk(b"LIST", b"strl" + chunk(b"strh", head(b"auds", 1, 8000)))] if sound else []
+    lists.append(chunk(b"LIST", b"strl" + chunk(b"strh", head(b"vids", 1, rate))))
+    name, out = (b"01dc" if sound else b"00dc"), b""
+    header = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", 1, *[0] * 13)) + b"".join(lists))
+    for p in range(parts):
+        movie, index, at = b"", b"", 4
+        for f in frames[p::parts] if parts == 1 else frames[p * len(frames) // parts : (p + 1) * len(frames) // parts]:
+            for c, body in [(b"00wb", b"\x01\x02\x03")] * sound + [(name, f)]:
+                index += struct.pack("<4sIII", c, 0x10, at, len(body))
+                movie += chunk(c, body)
+                at = 4 + len(movie)
+        out += chunk(b"RIFF", (b"AVI " + header if not p else b"AVIX") + chunk(b"LIST", b"movi" + movie) + (chunk(b"idx1", index) if not p else b""))
+    return out
+
+
+def test_baseline_frames(spark):
+    from kinloom.llm import jpeg
+
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:37, 0:51]
+    soft = (np.sin(x / 7) * 60 + np.cos(y / 5) * 50 + 128).astype(np.uint8)
+    noise = rng.integers(0, 256, (24, 33), dtype=np.uint8)
+    colour = np.stack((soft, np.roll(soft, 9, 1), 255 - soft), axis=2)
+    for image, quality, most in ((soft, 0.9, 1.01), (noise, 0.95, 1.01), (noise, 0.3, 1.01), (colour, 0.9, 6)):
+        data, want = baseline(spark, image, quality)
+        got = jpeg.decode(data).astype(float)
+        assert got.shape == want.shape and np.abs(got - want).max() <= most and np.abs(got - want).mean() < most / 2
+    # without its Huffman tables, which are the usual ones, as motion-JPEG frames come
+    data, want = baseline(spark, soft)
+    bare = bytearray(data)
+    for marker, a, b in reversed(list(segments(data))):
+        if marker == 0xC4:
+            del bare[a:b]
+    assert len(bare) < len(data) and np.abs(jpeg.decode(bytes(bare)).astype(float) - want).max() <= 1.01
+    for broken in (b"", b"\xff\xd8", data[:200], data.replace(b"\xff\xc0", b"\xff\xc2"), data[:-300] + b"\xff\xd9"):
+        with pytest.raises((ValueError, KeyError, IndexError, struct.error)):
+            jpeg.decode(broken)
+    dark, light = (baseline(spark, np.full((16, 24), v, np.uint8))[0] for v in (20, 220))
+    frames = [dark] * 12 + [light] * 8
+    media = [(1, motion_jpeg(frames)), (2, motion_jpeg(frames, sound=True)), (3, motion_jpeg(frames, parts=2)), (None, motion_jpeg(frames[:3])), (4, motion_jpeg([data[:200]])), (5, motion_jpeg([])), (1, motion_jpeg(frames))]
+    rows = [tuple(r) for r in avi.clips(spark.createDataFrame([(i, bytearray(m)) for i, m in media], "id long, media binary")).collect()]
+    shots = [(0, 0, 1200, 12), (1, 1200, 2000, 8)]
+    assert Counter(rows) == Counter([(i, *s) for i in (1, 2, 3, 1) for s in shots] + [(None, 0, 0, 300, 3)])
+
+
+def test_media_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (None, None), (5, "x" * 100), (5, "y"), (5, "x" * 100), (6, "long " * 100_000)]
+    df = spark.createDataFrame([(*r, 1, "m") for r in rows], "doc_id long, text string, id int, media string")
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) for r in avi.media_columns(df).collect())
+    padded = [(i, (t or "").encode(), (t or "").encode() + b"\0" * (-len(t or "") % 64 or 64 * (not t))) for i, t in rows]
+    assert got == Counter((i, len(b), len(p), hashlib.sha256(p).hexdigest()) for i, b, p in padded)
+
+
 # ---- 8: languages ----
 
 
@@ -697,7 +792,7 @@ def test_vectors_recall_is_audited(spark):
     rows = [(2 * i + j, (base[i] + rng.normal(size=16) * 0.1).tolist(), 0) for i in range(200) for j in range(2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     points = vectors._distinct(vectors._points(df, "vec_id", "embedding", "label"))[1]
-    lists = spark.createDataFrame([], "u long, k int, near array<struct<sim:double,v:long>>")
+    lists = spark.createDataFrame([], "u long, k int, near array<struct<sim:double,v:long,new:int>>")
     assert vectors._audit(points, lists, spark.createDataFrame([], "pid long, n long"), 0.98) == 0.0
     with pytest.raises(RuntimeError, match="recall"):
         vectors.near_duplicates(df, tables=1, leaf=1, rounds=0, attempts=1)
