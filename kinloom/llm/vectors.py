@@ -1,8 +1,8 @@
 """Embedding near-duplicates by NN-descent.
 
 Vectors of one label get a first neighbour list from random-hyperplane buckets.  In every round each vector brings its
-neighbours and a bounded sample of those that list it together, and pairs among them that are nearer than a list's last
-entry enter the list.  Rounds end when they find no more links and the lists hardly change.
+neighbours and a bounded sample of those that list it together, where one of them is new to it, and pairs among them that are nearer than
+a list's last entry enter the list.  Rounds end when they find nothing more near the threshold.
 
 * A list that is full and whose last entry still is a link is saturated: it may lack others.  It is enlarged to twice
   its length, up to ``k_most``.
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage, trim
 from kinloom.llm.components import components
 
-THRESHOLD, K, K_MOST, TABLES, LEAF, CELL = 0.98, 10, 40, 8, 64, 512
+THRESHOLD, K, K_MOST, TABLES, LEAF, CELL = 0.98, 10, 20, 8, 64, 512
 BLOCK = 1024  # vectors of one group that are compared with as many others in one go
 SLACK = 0.002  # what half precision can take from a cosine, at most
+CLOSE = 0.1  # rounds go on as long as they find entries that are so much below the threshold, or nearer
 AUDITED, AUDITED_BYTES, RECALL = 4096, 16 << 20, 0.99  # vectors that an audit compares with all others, at most
 _log = logging.getLogger(__name__)
 
@@ -141,22 +142,23 @@ def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
     return dealt.withColumn("cell", F.explode(F.transform(other, lambda j: F.least(j, F.col("chunk")) * chunks + F.greatest(j, F.col("chunk")))))
 
 
-def _nearest(table: pa.Table, apart: bool) -> Iterator[dict]:
-    """For each member of one cell its nearest others, as many as its list is long (k), if they enter it.
+def _nearest(table: pa.Table) -> Iterator[dict]:
+    """For each member of one cell its nearest others, as many as its list is long (k), if they enter it (are nearer than last).
 
-    apart: only others of another root count, and only members that are saturated have a list.
+    With a column saturated only members that are have a list, with a column root only others of another root count.
     """
+    apart = "root" in table.column_names
     pid, k, last = (table.column(c).to_numpy() for c in ("pid", "k", "last"))
     n = len(pid)
     if n < 2:
         return
-    v = _matrix(table.column("half"), np.float16).astype(np.float32)
     rows = np.arange(n)
-    if apart:
-        root = table.column("root").to_numpy()
+    if "saturated" in table.column_names:
         rows = np.flatnonzero(table.column("saturated").to_numpy(zero_copy_only=False))
-        if not len(rows) or (root == root[0]).all():
-            return
+    root = table.column("root").to_numpy() if apart else None
+    if not len(rows) or apart and (root == root[0]).all():
+        return
+    v = _matrix(table.column("half"), np.float16).astype(np.float32)
     take = int(min(k[rows].max(), n - 1))
     sims = v[rows] @ v.T
     sims[pid[rows][:, None] == pid[None, :]] = -2
@@ -169,32 +171,32 @@ def _nearest(table: pa.Table, apart: bool) -> Iterator[dict]:
     keep = (np.arange(take)[None, :] < k[rows][:, None]) & (sim > last[rows][:, None])
     if keep.any():
         i, j = np.nonzero(keep)
-        yield {"u": pid[rows][i], "v": pid[best[i, j]], "sim": sim[i, j].astype(np.float64), "k": k[rows][i]}
+        yield {"u": pid[rows][i], "v": pid[best[i, j]], "sim": sim[i, j].astype(np.float64), "k": k[rows][i], "new": np.ones(len(i), np.int32)}
 
 
-_PROPOSED = "u long,v long,sim double,k int"
+_PROPOSED = "u long,v long,sim double,k int,new int"
 
 
 def _best(edges: DataFrame, most: int) -> DataFrame:
-    """u, k, near: the k best of the proposed neighbours of each u, best first (array of struct<sim, v>).
+    """u, k, near: the k best of the proposed neighbours of each u, best first (array of struct<sim, v, new>).
 
     Proposals are ranked by a window whose limit is also applied before its shuffle, so that a vector that very many
     others list brings few rows a task.
     """
-    merged = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("k").alias("k"))
+    merged = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("k").alias("k"), F.min("new").alias("new"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     found = merged.withColumn("rank", rank).filter(F.col("rank") <= most).filter("rank <= k")
-    return found.groupBy("u").agg(F.max("k").alias("k"), F.sort_array(F.collect_list(F.struct("sim", "v")), False).alias("near"))
+    return found.groupBy("u").agg(F.max("k").alias("k"), F.sort_array(F.collect_list(F.struct("sim", "v", "new")), False).alias("near"))
 
 
-def _first_lists(points: DataFrame, tables: int, leaf: int, seed: int, most: int, apart: bool = False) -> DataFrame:
+def _first_lists(points: DataFrame, tables: int, leaf: int, seed: int, most: int) -> DataFrame:
     """Neighbours within buckets of random hyperplanes, as many planes as make buckets of about leaf vectors.
 
-    points: pid, label, half, k, last (the least similarity that enters a list), and root and saturated if apart.
+    points: pid, label, half, k, last (the least similarity that enters a list), and root or saturated where they count.
     """
     groups = points.groupBy("label", F.octet_length("half").alias("bytes")).count()
     deep = groups.select(F.col("label").alias("g_label"), "bytes", F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / leaf))).cast("int").alias("bits"))
-    also = ["root", "saturated"] if apart else []
+    also = {c: t for c, t in (("root", "long"), ("saturated", "boolean")) if c in points.columns}
     with_bits = points.join(deep, (F.col("label") == F.col("g_label")) & (F.octet_length("half") == F.col("bytes")))
     with_bits = with_bits.select("pid", "half", "bits", F.xxhash64("label", "bytes").alias("g"), "k", "last", *also)
 
@@ -215,15 +217,15 @@ def _first_lists(points: DataFrame, tables: int, leaf: int, seed: int, most: int
         every = pa.array(np.repeat(np.arange(n), tables))
         return {c: batch.column(c).take(every) for c in ("pid", "half", "k", "last", *also)} | {"g": np.repeat(g, tables), "t": np.tile(np.arange(tables), n), "side": out.ravel()}
 
-    schema = "pid long,half binary,k int,last double" + (",root long,saturated boolean" if apart else "")
+    schema = "pid long,half binary,k int,last double" + "".join(f",{c} {t}" for c, t in also.items())
     keyed = map_arrow(with_bits, keys, schema + ",g long,t long,side long")
     keyed = keyed.select("pid", "half", "k", "last", *also, F.xxhash64("g", "t", "side").alias("key"))
-    return _best(grouped(_cells(keyed, "key", CELL), ["key", "chunk"], lambda t: _nearest(t, apart), _PROPOSED), most)
+    return _best(grouped(_cells(keyed, "key", CELL), ["key", "chunk"], _nearest, _PROPOSED), most)
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
-    """u, v, sim, k: the entries of lists, one a row."""
-    return lists.select("u", "k", F.explode("near").alias("n")).select("u", F.col("n.v").alias("v"), F.col("n.sim").alias("sim"), "k")
+    """u, v, sim, k, new: the entries of lists, one a row; none of them is new any more."""
+    return lists.select("u", "k", F.explode("near").alias("n")).select("u", F.col("n.v").alias("v"), F.col("n.sim").alias("sim"), "k", F.lit(0).alias("new"))
 
 
 def _last(lists: DataFrame) -> DataFrame:
@@ -231,16 +233,21 @@ def _last(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("u").alias("pid"), "k", F.when(F.size("near") >= F.col("k"), F.element_at("near", -1)["sim"]).otherwise(-1.5).alias("last"))
 
 
-def _descend(meeting: DataFrame, lists: DataFrame, points: DataFrame, k: int, most: int, apart: bool = False) -> DataFrame:
-    """One round over lists: neighbours, and a sample of about 2 k reverse neighbours, of each vector of meeting meet."""
-    forward = meeting.select(F.col("u").alias("w"), F.explode("near").alias("n")).select("w", F.col("n.v").alias("pid")).distinct()
+def _descend(meeting: DataFrame, lists: DataFrame, points: DataFrame, k: int, most: int) -> DataFrame:
+    """One round over lists: neighbours, and a sample of about 2 k reverse neighbours, of each vector of meeting meet.
+
+    Where no neighbour is new they have met before.
+    """
+    forward = meeting.select(F.col("u").alias("w"), F.explode("near").alias("n")).select("w", F.col("n.v").alias("pid"), F.col("n.new").alias("new"))
     listed = forward.groupBy("pid").agg(F.count(F.lit(1)).alias("by"))
     chance = F.pmod(F.xxhash64("w", F.col("pid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    reverse = forward.join(listed, "pid").filter(chance < 2.0 * k / F.col("by")).select(F.col("pid").alias("w"), F.col("w").alias("pid"))
-    members = forward.union(reverse).union(meeting.select(F.col("u").alias("w"), F.col("u").alias("pid"))).distinct()
-    also = ["root", "saturated"] if apart else []
+    reverse = forward.join(listed, "pid").filter(chance < 2.0 * k / F.col("by")).select(F.col("pid").alias("w"), F.col("w").alias("pid"), "new")
+    own = meeting.select(F.col("u").alias("w"), F.col("u").alias("pid"), F.lit(0).alias("new"))
+    members = stage(forward.union(reverse).union(own).groupBy("w", "pid").agg(F.max("new").alias("new")), "members-of-lists")
+    active = members.filter("new = 1").select("w").distinct()
+    also = [c for c in ("root", "saturated") if c in points.columns]
     known = points.select("pid", "half", *also).join(_last(lists), "pid", "left").withColumns({"k": F.coalesce("k", F.lit(k)), "last": F.coalesce("last", F.lit(-1.5))})
-    proposed = grouped(members.join(known, "pid"), ["w"], lambda t: _nearest(t, apart), _PROPOSED)
+    proposed = grouped(members.drop("new").join(active, "w", "left_semi").join(known, "pid"), ["w"], _nearest, _PROPOSED)
     return _best(proposed.union(_pairs(lists)), most)
 
 
@@ -250,27 +257,47 @@ def _enlarged(lists: DataFrame, least: float, most: int) -> DataFrame:
     return lists.withColumn("k", F.when(full, F.least(F.col("k") * 2, F.lit(most))).otherwise(F.col("k")).cast("int"))
 
 
-def _state(lists: DataFrame, least: float) -> tuple[int, int, float]:
-    """Links and enlargements in lists, and the sum of all similarities."""
-    links = F.sum(F.size(F.filter("near", lambda n: n["sim"] >= least)))
-    sims = F.sum(F.aggregate("near", F.lit(0.0), lambda x, n: x + n["sim"]))
-    r = lists.agg(links.alias("links"), F.sum("k").alias("k"), sims.alias("sims")).first()
-    return r["links"] or 0, r["k"] or 0, r["sims"] or 0.0
+def _state(lists: DataFrame, least: float) -> tuple[int, int, int]:
+    """Links in lists, their lengths, and entries that the last round found near the threshold."""
+    many = lambda x: F.coalesce(F.sum(F.size(F.filter("near", x))), F.lit(0))
+    r = lists.agg(many(lambda n: n["sim"] >= least).alias("links"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"), many(lambda n: (n["new"] == 1) & (n["sim"] >= least - CLOSE)).alias("new")).first()
+    return r["links"], r["k"], r["new"]
 
 
 def _settled(lists: DataFrame, points: DataFrame, k: int, most: int, least: float, rounds: int) -> DataFrame:
-    """lists after rounds of descent, as many as change links, lengths or a thousandth of all similarities."""
+    """lists after rounds of descent, until one changes no link and no length and finds nothing near the threshold."""
     before = _state(lists, least)
     for _ in range(rounds):
-        wide = _enlarged(lists, least, most)
-        lists = stage(_descend(wide, wide, points, k, most), "lists")
+        lists = stage(_descend(lists, lists, points, k, most), "lists")
         now = _state(lists, least)
-        if now[:2] == before[:2] and now[2] <= before[2] + 1e-3 * abs(before[2]):
+        if now[0] == before[0] and not now[2]:
             break
         before = now
     return lists
 
 
+def _grown(lists: DataFrame, points: DataFrame, k: int, most: int, least: float, rounds: int, *, tables: int, leaf: int, seed: int) -> DataFrame:
+    """Settled lists of which none is saturated that could be longer.
+
+    What a longer list has room for may be in the buckets alone, as its vector's neighbours know only each other: it is
+    filled up from there, and descends again.
+    """
+    lists = _settled(lists, points, k, most, least, rounds)
+    turn = 0
+    while True:
+        turn += 1
+        wide = stage(_enlarged(lists, least, most), "longer-lists")
+        more = wide.join(lists.select("u", F.col("k").alias("was")), "u").filter("k > was").select(F.col("u").alias("pid"), F.lit(True).alias("saturated"))
+        more = stage(more, "enlarged")
+        if more.isEmpty():
+            return lists
+        start = points.select("pid", "label", "half").join(_last(wide), "pid", "left").withColumns({"k": F.coalesce("k", F.lit(k)), "last": F.coalesce("last", F.lit(-1.5))})
+        start = start.join(more, "pid", "left").withColumn("saturated", F.coalesce("saturated", F.lit(False)))
+        filled = _first_lists(start, tables, leaf, seed + turn, most)
+        lists = stage(_best(_pairs(filled).withColumn("new", F.lit(1)).union(_pairs(wide)), most), "lists")
+        lists = _settled(lists, points, k, most, least, rounds)
+
+
 def _near(lists: DataFrame, least: float) -> DataFrame:
     """a, b: pairs of entries whose similarity is least or more."""
     pairs = _pairs(lists).filter(F.col("sim") >= least)
@@ -284,23 +311,30 @@ def _rooted(points: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _joined_groups(members: DataFrame, lists: DataFrame, links: DataFrame, least: float, threshold: float, *, k: int, most: int, tables: int, leaf: int, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """members and links after saturated vectors have looked for links outside their components, until no components join."""
-    full = stage(lists.filter((F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= least)).select(F.col("u").alias("pid")), "saturated")
+    """members and links after saturated vectors have looked for links outside their components, until no components join.
+
+    Saturated is here whatever list ends with a link, full or not, as its vector may have more.  They look among each other: a
+    list that goes on below the threshold has all links of its vector, those with saturated ones among them.
+    """
+    full = stage(lists.filter(F.element_at("near", -1)["sim"] >= least).select(F.col("u").alias("pid"), F.lit(True).alias("full")), "saturated")
     if full.isEmpty():
         return members.withColumn("saturated", F.lit(False)), links
-    flagged = lambda m: stage(m.join(full.withColumn("full", F.lit(True)), "pid", "left").withColumn("saturated", F.coalesce("full", F.lit(False))).drop("full"), "flagged")
+    flagged = lambda m: stage(m.join(full, "pid", "left").withColumn("saturated", F.coalesce("full", F.lit(False))).drop("full"), "flagged")
     members = flagged(members)
+    near = stage(lists.join(full.select(F.col("pid").alias("u")), "u", "left_semi"), "saturated-lists")
     for turn in range(rounds):
-        start = members.withColumns({"k": F.lit(k), "last": F.lit(-1.5)})
-        across = stage(_first_lists(start, tables, leaf, seed + 1 + turn, most, apart=True), "across")
+        some = members.filter("saturated").select("pid", "label", "unit", "half", "root", "saturated")
+        if some.agg(F.min("root") == F.max("root")).first()[0]:
+            break
+        across = stage(_first_lists(some.withColumns({"k": F.lit(k), "last": F.lit(-1.5)}), tables, leaf, seed + 1 + turn, most), "across")
         before = _state(across, least)
         for _ in range(rounds):
-            across = stage(_descend(lists.unionByName(across), across, members, k, most, apart=True), "across")
+            across = stage(_descend(near.unionByName(across), across, some, k, most), "across")
             now = _state(across, least)
-            if now[0] == before[0] and now[2] <= before[2] + 1e-3 * abs(before[2]):
+            if now[0] == before[0] and not now[2]:
                 break
             before = now
-        found = stage(_verified(_near(across, least), members, threshold), "links-across")
+        found = stage(_verified(_near(across, least), some, threshold), "links-across")
         if found.isEmpty():
             break
         links = stage(links.union(found).distinct(), "links")
@@ -381,7 +415,7 @@ def _audit(points: DataFrame, lists: DataFrame, counts: DataFrame, threshold: fl
     return min(sum(f for f, _, _ in some) / sum(t for _, t, _ in some) if some else 1.0, sum(shares) / len(shares) if shares else 1.0)
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, k_most: int = K_MOST, tables: int = TABLES, leaf: int = LEAF, rounds: int = 8, attempts: int = 5, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, k_most: int = K_MOST, tables: int = TABLES, leaf: int = LEAF, rounds: int = 6, attempts: int = 5, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per input row.
 
     Vectors link if their labels are equal and not null, their lengths agree and their cosine is threshold or more.
@@ -395,7 +429,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     for attempt in range(attempts):
         first = _first_lists(start, tables << attempt, leaf << attempt, seed + 100 * attempt, k_most)
         lists = stage(first if lists is None else _best(_pairs(first).union(_pairs(lists)), k_most), "lists")
-        lists = _settled(lists, points, k, k_most, least, rounds)
+        lists = _grown(lists, points, k, k_most, least, rounds, tables=tables << attempt, leaf=leaf << attempt, seed=seed + 100 * attempt + 50)
         links = stage(_verified(_near(lists, least), points, threshold), "links")
         members = _rooted(points, links)
         members, links = _joined_groups(members, lists, links, least, threshold, k=k, most=k_most, tables=tables << attempt, leaf=leaf << attempt, rounds=rounds, seed=seed + 100 * attempt)

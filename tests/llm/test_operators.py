@@ -780,9 +780,9 @@ def test_vectors_enlarged(spark):
     assert max(r[1] for r in want) == 25
     points = vectors._distinct(vectors._points(df, "vec_id", "embedding", "label"))[1]
     start = points.withColumns({"k": F.lit(5), "last": F.lit(-1.5)})
-    lists = vectors._settled(vectors._first_lists(start, 4, 16, 1, 40), points, 5, 40, 0.978, 8)
+    lists = vectors._grown(vectors._first_lists(start, 4, 16, 1, 40), points, 5, 40, 0.978, 8, tables=4, leaf=16, seed=2)
     assert lists.filter("k = 40").count() >= 150 and lists.filter((F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= 0.978)).count() == 0
-    assert sorted(map(tuple, vectors.near_duplicates(df, k=5, tables=4, leaf=16).collect())) == want
+    assert sorted(map(tuple, vectors.near_duplicates(df, k=5, k_most=40, tables=4, leaf=16).collect())) == want
 
 
 def test_vectors_recall_is_audited(spark):
