@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import time
 from collections.abc import Sequence
@@ -15,7 +16,9 @@ from kinloom.functions.similarity import parse_threshold
 from kinloom.operators import setops
 from kinloom.plans.algorithms import HOUSEHOLD, Algorithm, MatchOptions, match
 from kinloom.schema import TableColumns
-from kinloom.sources.tables import Source, jdbc, merged_env, persons
+from kinloom.sources.tables import Source, in_ranges, jdbc, merged_env, persons
+
+_log = logging.getLogger(__name__)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +35,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold", help="95, 95%% or 0.95")
     p.add_argument("--direct-fuzzy-normalization", action="store_true", help="exact rules even out full stops and hyphens")
     p.add_argument("--blocking", choices=["soundex"])
+    p.add_argument("--last-initial", action="store_true", help="fuzzy rules compare persons of equal last initial only")
+    p.add_argument("--partitions", type=int, default=64, help="ranges of ids in which a database table is read")
+    p.add_argument("--workbook", action="store_true", help="xlsx: one file, written by the driver row by row, instead of a folder of sheets")
+    p.add_argument("--verbose", action="store_true", help="log what is done")
     p.add_argument("--check-only", action="store_true", help="check the tables' columns and stop")
     return p
 
@@ -64,8 +71,10 @@ def run(spark: SparkSession, args: argparse.Namespace, env: dict[str, str]) -> d
     algorithm = Algorithm(args.algorithm)
     least = 0.5 if algorithm in HOUSEHOLD else 0.6
     threshold = parse_threshold(args.threshold, least=least)
-    options = MatchOptions(min_confidence=0.0 if algorithm <= 2 else threshold, punctuation=args.direct_fuzzy_normalization, blocking=args.blocking)
+    options = MatchOptions(min_confidence=0.0 if algorithm <= 2 else threshold, punctuation=args.direct_fuzzy_normalization, blocking=args.blocking, last_initial=args.last_initial)
+    one, two = in_ranges(spark, one, args.table1, partitions=args.partitions), in_ranges(spark, two, args.table2, partitions=args.partitions)
     a, b = persons(spark, one, args.table1), persons(spark, two, args.table2)
+    _log.info("matching %s with %s by %s", args.table1, args.table2, algorithm.name)
     rows = match(a, b, algorithm, options)
     if args.format in ("csv", "both"):
         export.write_csv(export.report(rows, algorithm), f"{args.out}/csv" if args.format == "both" else args.out)
@@ -79,12 +88,17 @@ def run(spark: SparkSession, args: argparse.Namespace, env: dict[str, str]) -> d
             fuzzy = rows if algorithm in (3, 4) else None
             context = {"Table 1": args.table1, "Table 2": args.table2, "Algorithm": algorithm.name}
             sheets = export.pair_sheets(algo1, algo2, setops.summary(setops.match_counts(a, b, algo1, algo2, fuzzy), context=context))
-        export.write_sheets(sheets, f"{args.out}/sheets" if args.format == "both" else args.out)
+        if args.workbook:
+            export.write_workbook(sheets, args.out if args.format == "xlsx" else f"{args.out}/report.xlsx")
+        else:
+            export.write_sheets(sheets, f"{args.out}/sheets" if args.format == "both" else args.out)
+    _log.info("done in %.1f s", time.time() - began)
     return {"algorithm": algorithm.name, "seconds": time.time() - began}
 
 
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING, format="%(asctime)s %(name)s %(levelname)s %(message)s")
     env = merged_env(args.env_file, dict(os.environ)) if args.env_file else dict(os.environ)
     spark = SparkSession.builder.appName("kinloom").config("spark.sql.adaptive.enabled", "true").getOrCreate()
     print(run(spark, args, env))

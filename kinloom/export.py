@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import re
+import zipfile
+from collections.abc import Iterable
+from pathlib import Path
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +52,7 @@ def write_csv(df: DataFrame, path: str, *, one_file: bool = False, mode: str = "
 
 
 def write_sheets(sheets: dict[str, DataFrame], path: str, *, format: str = "csv") -> None:
-    """A workbook as a folder: one folder for each sheet (Spark has no writer of spreadsheets)."""
+    """A workbook as a folder: one folder for each sheet, written by the executors."""
     for name, df in sheets.items():
         if format == "parquet":
             df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -64,3 +71,131 @@ def pair_sheets(algo1: DataFrame, algo2: DataFrame, summary: DataFrame) -> dict[
 
 def household_sheets(rows: DataFrame) -> dict[str, DataFrame]:
     return {"Household_Matches": household_report(rows)}
+
+
+class CsvWriter:
+    """One CSV file on the driver that grows by rows or by whole reports, each read partition by partition."""
+
+    def __init__(self, path: str, header: list[str], *, flush_every: int = 5_000):
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        self.file = open(path, "w", newline="", encoding="utf-8")  # noqa: SIM115
+        self.writer, self.rows, self.flush_every = csv.writer(self.file), 0, flush_every
+        self.writer.writerow(header)
+
+    def write(self, row: Iterable[object]) -> None:
+        self.writer.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row])
+        self.rows += 1
+        if self.rows % self.flush_every == 0:
+            self.file.flush()
+
+    def append(self, report: DataFrame) -> int:
+        """Write a report's rows; returns how many this file has now."""
+        for row in report.toLocalIterator():
+            self.write(row)
+        return self.rows
+
+    def close(self) -> None:
+        self.file.close()
+
+    def __enter__(self) -> CsvWriter:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+_SHEET_ROWS = 1_048_576  # what a sheet holds (fixed by the format)
+_NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+
+
+class WorkbookWriter:
+    """An .xlsx file on the driver, written sheet after sheet and row after row.
+
+    Rows beyond what a sheet holds go on in a further sheet (name, name_2, ...).
+    """
+
+    def __init__(self, path: str):
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        self.zip, self.names, self.sheet = zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED), [], None
+        self.title, self.header, self.part, self.rows = "", [], 0, 0
+
+    def begin(self, title: str, header: list[str]) -> None:
+        """Start a sheet; the one before is complete."""
+        self._end()
+        self.title, self.header, self.part = title, header, 1
+        self._open(title)
+
+    def _open(self, name: str) -> None:
+        self.names.append(name[:31])
+        self.sheet, self.rows = self.zip.open(f"xl/worksheets/sheet{len(self.names)}.xml", "w"), 0
+        self.sheet.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+        self._row(self.header)
+
+    def _row(self, values: Iterable[object]) -> None:
+        cells = []
+        for v in values:
+            if isinstance(v, bool):
+                cells.append(f'<c t="b"><v>{int(v)}</v></c>')
+            elif isinstance(v, (int, float)):
+                cells.append(f"<c><v>{v}</v></c>")
+            else:
+                cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_NO_XML.sub("", "" if v is None else str(v)))}</t></is></c>')
+        self.sheet.write(f"<row>{''.join(cells)}</row>".encode())
+        self.rows += 1
+
+    def write(self, row: Iterable[object]) -> None:
+        if self.sheet is None:
+            raise ValueError("begin a sheet first")
+        if self.rows == _SHEET_ROWS:
+            self._end()
+            self.part += 1
+            self._open(f"{self.title}_{self.part}")
+        self._row(row)
+
+    def append(self, report: DataFrame) -> None:
+        for row in report.toLocalIterator():
+            self.write(row)
+
+    def _end(self) -> None:
+        if self.sheet is not None:
+            self.sheet.write(b"</sheetData></worksheet>")
+            self.sheet.close()
+            self.sheet = None
+
+    def close(self) -> None:
+        """Finish the last sheet and write the parts that list the sheets."""
+        self._end()
+        if not self.names:
+            self.begin("Sheet", [])
+            self._end()
+        parts = range(1, len(self.names) + 1)
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in parts)
+        links = "".join(f'<Relationship Id="rId{i}" Type="{_LINKS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in parts)
+        sheets = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in zip(parts, self.names, strict=True))
+        head = '<?xml version="1.0" encoding="UTF-8"?>'
+        for name, body in {
+            "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{types}</Types>',
+            "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_LINKS}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+            "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships">{links}</Relationships>',
+            "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_LINKS}"><sheets>{sheets}</sheets></workbook>',
+        }.items():
+            self.zip.writestr(name, head + body)
+        self.zip.close()
+
+    def __enter__(self) -> WorkbookWriter:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """All sheets as one .xlsx file on the driver, which holds one partition of rows at a time; for large results use write_sheets."""
+    with WorkbookWriter(path) as book:
+        for name, df in sheets.items():
+            book.begin(name, df.columns)
+            book.append(df)

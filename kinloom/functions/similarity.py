@@ -151,8 +151,16 @@ def fnv1a64(data: bytes) -> int:
 @F.pandas_udf(LongType())
 def fnv1a64_hash(keys: pd.Series) -> pd.Series:
     """FNV-1a of strings in UTF-8, as a signed long."""
-    made = [None if k is None else fnv1a64(k.encode()) for k in keys]
-    return pd.Series([None if h is None else h - (1 << 64) if h >> 63 else h for h in made], dtype="Int64")
+    raw = [b"" if k is None else k.encode() for k in keys]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    order = np.argsort(-sizes, kind="stable")  # the longest first: those that have a byte i are the first of all
+    data, begins = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(sizes) - sizes)[order]
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    for i, n in enumerate(np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0)))).tolist()):
+        h[:n] = (h[:n] ^ data[begins[:n] + i]) * np.uint64(0x100000001B3)
+    out = np.empty(len(raw), np.int64)
+    out[order] = h.view(np.int64)
+    return pd.Series(out).astype("Int64").where(keys.notna().to_numpy(), pd.NA)
 
 
 def join_key(first: Column, last: Column, birthdate: Column, middle: Column | None = None) -> Column:

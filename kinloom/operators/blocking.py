@@ -73,14 +73,31 @@ def neighbour_year_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     return _pairs(asked.withColumns(has).filter(counts), b)
 
 
-def _scored(persons: DataFrame, accent_fold: bool) -> DataFrame:
-    return block_columns(scored_names(persons, middle=False, accent_fold=accent_fold))
+def _scored(persons: DataFrame, accent_fold: bool, middle: bool = False) -> DataFrame:
+    return block_columns(scored_names(persons, middle=middle, accent_fold=accent_fold))
 
 
-def fuzzy_blocked(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:
-    """A4 over blocked candidates with equal birthdates; a subset of fuzzy_no_middle."""
-    pairs = blocked_candidates(_scored(a, accent_fold), _scored(b, accent_fold)).filter("a_birthdate = b_birthdate")
-    return _fuzzy(rules.classify(pairs, middle=False), min_confidence)
+def fuzzy_blocked(a: DataFrame, b: DataFrame, *, middle: bool = False, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:
+    """A4 (with middle names A3) over blocked candidates with equal birthdates; a subset of what the unblocked rule finds."""
+    pairs = blocked_candidates(_scored(a, accent_fold, middle), _scored(b, accent_fold, middle)).filter("a_birthdate = b_birthdate")
+    return _fuzzy(rules.classify(pairs, middle=middle), min_confidence)
+
+
+def fuzzy_blocked_reclassified(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:
+    """Pairs that blocked A3 finds and A4 accepts as well, with A4's label and score."""
+
+    def both(persons: DataFrame) -> DataFrame:
+        """Names scored with middle names, and full_4 and code_4 without them, all below the join."""
+        three = _scored(persons, accent_fold, True).withColumnsRenamed({"full": "full_3", "code": "code_3"})
+        kept = [c for c in three.columns if c not in ("s_first", "s_mid", "s_last")]
+        return scored_names(three.select(*kept), middle=False, accent_fold=accent_fold).withColumnsRenamed({"full": "full_4", "code": "code_4"})
+
+    def by(pairs: DataFrame, n: int) -> DataFrame:
+        return pairs.withColumns({f"{p}_{c}": F.col(f"{p}_{c}_{n}") for p in ("a", "b") for c in ("full", "code")})
+
+    pairs = blocked_candidates(both(a), both(b)).filter("a_birthdate = b_birthdate")
+    three = rules.classify(by(pairs, 3), middle=True).drop("label", "score")
+    return _fuzzy(rules.classify(by(three, 4), middle=False), min_confidence)
 
 
 def fuzzy_birthdate(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:

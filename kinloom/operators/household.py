@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators.matching import fuzzy_no_middle
+from kinloom.storage import staged
 
 OUT = ["row_id", "uuid", "hh_id", "match_percentage", "region_code", "poor_hat_0", "poor_hat_10"]
 
@@ -31,18 +32,20 @@ def _share(found: DataFrame, person: str, sizes: DataFrame, by: str) -> DataFram
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows numbered from 1 in the order of uuid and hh_id.
+    """Rows in the order of uuid and hh_id, numbered from 1.
 
-    Ranges of uuids by their first bytes are counted first; a row's number is its place in its range and the rows of
-    the ranges before, so that no task orders all households.
+    Households are dealt out by ranges that Spark draws from the rows themselves, and written; a row's number is its
+    place in its range and the rows of the ranges before, so that no task orders all households, whatever their ids look like.
     """
-    ranged = rows.select("uuid", "hh_id", "match_percentage").withColumn("range", F.substring("uuid", 1, 3))
-    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.select("uuid", "hh_id", "match_percentage").repartitionByRange(parts, "uuid", "hh_id").withColumn("range", F.spark_partition_id())
+    ranged = staged(ranged, "households")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row for each range
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("uuid", "hh_id"))
     none = {c: F.lit(None).cast("string") for c in ("region_code", "poor_hat_0", "poor_hat_10")}
-    numbered = ranged.withColumn("place", place).join(before.select("range", "before"), "range")
-    return numbered.withColumns(none | {"row_id": (F.col("before") + F.col("place")).cast("long")}).select(*OUT)
+    numbered = ranged.withColumn("place", place).join(F.broadcast(before), "range")
+    return numbered.withColumns(none | {"row_id": (F.col("before") + F.col("place")).cast("long")}).select(*OUT).orderBy("row_id")
 
 
 def household_t1(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.95, pairs: DataFrame | None = None, accent_fold: bool = True) -> DataFrame:

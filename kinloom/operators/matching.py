@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.functions.normalize import normalize_text
+from kinloom.functions.phonetic import first_char_initial
 from kinloom.operators import rules
 from kinloom.operators.prepared import normalized, scored_names, side
 from kinloom.schema import NAMES
@@ -47,10 +49,18 @@ def exact_first_mid_last_dob(a: DataFrame, b: DataFrame, *, punctuation: bool =
     return to_pairs(_exact(a, b, True, punctuation), F.lit(100.0), F.array(*map(F.lit, FIELDS_2)), flag="infnmnbd")
 
 
-def fuzzy_pairs(a: DataFrame, b: DataFrame, *, middle: bool, accent_fold: bool = True) -> DataFrame:
-    """Classified pairs (score, label) with all columns of both sides."""
+def fuzzy_pairs(a: DataFrame, b: DataFrame, *, middle: bool, accent_fold: bool = True, last_initial: bool = False) -> DataFrame:
+    """Classified pairs (score, label) with all columns of both sides.
+
+    last_initial: the first characters of the last names have to agree as well (two persons without last name do), and
+    are part of the join's key.
+    """
     one, two = (side(scored_names(t, middle=middle, accent_fold=accent_fold), p) for t, p in ((a, "a"), (b, "b")))
-    return rules.classify(one.join(two, F.col("a_birthdate") == F.col("b_birthdate")), middle=middle)
+    on = F.col("a_birthdate") == F.col("b_birthdate")
+    if last_initial:
+        initial = lambda p: F.coalesce(first_char_initial(normalize_text(F.col(f"{p}_last_name"))), F.lit(""))
+        on = on & (initial("a") == initial("b"))
+    return rules.classify(one.join(two, on), middle=middle)
 
 
 def _fuzzy(pairs: DataFrame, min_confidence: float) -> DataFrame:
@@ -58,11 +68,11 @@ def _fuzzy(pairs: DataFrame, min_confidence: float) -> DataFrame:
     return out.filter(F.col("confidence") >= F.lit(min_confidence).cast("float")) if min_confidence > 0 else out
 
 
-def fuzzy(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:
+def fuzzy(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False) -> DataFrame:
     """A3: equal birthdates, and first, middle and last name by the case rule."""
-    return _fuzzy(fuzzy_pairs(a, b, middle=True, accent_fold=accent_fold), min_confidence)
+    return _fuzzy(fuzzy_pairs(a, b, middle=True, accent_fold=accent_fold, last_initial=last_initial), min_confidence)
 
 
-def fuzzy_no_middle(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:
+def fuzzy_no_middle(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False) -> DataFrame:
     """A4: A3 without middle names."""
-    return _fuzzy(fuzzy_pairs(a, b, middle=False, accent_fold=accent_fold), min_confidence)
+    return _fuzzy(fuzzy_pairs(a, b, middle=False, accent_fold=accent_fold, last_initial=last_initial), min_confidence)

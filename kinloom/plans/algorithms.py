@@ -30,7 +30,8 @@ class MatchOptions:
     min_confidence: float = 0.0
     accent_fold: bool = True  # fuzzy rules compare folded names; False compares them as they are
     punctuation: bool = False  # exact rules even out full stops and hyphens
-    blocking: str | None = None  # "soundex": blocked candidates for A4 and households
+    blocking: str | None = None  # "soundex": blocked candidates for A3, A4 and households
+    last_initial: bool = False  # unblocked fuzzy rules compare persons of equal last initial only
 
 
 def match(a: DataFrame, b: DataFrame, algorithm: Algorithm | int, options: MatchOptions | None = None) -> DataFrame:
@@ -44,11 +45,11 @@ def match(a: DataFrame, b: DataFrame, algorithm: Algorithm | int, options: Match
         return matching.exact_first_mid_last_dob(a, b, punctuation=o.punctuation)
     fuzzy = {"min_confidence": o.min_confidence, "accent_fold": o.accent_fold}
     if algorithm == Algorithm.FUZZY:
-        return matching.fuzzy(a, b, **fuzzy)
+        return blocking.fuzzy_blocked(a, b, middle=True, **fuzzy) if o.blocking else matching.fuzzy(a, b, last_initial=o.last_initial, **fuzzy)
     if algorithm == Algorithm.FUZZY_BIRTHDATE:
         return blocking.fuzzy_birthdate(a, b, **fuzzy)
     if algorithm == Algorithm.FUZZY_NO_MIDDLE:
-        return (blocking.fuzzy_blocked if o.blocking else matching.fuzzy_no_middle)(a, b, **fuzzy)
+        return blocking.fuzzy_blocked(a, b, **fuzzy) if o.blocking else matching.fuzzy_no_middle(a, b, last_initial=o.last_initial, **fuzzy)
     run = household.household_t1 if algorithm == Algorithm.HOUSEHOLD_T1 else household.household_t2
     pairs = blocking.fuzzy_blocked(a, b, accent_fold=o.accent_fold) if o.blocking else None
     return run(a, b, min_confidence=o.min_confidence or 0.95, pairs=pairs, accent_fold=o.accent_fold)

@@ -14,7 +14,7 @@ from kinloom.generate import FIRST, LAST, MIDDLE, pick
 from kinloom.operators import blocking, household, matching, partition, setops
 from kinloom.operators.prepared import normalized, side
 from kinloom.plans import engine
-from kinloom.plans.algorithms import Algorithm, match
+from kinloom.plans.algorithms import Algorithm, MatchOptions, match
 from kinloom.schema import ColumnMapping, to_persons
 from kinloom.sources.tables import Source, keyset_page, page
 from kinloom.storage import work_folder
@@ -289,11 +289,13 @@ def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a_name", "b_name", F.round(similarity.jaro_winkler_pct(F.col("a_name"), F.col("b_name")), 6).alias("pct"))
 
 
-@_query(_with() + f" SELECT x.id AS id1, y.id AS id2, CAST({_DATE_SIMILARITY} AS DOUBLE) AS pct FROM persons_a x JOIN persons_b y ON x.id = y.id % 1000 WHERE x.birthdate IS NOT NULL")
+@_query(_with() + f", dates AS (SELECT DISTINCT x.birthdate AS x, y.birthdate AS y FROM (SELECT DISTINCT birthdate FROM persons_a) x JOIN (SELECT DISTINCT birthdate FROM persons_b) y ON abs(year(x.birthdate) - year(y.birthdate)) <= 2) SELECT CAST(x.birthdate AS VARCHAR) AS date1, CAST(y.birthdate AS VARCHAR) AS date2, CAST({_DATE_SIMILARITY} AS DOUBLE) AS pct FROM (SELECT x AS birthdate, y AS other FROM dates) x JOIN (SELECT DISTINCT y AS birthdate FROM dates) y ON x.other = y.birthdate")
 def birthdate_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = persons(spark, sf_dir)
-    pairs = side(a, "a").join(side(b, "b"), F.col("a_id") == F.col("b_id") % 1000).filter("a_birthdate is not null")
-    return pairs.select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), similarity.birthdate_similarity_pct(F.col("a_birthdate"), F.col("b_birthdate")).alias("pct"))
+    """All birthdates of either table that lie in the same year or up to two apart."""
+    a, b = (t.select("birthdate").distinct().filter("birthdate is not null") for t in persons(spark, sf_dir))
+    near = side(a.withColumn("near", F.explode(F.sequence(F.year("birthdate") - 2, F.year("birthdate") + 2))), "a")
+    pairs = near.join(side(b, "b"), F.col("a_near") == F.year("b_birthdate"))
+    return pairs.select(F.col("a_birthdate").cast("string").alias("date1"), F.col("b_birthdate").cast("string").alias("date2"), similarity.birthdate_similarity_pct(F.col("a_birthdate"), F.col("b_birthdate")).alias("pct"))
 
 
 @_query(_with(_norm_sql()) + " " + _exact_sql(False))
@@ -390,6 +392,35 @@ def fuzzy_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs_out(blocking.fuzzy_blocked(*persons(spark, sf_dir)))
 
 
+@_query(_with(_fuzzy_sql(True, _blocked_sql("tiers"))) + " " + _FUZZY_OUT)
+def fuzzy_full_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs_out(match(*persons(spark, sf_dir), Algorithm.FUZZY, MatchOptions(blocking="soundex")))
+
+
+@_query(f"SELECT four.* FROM ({_with(_fuzzy_sql(False, _blocked_sql('tiers')))} {_FUZZY_OUT}) four JOIN ({_with(_fuzzy_sql(True, _blocked_sql('tiers')))} SELECT ida AS id1, idb AS id2 FROM hit) three ON four.id1 = three.id1 AND four.id2 = three.id2")
+def fuzzy_blocked_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs_out(blocking.fuzzy_blocked_reclassified(*persons(spark, sf_dir)))
+
+
+_INITIAL = lambda t: f"coalesce(substring(upper({_text(f'{t}.last_name')}), 1, 1), '')"
+
+
+@_query(_with(_fuzzy_sql(False)) + f" {_FUZZY_OUT} JOIN persons_a p ON p.id = ida JOIN persons_b q ON q.id = idb WHERE {_INITIAL('p')} = {_INITIAL('q')}")
+def fuzzy_last_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs_out(match(*persons(spark, sf_dir), Algorithm.FUZZY_NO_MIDDLE, MatchOptions(last_initial=True)))
+
+
+@_query(_with(_RESULTS) + " SELECT id FROM persons_b WHERE id NOT IN (SELECT id2 FROM r1)")
+def unmatched_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = persons(spark, sf_dir)
+    return setops.unmatched_right(b, matching.exact_first_last_dob(a, b)).select("id")
+
+
+@_query(_with(_fuzzy_sql(False, _blocked_sql("tiers")), _household_sql("ida", "uuid", "hh", "SELECT uuid AS g, count(*) AS n FROM persons_a WHERE uuid IS NOT NULL GROUP BY uuid")) + " " + _HOUSE_OUT.format(u="g", h="o"))
+def household_t1_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _house_out(match(*persons(spark, sf_dir), Algorithm.HOUSEHOLD_T1, MatchOptions(blocking="soundex")))
+
+
 _A7 = f"a7 AS (SELECT ida, idb, label, score, CAST({_DATE_SIMILARITY} AS DOUBLE) AS bd FROM hit JOIN persons_a x ON x.id = ida JOIN persons_b y ON y.id = idb)"
 
 
@@ -498,7 +529,7 @@ def join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(persons(spark, sf_dir)[0]).select("id", similarity.join_key(c("n_first"), c("n_last"), c("birthdate"), c("n_mid")).alias("join_key"))
 
 
-@_query("SELECT avg(s) AS mean_seconds, CAST(18.0 AS DOUBLE) AS median_seconds, round(stddev_pop(s), 6) AS std_seconds, round(avg(100 / s), 6) AS mean_rps FROM (SELECT CAST(n_regionkey * 2 + 12 AS DOUBLE) AS s FROM (SELECT DISTINCT n_regionkey FROM nation) WHERE n_regionkey > 0)")
+@_query("SELECT avg(s) AS mean_seconds, list_sort(list(s))[count(*) // 2 + 1] AS median_seconds, round(stddev_pop(s), 6) AS std_seconds, round(avg(100 / s), 6) AS mean_rps FROM (SELECT CAST(n_regionkey * 2 + 12 AS DOUBLE) AS s FROM (SELECT DISTINCT n_regionkey FROM nation) WHERE n_regionkey > 0)")
 def bench_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_regionkey").distinct().filter("n_regionkey > 0")
     stats = metrics.run_statistics(runs.select((F.col("n_regionkey") * 2 + 12).cast("double").alias("seconds"), F.lit(100).alias("records")))

@@ -63,8 +63,8 @@ class TableColumns:
 
     @classmethod
     def of(cls, df: DataFrame, mapping: ColumnMapping | None = None) -> TableColumns:
-        have, m = set(df.columns), mapping or ColumnMapping()
-        return cls(frozenset(n for n in NAMES if getattr(m, n) in have))
+        have, m = set(map(str.lower, df.columns)), mapping or ColumnMapping()
+        return cls(frozenset(n for n in NAMES if (getattr(m, n) or "").lower() in have))
 
     def missing(self, role: int) -> list[str]:
         """Required columns that are absent; table 1 also needs uuid."""
@@ -77,11 +77,11 @@ class TableColumns:
 
 
 def select_list(columns: list[str], mapping: ColumnMapping | None = None) -> list[Column]:
-    """The canonical projection: renamed, cast, and NULL for what the source lacks."""
-    m, out = mapping or ColumnMapping(), []
+    """The canonical projection: renamed, cast, and NULL for what the source lacks; upper and lower case of names don't differ."""
+    m, out, have = mapping or ColumnMapping(), [], {c.lower(): c for c in reversed(columns)}
     for field in PERSON.fields:
-        source = getattr(m, field.name)
-        if source is not None and source in columns:
+        source = have.get((getattr(m, field.name) or "").lower())
+        if source is not None:
             c = F.to_date(F.col(source)) if field.name == "birthdate" else F.col(source).cast(field.dataType)
         else:
             c = F.lit(None).cast(field.dataType)

@@ -36,7 +36,7 @@ class Source:
         if self.kind == "catalog":
             return sorted(t.name for t in (spark.catalog.listTables(self.location) if self.location else spark.catalog.listTables()))
         if self.kind == "jdbc":
-            raise ValueError("name the tables of a database")
+            return _database_tables(spark, self)
         path = spark._jvm.org.apache.hadoop.fs.Path(self.location)
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
         suffix = f".{self.kind}"
@@ -51,6 +51,46 @@ def jdbc(url: str, *, user: str = "", password: str = "", lower: int | None = No
     return Source("jdbc", url, {k: v for k, v in options.items() if v})
 
 
+def _database_tables(spark: SparkSession, source: Source) -> list[str]:
+    """Names of a database's tables, by the driver's own metadata."""
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in source.options:
+            properties.setProperty(k, source.options[k])
+    if "driver" in source.options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(source.options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(source.location, properties)
+    try:
+        kinds = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        found, names = connection.getMetaData().getTables(connection.getCatalog(), None, "%", kinds), []
+        while found.next():
+            names.append(found.getString("TABLE_NAME"))
+    finally:
+        connection.close()
+    return sorted(names)
+
+
+def in_ranges(spark: SparkSession, source: Source, name: str, *, column: str = "id", partitions: int = 64) -> Source:
+    """source, whose scans of a database table run as ranges of a whole-number column side by side.
+
+    The column's least and greatest value are asked of the database.  Other sources, those with bounds of their own, and
+    empty tables stay as they are.
+    """
+    if source.kind != "jdbc" or "partitionColumn" in source.options:
+        return source
+    t = validate_ident(name)
+    c = next((x for x in source.table(spark, name).columns if x.lower() == column.lower()), None)
+    if c is None:
+        return source
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(source.location).quoteIdentifier(c)
+    r = spark.read.format("jdbc").options(url=source.location, query=f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {t}", **source.options).load().first()
+    if r is None or r[0] is None:
+        return source
+    return Source("jdbc", source.location, source.options | {"partitionColumn": c, "lowerBound": str(r[0]), "upperBound": str(int(r[1]) + 1), "numPartitions": str(partitions)})
+
+
 def discover_columns(spark: SparkSession, source: Source, name: str, mapping: ColumnMapping | None = None) -> TableColumns:
     return TableColumns.of(source.table(spark, name), mapping)
 

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinloom-")
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it is deleted when the application ends.
+
+    Where that is unset a local folder serves local runs; RuntimeError on a cluster, whose executors would not see it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="kinloom-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet into a work folder and read back."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

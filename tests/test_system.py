@@ -212,8 +212,15 @@ def test_metrics(spark):
     df, seen = metrics.observed(spark.range(7), "seen")
     df.count()
     assert seen.get["rows"] == 7
-    assert metrics.categorize_error("x", "42S02") == "TableValidation" and metrics.categorize_error("Permission", "42000") == "TableValidation"
-    assert metrics.categorize_error("Unknown column 'x'") == "SchemaValidation" and metrics.categorize_error("hm") == "Unknown"
+    for made, kind in ((lambda: spark.table("no_such_table").count(), "table"), (lambda: spark.range(1).select("nothing"), "column"), (lambda: spark.sql("selec 1"), "statement"), (lambda: spark.sql("set spark.sql.ansi.enabled = true") and spark.sql("select cast('x' as int)").collect(), "data")):
+        with pytest.raises(Exception) as caught:
+            made()
+        assert metrics.error_kind(caught.value) == kind
+    spark.conf.unset("spark.sql.ansi.enabled")
+    states = {"08S01": "connection", "28000": "connection", "42S02": "table", "42S22": "column", "42000": "statement", "22007": "data", "23000": "data", "HYT00": "resources", "99999": "unknown"}
+    assert {s: metrics.error_kind(sqlstate=s) for s in states} == states
+    types = {"column": SchemaError("x"), "configuration": config.ConfigError("a", "b"), "table": FileNotFoundError(), "connection": TimeoutError(), "resources": MemoryError(), "data": ValueError(), "unknown": RuntimeError()}
+    assert {k: metrics.error_kind(e) for k, e in types.items()} == {k: k for k in types}
 
 
 def test_queries_equal_their_sql(spark):
