@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 from kinloom.llm.base import map_arrow
 
 CRLF = b"\r\n"
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-#: Innermost first; an element without an end tag loses its tags alone.
-_HIDDEN = re.compile(r"<svg\b[^>]*/>|<(noscript|template|svg)\b[^>]*>(?:(?!<\1\b).)*?</\1\s*>", re.I | re.S)
-#: What a head can hold: as its end tag is optional, anything else ends it.
-_HEAD = re.compile(r"<head\b[^>]*>(?:\s+|<title\b[^>]*>.*?</title\s*>|</?(?:meta|link|base|basefont|bgsound|noscript|template|html|title)\b[^>]*>)*(?:</head\s*>)?", re.I | re.S)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*(?:>|\Z)")
+#: Comments, scripts and styles (to the page's end if they aren't closed), tags, and other markup.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.I | re.S)
+#: Elements that aren't shown, if they are closed.
+_HIDDEN = frozenset(("svg", "noscript", "template"))
+#: What a head can hold; as its end tag is optional, anything else ends it.
+_IN_HEAD = frozenset(("meta", "link", "base", "basefont", "bgsound", "noscript", "template", "html", "head"))
+_BREAK = frozenset(("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul").split())
 _SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -91,14 +90,65 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def plain_text(page: str) -> str:
-    """A page's visible text: a line for each block element, white space run together, entities resolved."""
-    title = _TITLE.search(page)
-    body, n = _RAW.sub(" ", page), 1
-    while n:
-        body, n = _HIDDEN.subn(" ", body)
-    text = (title[1] + "\n" if title else "") + _HEAD.sub(" ", body)
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", text)))
-    return _LINES.sub("\n", _SPACE.sub(" ", text)).strip(" \n")
+    """A page's visible text: its title, then a line for each block element; white space run together, entities resolved.
+
+    One pass over the markup.  Hidden elements lose their content when their end tag comes; without one they lose their tags alone.
+    """
+    out: list[str] = []
+    title: str | None = None
+    head, hidden, at = False, [], 0  # hidden: names of open hidden elements, and where their content begins in out
+    in_title, last_title, open_ = -1, max((m.start() for m in _CLOSED_TITLE.finditer(page)), default=-1), dict.fromkeys(_HIDDEN, 0)
+    for m in _MARKUP.finditer(page):
+        text = page[at : m.start()]
+        at = m.end()
+        if text:
+            if head and in_title < 0 and not text.isspace():
+                head = False
+            if not head or in_title >= 0:
+                out.append(text)
+        name = m["name"]
+        if name is None:
+            if not head:
+                out.append(" ")
+            continue
+        name, end = name.lower(), bool(m["end"])
+        if name == "title" and not hidden:
+            if end and in_title >= 0:
+                if title is None:
+                    title = "".join(out[in_title:])
+                del out[in_title:]
+                in_title = -1
+            elif not end and in_title < 0 and at <= last_title:
+                in_title = len(out)
+            continue
+        if name == "head":
+            head = not end
+            continue
+        if head and name not in _IN_HEAD:
+            head = False
+        if name in _BREAK:
+            out.append("\n")
+        elif name in _HIDDEN:
+            if end:
+                while open_[name]:
+                    inner, begin = hidden.pop()
+                    open_[inner] -= 1
+                    if inner == name:
+                        del out[begin:]
+                        out.append(" ")
+                        break
+            elif name == "svg" and m["rest"].endswith("/"):
+                out.append(" ")
+            else:
+                hidden.append((name, len(out)))
+                open_[name] += 1
+    if at < len(page):
+        out.append(page[at:])
+    text = ("" if title is None else title + "\n") + "".join(out)
+    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text))).strip(" \n")
+
+
+_CLOSED_TITLE = re.compile(r"</title\s*>", re.I)
 
 
 def response(url: str | None, page: str | None, *, key: object, date: str) -> bytes:
