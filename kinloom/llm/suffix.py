@@ -4,12 +4,12 @@ Every window of 200 bytes is assigned to the 32-byte string inside it whose hash
 have equal anchors, so repeats are looked for among the occurrences of an anchor alone:
 
 * An occurrence is the stretch of windows that have it as their anchor.  Occurrences with equal stretches repeat as a
-  whole; they are found by a hash of the stretch.
+  whole; they are found by a digest of 128 bits of the stretch.
 * Anchors with several different stretches go to shards, one copy of each stretch.  A shard sorts its suffixes by
   Larsson-Sadakane refinement, and Kasai's pass over the stretches gives the common prefixes of neighbours; windows
   with a common prefix of 200 bytes repeat.
-* An anchor with more stretches than a shard should hold is dealt over several shards.  Each hands on the sorted
-  digests of its windows, cut into ranges, and the shards' runs of a range are looked up in each other by binary search.
+* An anchor with more stretches than a shard should hold is dealt over several shards.  Each hands on a digest of 128 bits of
+  each different window of its suffix array, sorted and cut into ranges, and the shards' runs of a range are looked up in each other by binary search.
 
 Documents are known by a 64-bit hash of id and text, so that fully repeated rows stay rows of their own.
 """
@@ -29,8 +29,8 @@ from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, relea
 from kinloom.llm.vectors import grouped
 
 SPAN, GRAM = 200, 32
-STRETCHES = 2048  # different stretches of one anchor that one shard holds
-SHARD_BYTES = 2 << 20
+STRETCHES = 512  # different stretches of one anchor that one shard holds
+SHARD_BYTES = 1 << 20
 _BLOCK = 1 << 20
 
 
@@ -163,17 +163,20 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, left: np.ndarray, sa:
     return out
 
 
-def repeated_windows(stretches: list[bytes], span: int = SPAN) -> list[np.ndarray]:
-    """For each stretch, a flag for each of its windows: the window is also elsewhere among the stretches."""
+def repeated_windows(stretches: list[bytes], span: int = SPAN) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each stretch, a flag for each of its windows: the window is also elsewhere among the stretches; and a number of
+    each window: the place in the suffix array of the first that is equal to it."""
     lengths = np.array([len(s) for s in stretches], np.int64)
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(stretches), np.uint8)
     left = np.repeat(ends, lengths) - np.arange(len(data))
     sa = suffix_array(data, left)
     shared = common_prefixes(data, ends - lengths, left, sa, span) >= span
-    flag = np.zeros(len(data), bool)
+    flag, number = np.zeros(len(data), bool), np.zeros(len(data), np.int64)
     flag[sa] = shared | np.r_[shared[1:], False]
-    return [flag[e - n : e - span + 1] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    number[sa] = np.maximum.accumulate(np.where(shared, 0, np.arange(len(data))))
+    cut = [(e - n, e - span + 1) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    return [flag[a:b] for a, b in cut], [number[a:b] for a, b in cut]
 
 
 def covered(marks: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -194,29 +197,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _occurrences(keyed: DataFrame, span: int) -> DataFrame:
-    """ah, ch, rid, first, last, n: an anchor's hash, its stretch's hash, the document, the stretch's windows, copies.
+    """ah, ch, c2, rid, first, last, n: an anchor's hash, its stretch's digest, the document, the stretch's windows, copies.
 
     Stretches that a batch has several times repeat for certain: one row stands for them (n copies), and their windows,
     run together, come as rows with n = 0.  So a long periodic text or a group of copies gives few rows.
     """
-    names = "ah long,ch long,rid long,first int,last int,n int"
+    names = "ah long,ch long,c2 long,rid long,first int,last int,n int"
 
     def rows(batch: pa.RecordBatch) -> dict:
-        got: dict[str, list] = {n: [] for n in ("ah", "ch", "rid", "first", "last")}
+        got: dict[str, list] = {n: [] for n in ("ah", "ch", "c2", "rid", "first", "last")}
         for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             pos, h, first, last = anchors(raw, span)
             if len(pos):
                 cut = zip(pos.tolist(), first.tolist(), last.tolist(), strict=True)
-                ch = np.array([xxhash.xxh3_64_intdigest(raw[a : b + span], p - a) for p, a, b in cut], np.uint64).view(np.int64)
-                for k, v in zip(got, (h, ch, np.full(len(pos), rid), first, last), strict=True):
+                ch = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : b + span], p - a) for p, a, b in cut]), np.int64).reshape(-1, 2)
+                for k, v in zip(got, (h, ch[:, 0], ch[:, 1], np.full(len(pos), rid), first, last), strict=True):
                     got[k].append(v)
         if not got["ah"]:
             return {x.split()[0]: [] for x in names.split(",")}
         a = {k: np.concatenate(v) for k, v in got.items()}
-        order = np.lexsort((a["first"], a["rid"], a["ch"], a["ah"]))
+        order = np.lexsort((a["first"], a["rid"], a["c2"], a["ch"], a["ah"]))
         a = {k: v[order] for k, v in a.items()}
-        starts = np.flatnonzero(np.r_[True, (a["ah"][1:] != a["ah"][:-1]) | (a["ch"][1:] != a["ch"][:-1])])
+        starts = np.flatnonzero(np.r_[True, (a["ah"][1:] != a["ah"][:-1]) | (a["ch"][1:] != a["ch"][:-1]) | (a["c2"][1:] != a["c2"][:-1])])
         n = np.diff(np.r_[starts, len(order)])
         settled = np.repeat(n > 1, n)
         own = {k: v[settled] for k, v in a.items()}
@@ -226,7 +229,7 @@ def _occurrences(keyed: DataFrame, span: int) -> DataFrame:
         last = np.maximum.reduceat(last, runs) if len(runs) else last
         none = np.zeros(len(runs), np.int64)
         return {
-            "ah": np.r_[a["ah"][starts], none], "ch": np.r_[a["ch"][starts], none], "rid": np.r_[a["rid"][starts], rid[runs]],
+            "ah": np.r_[a["ah"][starts], none], "ch": np.r_[a["ch"][starts], none], "c2": np.r_[a["c2"][starts], none], "rid": np.r_[a["rid"][starts], rid[runs]],
             "first": np.r_[a["first"][starts], first[runs]], "last": np.r_[a["last"][starts], last], "n": np.r_[n, none],
         }
 
@@ -263,23 +266,36 @@ def _within_shards(stretches: DataFrame, span: int) -> DataFrame:
     spread = stretches.repartition(max(partitions(stretches), 12), "ah", "chunk").sortWithinPartitions("ah", "chunk", "ch")
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
-        flags = repeated_windows([r[7] for r in rows], span)
-        runs: dict[int, list] = {}
-        for (ah, chunk, chunks, _, rid, first, n, raw), flag in zip(rows, flags, strict=True):
+        flags, numbers = repeated_windows([r[7] for r in rows], span)
+        runs: dict[tuple[int, int], list] = {}
+        for row, flag, number in zip(rows, flags, numbers, strict=True):
+            ah, chunk, chunks, _, rid, first, n, _ = row
             if n == 1:
                 edge = np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0]))
                 for a, b in edge.reshape(-1, 2).tolist():
                     yield rid, first + a, first + b - 1 + span, None, None, None, None, None
             if chunks > 1:  # what other shards have of this anchor isn't known here
-                runs.setdefault(chunk, []).extend((xxhash.xxh3_64_intdigest(raw[i : i + span], ah & 0xFFFFFFFF), rid if n == 1 else 0, first + i if n == 1 else -1) for i in range(len(flag)))
-        for chunk, made in runs.items():
-            made.sort()
-            digest = np.array([m[0] for m in made], np.uint64)
-            rid, start = np.array([m[1] for m in made], np.int64), np.array([m[2] for m in made], np.int32)
-            cut = np.searchsorted(digest, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGE_BITS))
-            for r, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(digest)], strict=True)):
+                runs.setdefault((ah, chunk), []).append((row, number))
+        for (ah, chunk), own in runs.items():
+            made: dict[int, bytes] = {}  # digests of the different windows, by their numbers
+            digests, rids, starts = [], [], []
+            for (_, _, _, _, rid, first, n, raw), number in own:
+                for i, x in enumerate(number.tolist()):
+                    d = made.get(x)
+                    if d is None:
+                        d = made[x] = xxhash.xxh3_128_digest(raw[i : i + span], ah & 0xFFFFFFFF)
+                    digests.append(d)
+                rids.append(np.full(len(number), rid if n == 1 else 0))
+                starts.append(first + np.arange(len(number)) if n == 1 else np.full(len(number), -1))
+            digest, rid, start = np.array(digests, "S16"), np.concatenate(rids).astype(np.int64), np.concatenate(starts).astype(np.int32)
+            order = np.argsort(digest, kind="stable")
+            digest, rid, start = digest[order], rid[order], start[order]
+            lead = digest.view(np.uint8).reshape(-1, 16)[:, :2].astype(np.int64)
+            cut = np.searchsorted((lead[:, 0] << 8 | lead[:, 1]) >> (16 - RANGE_BITS), np.arange(RANGES + 1)).tolist()
+            name = xxhash.xxh3_64_intdigest(f"{ah} {chunk}".encode()) >> 1
+            for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
                 if a < b:
-                    yield None, None, None, r, hash((rows[0][0], chunk)) & 0x7FFFFFFFFFFFFFFF, digest[a:b].tobytes(), rid[a:b].tobytes(), start[a:b].tobytes()
+                    yield None, None, None, r, name, digest[a:b].tobytes(), rid[a:b].tobytes(), start[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -312,7 +328,7 @@ def _across_shards(runs: DataFrame, span: int) -> DataFrame:
     def merge(table: pa.Table) -> Iterator[dict]:
         parts: dict[int, list] = {}
         for r, d, i, s in zip(*(table.column(c).to_pylist() for c in ("run", "digests", "rids", "starts")), strict=True):
-            parts.setdefault(r, []).append((np.frombuffer(d, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(s, np.int32)))
+            parts.setdefault(r, []).append((np.frombuffer(d, "S16"), np.frombuffer(i, np.int64), np.frombuffer(s, np.int32)))
         own = {r: tuple(np.concatenate(x) for x in zip(*p, strict=True)) for r, p in parts.items()}
         for r, (digest, rid, start) in own.items():
             hit = np.zeros(len(digest), bool)
@@ -336,11 +352,11 @@ def marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
     settled, found = found.filter("n = 0").select(*place), found.filter("n > 0")
     shared = stage(found.groupBy("ah").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("ah"), "shared-anchors")
     found = stage(found.join(shared, "ah"), "shared-occurrences")
-    kinds = stage(found.groupBy("ah", "ch").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "stretches")
-    whole = found.filter("n = 1").join(kinds.filter("n > 1").select("ah", "ch"), ["ah", "ch"]).select(*place)
+    kinds = stage(found.groupBy("ah", "ch", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "stretches")
+    whole = found.filter("n = 1").join(kinds.filter("n > 1").select("ah", "ch", "c2"), ["ah", "ch", "c2"]).select(*place)
     # anchors with different stretches, one copy of each; those with very many are dealt over shards
     mixed = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("ah", F.ceil(F.col("kinds") / STRETCHES).cast("int").alias("chunks"))
-    wanted = kinds.join(stage(mixed, "mixed-anchors"), "ah").select("ah", F.pmod(F.xxhash64("ch"), F.col("chunks")).cast("int").alias("chunk"), "chunks", "ch", "one.*", "n")
+    wanted = kinds.join(stage(mixed, "mixed-anchors"), "ah").select("ah", F.pmod(F.xxhash64("ch", "c2"), F.col("chunks")).cast("int").alias("chunk"), "chunks", "ch", "one.*", "n")
     wanted = stage(wanted, "wanted")
     rids = stage(wanted.select("rid").distinct(), "wanted-documents")
     out = stage(_within_shards(_shards(_texts(keyed, rids), wanted, span), span), "shards")

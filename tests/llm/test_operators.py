@@ -308,7 +308,10 @@ def test_repeated_windows():
         base = [letters(rng.randint(100, 700)) for _ in range(6)]
         texts = [b[i : i + rng.randint(200, 600)] + letters(rng.randint(0, 50)) for b in base for i in (0, rng.randint(0, 90))]
         texts = [t for t in texts if len(t) >= 200] + [b"ab" * 200, b"a" * 300, b"\0" * 210]
-        assert [g.tolist() for g in suffix.repeated_windows(texts)] == brute_windows(texts, 200)
+        flags, numbers = suffix.repeated_windows(texts)
+        assert [g.tolist() for g in flags] == brute_windows(texts, 200)
+        windows = [(t[i : i + 200], n) for t, own in zip(texts, numbers, strict=True) for i, n in enumerate(own.tolist())]
+        assert len(set(windows)) == len({w for w, _ in windows}) == len({n for _, n in windows})
         data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(data))

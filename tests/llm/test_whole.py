@@ -1,5 +1,6 @@
 """Queries held against second, plain implementations, and the pipeline on awkward tables."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -194,6 +195,20 @@ def brute_marks(texts):
     return out
 
 
+def test_anchor_of_several_shards(spark):
+    """A passage in more documents than a shard holds stretches: what repeats is found across shards, with the usual settings."""
+    rng = random.Random(5)
+    passage = words(rng, 45)[:215]
+    texts = [words(rng, 40)[-150:] + passage + words(rng, 40)[:150] for _ in range(2 * suffix.STRETCHES + 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = suffix._keyed(docs, "doc_id", "text")
+    found = suffix._occurrences(keyed, 200).groupBy("ah").agg(F.countDistinct("ch").alias("kinds"))
+    assert found.filter(F.col("kinds") > 2 * suffix.STRETCHES).count() > 0
+    got = {r["doc_id"]: (r["n_bytes"] - r["n_removed"], r["kept_sha256"]) for r in suffix.dedup(docs).collect()}
+    want = {i: (len(left), hashlib.sha256(left).hexdigest()) for i, left in enumerate(brute_marks(texts))}
+    assert got == want and sum(n for n, _ in got.values()) < sum(map(len, texts)) - 200 * len(texts)
+
+
 def awkward():
     rng = random.Random(11)
     good = ["\n".join(words(rng, 12).capitalize() + "." for _ in range(5)) for _ in range(60)]
