@@ -34,7 +34,7 @@ from kinloom.llm.suffix import _split, _texts, covered, least_positions
 from kinloom.llm.vectors import grouped
 
 WINDOW, GRAM = 13, 4
-PATHS = 1024  # paths of one anchor that are compared together
+PATHS = 128  # paths of one anchor that are compared together
 CHUNK_BYTES = 2 << 20  # texts whose words are hashed together, one text at least
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
