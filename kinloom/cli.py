@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--env-file", help="KEY=value settings; the environment overrides them")
     p.add_argument("--threshold", help="95, 95%% or 0.95")
     p.add_argument("--direct-fuzzy-normalization", action="store_true", help="exact rules even out full stops and hyphens")
-    p.add_argument("--blocking", choices=["soundex"])
+    p.add_argument("--blocking", choices=["soundex", "keys"])
     p.add_argument("--last-initial", action="store_true", help="fuzzy rules compare persons of equal last initial only")
     p.add_argument("--partitions", type=int, default=64, help="ranges of ids in which a database table is read")
     p.add_argument("--workbook", action="store_true", help="xlsx: one file, written by the driver row by row, instead of a folder of sheets")

@@ -6,7 +6,7 @@ adaptive skew join.  Derived columns are computed once for each person, below th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.normalize import normalize_text
@@ -49,17 +49,53 @@ def exact_first_mid_last_dob(a: DataFrame, b: DataFrame, *, punctuation: bool =
     return to_pairs(_exact(a, b, True, punctuation), F.lit(100.0), F.array(*map(F.lit, FIELDS_2)), flag="infnmnbd")
 
 
-def fuzzy_pairs(a: DataFrame, b: DataFrame, *, middle: bool, accent_fold: bool = True, last_initial: bool = False) -> DataFrame:
+def _same_initial() -> Column:
+    initial = lambda p: F.coalesce(first_char_initial(normalize_text(F.col(f"{p}_last_name"))), F.lit(""))
+    return initial("a") == initial("b")
+
+
+def _keys() -> Column:
+    """Keys of full, of ASCII, such that any two names that can match share one: the code, and pairs of letters.
+
+    Of names that are alike by PASS percent at most d edits apart, each of which touches two pairs of letters; so of the
+    2 d + 1 least pairs (by hash, the n-th occurrence of a pair told from the first) of either name one is the other's as well.
+    """
+    full, n = F.col("full"), F.length("full")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(full, i, F.lit(2)))
+    hashed = F.transform(pairs, lambda p, i: F.xxhash64(p, F.size(F.filter(F.slice(pairs, 1, i), lambda q: q == p))))
+    edits = F.floor(F.floor(n * 100 / F.lit(rules.PASS)) * F.lit(100 - rules.PASS) / 100).cast("int")
+    code = F.when(F.col("code") != "", F.array(F.xxhash64(F.lit("code"), "code"))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.concat(F.slice(F.array_sort(hashed), 1, 2 * edits + 1), F.coalesce(code, F.array().cast("array<bigint>"))))
+
+
+def _joined_by_keys(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Pairs of equal birthdate (columns a_*, b_*) among which are all that can match.
+
+    Names of ASCII meet under each key they share, and count under the least; the few others meet everyone of their birthdate.
+    """
+    plain = lambda p: F.octet_length(f"{p}_full") == F.length(f"{p}_full")
+    dates = F.col("a_birthdate") == F.col("b_birthdate")
+    x, y = (t.withColumn(f"{p}_key", F.explode(f"{p}_keys")) for t, p in ((one.filter(plain("a")), "a"), (two.filter(plain("b")), "b")))
+    met = x.join(y, dates & (F.col("a_key") == F.col("b_key"))).filter(F.col("a_key") == F.array_min(F.array_intersect("a_keys", "b_keys"))).drop("a_key", "b_key")
+    far = one.filter(~plain("a")).join(two, dates).unionByName(one.filter(plain("a")).join(two.filter(~plain("b")), dates))
+    return met.unionByName(far).drop("a_keys", "b_keys")
+
+
+def fuzzy_pairs(a: DataFrame, b: DataFrame, *, middle: bool, accent_fold: bool = True, last_initial: bool = False, keys: bool = False) -> DataFrame:
     """Classified pairs (score, label) with all columns of both sides.
 
     last_initial: the first characters of the last names have to agree as well (two persons without last name do), and
-    are part of the join's key.
+    are part of the join's key.  keys: persons of one birthdate meet only if their names share a key, which loses no
+    match; this is for tables in which very many persons have one birthdate, as pairs no longer grow with their square.
     """
-    one, two = (side(scored_names(t, middle=middle, accent_fold=accent_fold), p) for t, p in ((a, "a"), (b, "b")))
+    scored = (scored_names(t, middle=middle, accent_fold=accent_fold) for t in (a, b))
+    one, two = (side(t.withColumn("keys", _keys()) if keys else t, p) for t, p in zip(scored, ("a", "b"), strict=True))
+    if keys:
+        pairs = rules.classify(_joined_by_keys(one, two), middle=middle)
+        return pairs.filter(_same_initial()) if last_initial else pairs
     on = F.col("a_birthdate") == F.col("b_birthdate")
     if last_initial:
-        initial = lambda p: F.coalesce(first_char_initial(normalize_text(F.col(f"{p}_last_name"))), F.lit(""))
-        on = on & (initial("a") == initial("b"))
+        on = on & _same_initial()
     return rules.classify(one.join(two, on), middle=middle)
 
 
@@ -68,11 +104,11 @@ def _fuzzy(pairs: DataFrame, min_confidence: float) -> DataFrame:
     return out.filter(F.col("confidence") >= F.lit(min_confidence).cast("float")) if min_confidence > 0 else out
 
 
-def fuzzy(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False) -> DataFrame:
+def fuzzy(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False, keys: bool = False) -> DataFrame:
     """A3: equal birthdates, and first, middle and last name by the case rule."""
-    return _fuzzy(fuzzy_pairs(a, b, middle=True, accent_fold=accent_fold, last_initial=last_initial), min_confidence)
+    return _fuzzy(fuzzy_pairs(a, b, middle=True, accent_fold=accent_fold, last_initial=last_initial, keys=keys), min_confidence)
 
 
-def fuzzy_no_middle(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False) -> DataFrame:
+def fuzzy_no_middle(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False, keys: bool = False) -> DataFrame:
     """A4: A3 without middle names."""
-    return _fuzzy(fuzzy_pairs(a, b, middle=False, accent_fold=accent_fold, last_initial=last_initial), min_confidence)
+    return _fuzzy(fuzzy_pairs(a, b, middle=False, accent_fold=accent_fold, last_initial=last_initial, keys=keys), min_confidence)

@@ -30,26 +30,27 @@ class MatchOptions:
     min_confidence: float = 0.0
     accent_fold: bool = True  # fuzzy rules compare folded names; False compares them as they are
     punctuation: bool = False  # exact rules even out full stops and hyphens
-    blocking: str | None = None  # "soundex": blocked candidates for A3, A4 and households
+    blocking: str | None = None  # "soundex": blocked candidates for A3, A4 and households; "keys": A3, A4 and households by shared keys of names, with the same result as without
     last_initial: bool = False  # unblocked fuzzy rules compare persons of equal last initial only
 
 
 def match(a: DataFrame, b: DataFrame, algorithm: Algorithm | int, options: MatchOptions | None = None) -> DataFrame:
     """Pairs (A1 to A4, A7) or household rows (A5, A6; min_confidence 0 stands for 0.95 there)."""
     o, algorithm = options or MatchOptions(), Algorithm(algorithm)
-    if o.blocking not in (None, "soundex"):
+    if o.blocking not in (None, "soundex", "keys"):
         raise ValueError(f"unknown blocking: {o.blocking}")
     if algorithm == Algorithm.FIRST_LAST_DOB:
         return matching.exact_first_last_dob(a, b, punctuation=o.punctuation)
     if algorithm == Algorithm.FIRST_MID_LAST_DOB:
         return matching.exact_first_mid_last_dob(a, b, punctuation=o.punctuation)
     fuzzy = {"min_confidence": o.min_confidence, "accent_fold": o.accent_fold}
+    whole = {"last_initial": o.last_initial, "keys": o.blocking == "keys"}
     if algorithm == Algorithm.FUZZY:
-        return blocking.fuzzy_blocked(a, b, middle=True, **fuzzy) if o.blocking else matching.fuzzy(a, b, last_initial=o.last_initial, **fuzzy)
+        return blocking.fuzzy_blocked(a, b, middle=True, **fuzzy) if o.blocking == "soundex" else matching.fuzzy(a, b, **whole, **fuzzy)
     if algorithm == Algorithm.FUZZY_BIRTHDATE:
         return blocking.fuzzy_birthdate(a, b, **fuzzy)
     if algorithm == Algorithm.FUZZY_NO_MIDDLE:
-        return blocking.fuzzy_blocked(a, b, **fuzzy) if o.blocking else matching.fuzzy_no_middle(a, b, last_initial=o.last_initial, **fuzzy)
+        return blocking.fuzzy_blocked(a, b, **fuzzy) if o.blocking == "soundex" else matching.fuzzy_no_middle(a, b, **whole, **fuzzy)
     run = household.household_t1 if algorithm == Algorithm.HOUSEHOLD_T1 else household.household_t2
-    pairs = blocking.fuzzy_blocked(a, b, accent_fold=o.accent_fold) if o.blocking else None
+    pairs = None if not o.blocking else blocking.fuzzy_blocked(a, b, accent_fold=o.accent_fold) if o.blocking == "soundex" else matching.fuzzy_no_middle(a, b, accent_fold=o.accent_fold, keys=True)
     return run(a, b, min_confidence=o.min_confidence or 0.95, pairs=pairs, accent_fold=o.accent_fold)

@@ -392,6 +392,16 @@ def fuzzy_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs_out(blocking.fuzzy_blocked(*persons(spark, sf_dir)))
 
 
+@_query(ORACLE_SQL["fuzzy_full"])
+def fuzzy_full_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs_out(match(*persons(spark, sf_dir), Algorithm.FUZZY, MatchOptions(blocking="keys")))
+
+
+@_query(ORACLE_SQL["fuzzy_no_middle"])
+def fuzzy_no_middle_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs_out(match(*persons(spark, sf_dir), Algorithm.FUZZY_NO_MIDDLE, MatchOptions(blocking="keys")))
+
+
 @_query(_with(_fuzzy_sql(True, _blocked_sql("tiers"))) + " " + _FUZZY_OUT)
 def fuzzy_full_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs_out(match(*persons(spark, sf_dir), Algorithm.FUZZY, MatchOptions(blocking="soundex")))

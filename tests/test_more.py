@@ -35,6 +35,47 @@ def test_blocked_rules_are_parts_of_the_whole(spark):
     assert both == {p for p in blocked_4 if p[:2] in ids} and both
 
 
+def test_keys_lose_nothing(spark):
+    """Candidates by shared keys against all pairs of a birthdate: random names, short ones, repeated letters, other scripts."""
+    import random
+
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abno ") for _ in range(rng.randint(0, 9))) + rng.choice(["", "é", "王", "łó"]) * (rng.random() < 0.2)
+
+    def near(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(s) + 1)
+            s[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "n", "x"])
+        return "".join(s)
+
+    one = [(i, None, name(), rng.choice([None, "B"]), name(), D, None) for i in range(150)]
+    two = [(i, None, near(r[2]), r[3], near(r[4]), D, None) for i, r in enumerate(one)] + [(1000, None, None, None, "王", D, None), (1001, None, "a", None, "", D, None), (1002, None, "a", None, None, None, None)]
+    a, b = spark.createDataFrame(one, PERSON), spark.createDataFrame(two, PERSON)
+    for algorithm in (3, 4):
+        for fold in (True, False):
+            want = pairs(match(a, b, algorithm, MatchOptions(accent_fold=fold)))
+            assert pairs(match(a, b, algorithm, MatchOptions(accent_fold=fold, blocking="keys"))) == want and len(want) > 100
+    assert pairs(match(a, b, 4, MatchOptions(last_initial=True, blocking="keys"))) == pairs(match(a, b, 4, MatchOptions(last_initial=True)))
+    c, d = dirty_dataset(spark, 200)
+    assert pairs(match(c, d, 3, MatchOptions(blocking="keys"))) == pairs(match(c, d, 3))
+    plan = match(c, d, 3, MatchOptions(blocking="keys"))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_shared_checkpointer(spark, tmp_path):
+    c = stream.SharedCheckpointer(spark, f"file://{tmp_path}/cp")
+    assert c.load("job/1", "") is None
+    for token in ("one", "zwei é"):
+        c.save("job/1", "", token)
+        assert c.load("job/1", "") == token
+    state = stream.Checkpoint("t1", "t2", "A1", 10, 20, 30, "p")
+    c.save_state("j", state)
+    assert stream.SharedCheckpointer(spark, f"file://{tmp_path}/cp").load_state("j", state).next_offset == 20
+    c.remove("job/1", "")
+    assert c.load("job/1", "") is None
+
+
 def test_last_initial(spark):
     names = [(1, "Ann", "Lee"), (2, "Ann", "lee"), (3, "Ann", "Zee"), (4, "Ann", None), (5, "Ann", "Élan"), (6, "Ann", "")]
     rows = [(i, None, f, None, n, D, None) for i, f, n in names]
