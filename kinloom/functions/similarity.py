@@ -77,14 +77,30 @@ def jaro_winkler(a: str, b: str, *, gate: float = 0.7, whole_transpositions: boo
     return j + 0.1 * common * (1 - j)
 
 
+def _by_distinct_pairs(measure):
+    """A pandas function that measures each distinct pair of a batch once, * 100."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs, distinct = pd.factorize(pd.MultiIndex.from_arrays([a, b]))
+        made = np.array([np.nan if x != x or y != y or x is None or y is None else measure(x, y) * 100 for x, y in distinct], float)
+        out = np.where(pairs < 0, np.nan, made[pairs] if len(made) else np.nan)
+        return pd.Series(out).where((a.notna() & b.notna()).to_numpy(), None)
+
+    return run
+
+
+def _device_jaro_winkler(a: str, b: str) -> float:
+    one, two = (x.encode()[:64].decode("latin-1") for x in (a, b))  # a character for each byte
+    return jaro_winkler(one, two, gate=-1.0, whole_transpositions=False)
+
+
 def _jaro_winkler_pct(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs, distinct = pd.factorize(pd.MultiIndex.from_arrays([a, b]))
-    made = np.array([np.nan if x != x or y != y or x is None or y is None else jaro_winkler(x, y) * 100 for x, y in distinct], float)
-    out = np.where(pairs < 0, np.nan, made[pairs] if len(made) else np.nan)
-    return pd.Series(out).where((a.notna() & b.notna()).to_numpy(), None)
+    return _by_distinct_pairs(jaro_winkler)(a, b)
 
 
 _jaro_winkler_udf = F.pandas_udf(_jaro_winkler_pct, DoubleType())
+_jaro_udf = F.pandas_udf(_by_distinct_pairs(jaro), DoubleType())
+_device_udf = F.pandas_udf(_by_distinct_pairs(_device_jaro_winkler), DoubleType())
 
 
 def jaro_winkler_pct(a: Column, b: Column) -> Column:
@@ -95,6 +111,16 @@ def jaro_winkler_pct(a: Column, b: Column) -> Column:
     return _jaro_winkler_udf.asNondeterministic()(a, b)
 
 
+def jaro_pct(a: Column, b: Column) -> Column:
+    """Jaro * 100, as jaro_winkler_pct."""
+    return _jaro_udf.asNondeterministic()(a, b)
+
+
+def device_jaro_winkler_pct(a: Column, b: Column) -> Column:
+    """The kernels' Jaro-Winkler * 100: over the first 64 bytes, half transpositions count, and every Jaro is raised."""
+    return _device_udf.asNondeterministic()(a, b)
+
+
 def birthdate_similarity_pct(a: Column, b: Column) -> Column:
     """100 equal; 90 a day apart; same year: 85 day and month swapped, 70 same month, 50 other; 40 years one apart; 0."""
     swapped = (F.month(a) == F.day(b)) & (F.day(a) == F.month(b))

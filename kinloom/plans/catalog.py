@@ -16,9 +16,9 @@ from kinloom.operators.prepared import normalized, side
 from kinloom.plans import engine
 from kinloom.plans.algorithms import Algorithm, MatchOptions, match
 from kinloom.schema import ColumnMapping, to_persons
-from kinloom.sources.tables import Source, keyset_page, page
+from kinloom.sources.tables import Source, discover_columns, keyset_page, page, person_count
 from kinloom.storage import work_folder
-from kinloom.streaming.match import match_stream, person_stream, streamed_pairs
+from kinloom.streaming.match import MemoryCheckpointer, household_from_stream, match_partitions, match_stream, person_stream, streamed_pairs
 
 # ---- person tables ----
 
@@ -528,6 +528,95 @@ def export_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_report(match(*persons(spark, sf_dir), Algorithm.FIRST_LAST_DOB), Algorithm.FIRST_LAST_DOB)
 
 
+def _pair_report_sql(algorithm: Algorithm) -> str:
+    """The report of A2, or of A4 with pairs of 0.95 and more."""
+    titles = (("id", "ID"), ("uuid", "UUID"), ("first_name", "FirstName"), ("middle_name", "MiddleName"), ("last_name", "LastName"), ("birthdate", "Birthdate"))
+    columns = ", ".join(f"coalesce(CAST({t}.{n} AS VARCHAR), '') AS \"Table{i}_{title}\"" for i, t in ((1, "p"), (2, "q")) for n, title in titles)
+    if algorithm == Algorithm.FIRST_MID_LAST_DOB:
+        return _with(_norm_sql(), f"hit AS ({_exact_sql(True)})") + f" SELECT {columns}, true AS \"is_matched_Infnmnbd\", CAST(1.0 AS FLOAT) AS \"Confidence\", fields AS \"MatchedFields\" FROM hit JOIN persons_a p ON p.id = id1 JOIN persons_b q ON q.id = id2"
+    return _with(_fuzzy_sql(algorithm == Algorithm.FUZZY)) + f" SELECT {columns}, true AS \"is_matched_Fuzzy\", round(conf::DOUBLE, 5) AS \"Confidence\", 'fuzzy,' || label || ',birthdate' AS \"MatchedFields\" FROM hit JOIN persons_a p ON p.id = ida JOIN persons_b q ON q.id = idb WHERE conf >= CAST(0.95 AS FLOAT)"
+
+
+@_query(_pair_report_sql(Algorithm.FIRST_MID_LAST_DOB))
+def export_pairs_with_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_report(match(*persons(spark, sf_dir), Algorithm.FIRST_MID_LAST_DOB), Algorithm.FIRST_MID_LAST_DOB)
+
+
+def _fuzzy_report(spark: SparkSession, sf_dir: str, algorithm: Algorithm) -> DataFrame:
+    report = pair_report(match(*persons(spark, sf_dir), algorithm), algorithm, min_confidence=0.95)
+    return report.withColumn("Confidence", F.round(F.col("Confidence").cast("double"), 5))
+
+
+@_query(_pair_report_sql(Algorithm.FUZZY))
+def export_fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fuzzy_report(spark, sf_dir, Algorithm.FUZZY)
+
+
+@_query(_pair_report_sql(Algorithm.FUZZY_NO_MIDDLE))
+def export_fuzzy_pairs_no_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fuzzy_report(spark, sf_dir, Algorithm.FUZZY_NO_MIDDLE)
+
+
+@_query(_with(_fuzzy_sql(False)) + " SELECT ida AS id1, idb AS id2, CAST(least(greatest(round(score), 0), 100) AS INT) AS percent FROM hit")
+def whole_percents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = matching.fuzzy_pairs(*persons(spark, sf_dir), middle=False)
+    return pairs.select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), similarity.rounded_percent(F.col("score")).alias("percent"))
+
+
+@_query(ORACLE_SQL["fuzzy_no_middle"] + " WHERE conf >= CAST(0.9 AS FLOAT)")
+def fuzzy_by_threshold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs_out(matching.fuzzy_no_middle(*persons(spark, sf_dir), min_confidence=similarity.parse_threshold("90%")))
+
+
+@_query(_with(_NAME_PAIRS) + " SELECT a_name, b_name, round(jaro_similarity(a_name, b_name) * 100, 6) AS pct FROM (SELECT DISTINCT a_name, b_name FROM names)")
+def jaro_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _name_pairs(spark, sf_dir).select("a_name", "b_name").distinct()
+    return pairs.select("a_name", "b_name", F.round(similarity.jaro_pct(F.col("a_name"), F.col("b_name")), 6).alias("pct"))
+
+
+@_query(_with(_norm_sql()) + " SELECT id, CASE WHEN substring(nl, 1, 1) BETWEEN 'a' AND 'z' THEN upper(substring(nl, 1, 1)) ELSE substring(nl, 1, 1) END AS initial FROM nb")
+def first_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalized(persons(spark, sf_dir)[1]).select("id", phonetic.first_char_initial(F.col("n_last")).alias("initial"))
+
+
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, [('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::INT::HUGEINT for i in range(1, strlen(s) + 1)]), lambda x, y: (xor(x, y) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+@_query(_with(_TAGGED) + f" SELECT t, id, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS hash FROM (SELECT t, id, {_FNV} AS h FROM (SELECT t, id, coalesce(first_name, '') || chr(31) || last_name AS s FROM tagged))")
+def fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.coalesce("first_name", F.lit("")), F.lit("\x1f"), F.col("last_name"))
+    return _both(spark, sf_dir).select("t", "id", similarity.fnv1a64_hash(key).alias("hash"))
+
+
+@_query(ORACLE_SQL["fuzzy_no_middle"])
+def partitioned_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = persons(spark, sf_dir)
+    out, strategy = work_folder(spark, "partitions"), partition.BirthYears(20, 1940, 1999)
+    done = match_partitions(a, b, Algorithm.FUZZY_NO_MIDDLE, strategy, out=out, checkpointer=MemoryCheckpointer(), job="partitions")
+    return _pairs_out(spark.read.parquet(*[f"{out}/{name}" for name in done]))
+
+
+@_query(ORACLE_SQL["household_t1"])
+def household_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = persons(spark, sf_dir)
+    folder = work_folder(spark, "stream")
+    b.repartition(4).write.parquet(f"{folder}/in")
+    match_stream(person_stream(spark, f"{folder}/in", files_per_batch=2), a, Algorithm.FUZZY_NO_MIDDLE, out=f"{folder}/out", checkpoint=f"{folder}/checkpoint", stream_is_first=False).awaitTermination()
+    return _house_out(household_from_stream(spark, f"{folder}/out", a, b, Algorithm.HOUSEHOLD_T1))
+
+
+@_query("SELECT 'customer' AS \"table\", count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = Source("parquet", sf_dir)
+    return spark.createDataFrame([(t, person_count(spark, source, t)) for t in ("customer", "orders")], "`table` string, n long")
+
+
+@_query("SELECT column_name AS \"column\" FROM (DESCRIBE SELECT c_custkey AS id, c_name AS first_name, c_mktsegment AS last_name FROM customer)")
+def discovered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = ColumnMapping(id="c_custkey", uuid="c_uuid", first_name="c_name", middle_name=None, last_name="c_mktsegment", birthdate="c_birthdate", hh_id=None)
+    return spark.createDataFrame([(c,) for c in discover_columns(spark, Source("parquet", sf_dir), "customer", mapping).present], "column string")
+
+
 @_query(ORACLE_SQL["household_t1"].replace("SELECT row_number() OVER (ORDER BY g, o) AS row_id", "SELECT row_number() OVER (ORDER BY g, o) AS id").replace("round(pct::DOUBLE, 3) AS match_percentage", "printf('%.2f', pct::DOUBLE) AS match_percentage, '' AS region_code, '' AS poor_hat_0, '' AS poor_hat_10"))
 def export_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     return household_report(household.household_t1(*persons(spark, sf_dir)))

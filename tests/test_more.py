@@ -195,6 +195,19 @@ def test_fnv(spark):
     assert similarity.fnv1a64(b"foobar") == 0x85944171F73967E8
 
 
+def test_jaro_columns(spark):
+    names = [("martha", "marhta"), ("dixon", "dicksonx"), ("", ""), ("a", ""), ("é" * 40, "é" * 31 + "x" * 9), (None, "a"), ("abcd", "badc")]
+    df = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "i int, a string, b string")
+    got = df.select("i", similarity.jaro_pct(F.col("a"), F.col("b")).alias("j"), similarity.device_jaro_winkler_pct(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()
+    for (a, b), r in zip(names, got, strict=True):
+        if a is None:
+            assert r["j"] is None and r["d"] is None
+        else:
+            one, two = (x.encode()[:64].decode("latin-1") for x in (a, b))
+            assert r["j"] == pytest.approx(similarity.jaro(a, b) * 100) and r["d"] == pytest.approx(similarity.jaro_winkler(one, two, gate=-1.0, whole_transpositions=False) * 100)
+    assert got[0]["j"] == pytest.approx(94.4444, abs=1e-3)
+
+
 def test_folders_need_sharing(spark):
     class Cluster:
         class conf:
