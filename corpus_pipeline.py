@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: quality, near copies, repeated passages, the mix of sources, sequences."""
+"""A training corpus from raw documents: quality, near copies, repeated passages, the mix of sources, sequences.
+
+Every stage takes rows with null and repeated ids, null and empty texts, and further columns of any name; all but the last
+return the columns they are given.  An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +15,42 @@ from kinloom.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the conditional random field rejects go."""
+    """Documents that the conditional random field rejects go.
+
+    A null text is judged as an empty one.  Without labels of both classes every document is judged by the one there is, and kept if there is none.
+    """
     return crf.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, one row stays: of the smallest id, or without one if none has an id."""
+    """Of each group of near copies, one row stays: of the smallest id, or without one if none has an id.
+
+    Null and empty texts and those of white space alone are one group.  Of equal rows one stays.
+    """
     return simhash.one_row_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeat elsewhere are taken out of the texts; documents of which nothing is left go."""
+    """Bytes that repeat elsewhere are taken out of the texts; documents of which nothing is left go.
+
+    Null texts stay null; a character that loses a byte goes whole; n_chars is counted anew.
+    """
     cut = suffix.without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).filter(F.col("text").isNull() | (F.trim("text") != ""))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, three times at most.
+
+    Documents are taken whole: the one in which a source's budget ends comes once more if half of it or more is taken, so that a source's
+    words differ from its target by half a document at most (and by what equal rows share).  Documents without words, null
+    texts among them, are not taken.  A null source is one source, the last.
+    """
     return mixing.mixed_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in training sequences."""
+    """Pieces of documents with their places in training sequences; a row that is there twice is two documents."""
     return packing.pack(docs, tokenizer_path())
 
 
