@@ -29,7 +29,7 @@ from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, relea
 from kinloom.llm.vectors import grouped
 
 SPAN, GRAM = 200, 32
-STRETCHES = 512  # different stretches of one anchor that one shard holds
+STRETCHES = 2048  # different stretches of one anchor that one shard holds
 SHARD_BYTES = 1 << 20
 _BLOCK = 1 << 20
 
@@ -261,8 +261,11 @@ def _shards(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
 
 def _within_shards(stretches: DataFrame, span: int) -> DataFrame:
-    """rid, from, to, range, digests, firsts: bytes repeated in a shard, and runs of digests of what is to be compared with other shards."""
-    target = pa.schema([("rid", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("range", pa.int32()), ("run", pa.int64()), ("digests", pa.binary()), ("rids", pa.binary()), ("starts", pa.binary())])
+    """rid, from, to: bytes repeated in a shard; ah, range, run, digests, rids, starts: digests of the windows that are to be compared with the anchor's other shards.
+
+    An anchor has as many ranges of digests as shards, so that a range has about as many windows as a shard.
+    """
+    target = pa.schema([("ah", pa.int64()), ("rid", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("range", pa.int32()), ("run", pa.int64()), ("digests", pa.binary()), ("rids", pa.binary()), ("starts", pa.binary())])
     spread = stretches.repartition(max(partitions(stretches), 12), "ah", "chunk").sortWithinPartitions("ah", "chunk", "ch")
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
@@ -273,10 +276,10 @@ def _within_shards(stretches: DataFrame, span: int) -> DataFrame:
             if n == 1:
                 edge = np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0]))
                 for a, b in edge.reshape(-1, 2).tolist():
-                    yield rid, first + a, first + b - 1 + span, None, None, None, None, None
+                    yield None, rid, first + a, first + b - 1 + span, None, None, None, None, None
             if chunks > 1:  # what other shards have of this anchor isn't known here
-                runs.setdefault((ah, chunk), []).append((row, number))
-        for (ah, chunk), own in runs.items():
+                runs.setdefault((ah, chunk, chunks), []).append((row, number))
+        for (ah, chunk, chunks), own in runs.items():
             made: dict[int, bytes] = {}  # digests of the different windows, by their numbers
             digests, rids, starts = [], [], []
             for (_, _, _, _, rid, first, n, raw), number in own:
@@ -290,12 +293,11 @@ def _within_shards(stretches: DataFrame, span: int) -> DataFrame:
             digest, rid, start = np.array(digests, "S16"), np.concatenate(rids).astype(np.int64), np.concatenate(starts).astype(np.int32)
             order = np.argsort(digest, kind="stable")
             digest, rid, start = digest[order], rid[order], start[order]
-            lead = digest.view(np.uint8).reshape(-1, 16)[:, :2].astype(np.int64)
-            cut = np.searchsorted((lead[:, 0] << 8 | lead[:, 1]) >> (16 - RANGE_BITS), np.arange(RANGES + 1)).tolist()
-            name = xxhash.xxh3_64_intdigest(f"{ah} {chunk}".encode()) >> 1
+            lead = digest.view(np.uint8).reshape(-1, 16)[:, :4].astype(np.int64) @ (1 << np.array([24, 16, 8, 0]))
+            cut = np.searchsorted(lead * chunks >> 32, np.arange(chunks + 1)).tolist()
             for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
                 if a < b:
-                    yield None, None, None, r, name, digest[a:b].tobytes(), rid[a:b].tobytes(), start[a:b].tobytes()
+                    yield ah, None, None, None, r, chunk, digest[a:b].tobytes(), rid[a:b].tobytes(), start[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -315,33 +317,29 @@ def _within_shards(stretches: DataFrame, span: int) -> DataFrame:
         made = list(shard(held))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), target, strict=True)] if made else [pa.array([], type=f.type) for f in target], schema=target)
 
-    return spread.mapInArrow(run, "rid long, `from` int, `to` int, range int, run long, digests binary, rids binary, starts binary")
-
-
-RANGE_BITS = 10
-RANGES = 1 << RANGE_BITS
+    return spread.mapInArrow(run, "ah long, rid long, `from` int, `to` int, range int, run long, digests binary, rids binary, starts binary")
 
 
 def _across_shards(runs: DataFrame, span: int) -> DataFrame:
-    """rid, from, to: windows of one shard's run that another shard's run of the range has as well, found by binary search."""
+    """rid, from, to: windows that several shards of an anchor have.
+
+    The shards' sorted runs of a range are merged, and each run's windows are found in the merged run, and in their own, by
+    binary search: those that are there more often than here are another shard's as well.
+    """
 
     def merge(table: pa.Table) -> Iterator[dict]:
-        parts: dict[int, list] = {}
-        for r, d, i, s in zip(*(table.column(c).to_pylist() for c in ("run", "digests", "rids", "starts")), strict=True):
-            parts.setdefault(r, []).append((np.frombuffer(d, "S16"), np.frombuffer(i, np.int64), np.frombuffer(s, np.int32)))
-        own = {r: tuple(np.concatenate(x) for x in zip(*p, strict=True)) for r, p in parts.items()}
-        for r, (digest, rid, start) in own.items():
-            hit = np.zeros(len(digest), bool)
-            for other, (there, _, _) in own.items():
-                if other != r:
-                    there = np.sort(there)
-                    at = np.minimum(np.searchsorted(there, digest), len(there) - 1)
-                    hit |= there[at] == digest
-            hit &= start >= 0
-            if hit.any():
-                yield {"rid": rid[hit], "from": start[hit], "to": start[hit] + span}
-
-    return grouped(runs, ["range"], merge, "rid long,from int,to int")
+        runs = [np.frombuffer(x, "S16") for x in table.column("digests").to_pylist()]
+        rid, start = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("rids", np.int64), ("starts", np.int32)))
+        merged = np.sort(np.concatenate(runs), kind="stable")
+        times = lambda there, own: np.searchsorted(there, own, "right") - np.searchsorted(there, own, "left")
+        hit = np.concatenate([times(merged, own) > times(own, own) for own in runs]) & (start >= 0)
+        if hit.any():
+            order = np.lexsort((start[hit], rid[hit]))
+            rid, start = rid[hit][order], start[hit][order]
+            begins = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (start[1:] > start[:-1] + span)])  # what they cover together
+            yield {"rid": rid[begins], "from": start[begins], "to": start[np.r_[begins[1:], len(rid)] - 1] + span}
+
+    return grouped(runs, ["ah", "range"], merge, "rid long,from int,to int")
 
 
 def marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame]:
@@ -361,7 +359,7 @@ def marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
     rids = stage(wanted.select("rid").distinct(), "wanted-documents")
     out = stage(_within_shards(_shards(_texts(keyed, rids), wanted, span), span), "shards")
     inside = out.filter("range is null").select("rid", "from", "to")
-    across = _across_shards(out.filter("range is not null").select("range", "run", "digests", "rids", "starts"), span)
+    across = _across_shards(out.filter("range is not null").select("ah", "range", "run", "digests", "rids", "starts"), span)
     every = settled.union(whole).union(inside).union(across).groupBy("rid").agg(F.collect_set(F.struct("from", "to")).alias("marks"))
     return keyed, stage(every, "marks")
 
