@@ -11,7 +11,7 @@ a list's last entry enter the list.  Rounds end when they find nothing more near
   further lists, of vectors outside their group alone, which descend in the same way until no groups join any more.
 * Entries are proposed in half precision and verified in double precision; those over the threshold are links.
 * An audit compares a bounded sample of vectors, most of them with entries near the threshold, with all vectors of their
-  labels.  Where recall falls short the search goes on from twice as many buckets; it fails if that never helps.
+  labels.  Where recall falls short the search goes on from twice as many buckets; it fails if recall stays low.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ THRESHOLD, K, K_MOST, TABLES, LEAF, CELL = 0.98, 10, 20, 8, 64, 512
 BLOCK = 1024  # vectors of one group that are compared with as many others in one go
 SLACK = 0.002  # what half precision can take from a cosine, at most
 CLOSE = 0.1  # rounds go on as long as they find entries that are so much below the threshold, or nearer
-AUDITED, AUDITED_BYTES, RECALL = 4096, 16 << 20, 0.99  # vectors that an audit compares with all others, at most
+AUDITED, AUDITED_BYTES = 4096, 16 << 20  # vectors that an audit compares with all others, at most
+RECALL, LEAST_RECALL = 0.99, 0.9  # what the search goes on for, and what it fails below
 _log = logging.getLogger(__name__)
 
 
@@ -422,7 +423,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Vectors that are null, empty, zero or have null or non-finite components, and those without a label, link with
     nothing and are kept.  Equal vectors of one label link with each other, and are compared once.  component_id is the
     smallest vec_id of the component (of null ids alone: null, and not kept).  Links are verified; that few are missed is
-    audited on AUDITED vectors, and RuntimeError says that recall stayed below RECALL through all attempts.
+    audited on AUDITED vectors: the search goes on while recall is below RECALL, and RuntimeError says that it is below
+    LEAST_RECALL after all attempts.
     """
     rows, points = _distinct(stage(_points(vectors, id_col, vector_col, label_col), "vectors"))
     least, lists, start = threshold - SLACK, None, points.withColumns({"k": F.lit(k), "last": F.lit(-1.5)})
@@ -438,8 +440,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         _log.info("recall of links in attempt %d: %.4f", attempt + 1, recall)
         if recall >= RECALL:
             break
-    else:
+    if recall < LEAST_RECALL:
         raise RuntimeError(f"recall of links is {recall:.4f} after {attempts} attempts")
+    if recall < RECALL:
+        _log.warning("recall of links is %.4f after %d attempts", recall, attempts)
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("component_id"))
     several = stage(several.filter("size > 1").select("root", "component_id"), "groups")
     known = members.select("pid", "root", "times", "least").join(bounded(several), "root", "left").join(counts, "pid", "left")
