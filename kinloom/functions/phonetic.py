@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -253,9 +253,8 @@ def double_metaphone(text: str, length: int = 4) -> str:
     return code[:length]
 
 
-@F.pandas_udf(StringType())
-def metaphone_code(names: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def metaphone_code(names: pa.Array) -> pa.Array:
     """Codes of names that have gone through normalize_phonetic; each distinct name of a batch is encoded once."""
-    codes, distinct = pd.factorize(names)
-    made = pd.Series([double_metaphone(x) for x in distinct], dtype=object)
-    return pd.Series([None if k < 0 else made[k] for k in codes], index=names.index, dtype=object)
+    coded = names.dictionary_encode()
+    return pa.array([double_metaphone(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)

@@ -6,7 +6,7 @@ from datetime import date
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
@@ -77,16 +77,17 @@ def jaro_winkler(a: str, b: str, *, gate: float = 0.7, whole_transpositions: boo
     return j + 0.1 * common * (1 - j)
 
 
-def _by_distinct_pairs(measure):
-    """A pandas function that measures each distinct pair of a batch once, * 100."""
-
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs, distinct = pd.factorize(pd.MultiIndex.from_arrays([a, b]))
-        made = np.array([np.nan if x != x or y != y or x is None or y is None else measure(x, y) * 100 for x, y in distinct], float)
-        out = np.where(pairs < 0, np.nan, made[pairs] if len(made) else np.nan)
-        return pd.Series(out).where((a.notna() & b.notna()).to_numpy(), None)
-
-    return run
+def _by_distinct_pairs(measure, a: pa.Array, b: pa.Array) -> pa.Array:
+    """measure * 100 of each pair of a batch; null where either is.  Each distinct pair is measured once."""
+    x, y = (c.dictionary_encode() for c in (a, b))
+    whole = np.logical_and(*(c.is_valid().to_numpy(zero_copy_only=False) for c in (a, b)))
+    i, j = (c.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[whole] for c in (x, y))
+    one, two = x.dictionary.to_pylist(), y.dictionary.to_pylist()
+    pairs, place = np.unique(i * max(len(two), 1) + j, return_inverse=True)
+    made = np.fromiter((measure(one[p // len(two)], two[p % len(two)]) * 100 for p in pairs.tolist()), float, len(pairs))
+    out = np.zeros(len(a))
+    out[whole] = made[place]
+    return pa.array(out, mask=~whole)
 
 
 def _device_jaro_winkler(a: str, b: str) -> float:
@@ -94,13 +95,19 @@ def _device_jaro_winkler(a: str, b: str) -> float:
     return jaro_winkler(one, two, gate=-1.0, whole_transpositions=False)
 
 
-def _jaro_winkler_pct(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _by_distinct_pairs(jaro_winkler)(a, b)
+@F.arrow_udf(DoubleType())
+def _jaro_winkler_pct(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _by_distinct_pairs(jaro_winkler, a, b)
+
+
+@F.arrow_udf(DoubleType())
+def _jaro_pct(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _by_distinct_pairs(jaro, a, b)
 
 
-_jaro_winkler_udf = F.pandas_udf(_jaro_winkler_pct, DoubleType())
-_jaro_udf = F.pandas_udf(_by_distinct_pairs(jaro), DoubleType())
-_device_udf = F.pandas_udf(_by_distinct_pairs(_device_jaro_winkler), DoubleType())
+@F.arrow_udf(DoubleType())
+def _device_jaro_winkler_pct(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _by_distinct_pairs(_device_jaro_winkler, a, b)
 
 
 def jaro_winkler_pct(a: Column, b: Column) -> Column:
@@ -108,17 +115,17 @@ def jaro_winkler_pct(a: Column, b: Column) -> Column:
 
     Declared non-deterministic so that a plan that uses it in a filter and a projection evaluates it once.
     """
-    return _jaro_winkler_udf.asNondeterministic()(a, b)
+    return _jaro_winkler_pct.asNondeterministic()(a, b)
 
 
 def jaro_pct(a: Column, b: Column) -> Column:
     """Jaro * 100, as jaro_winkler_pct."""
-    return _jaro_udf.asNondeterministic()(a, b)
+    return _jaro_pct.asNondeterministic()(a, b)
 
 
 def device_jaro_winkler_pct(a: Column, b: Column) -> Column:
     """The kernels' Jaro-Winkler * 100: over the first 64 bytes, half transpositions count, and every Jaro is raised."""
-    return _device_udf.asNondeterministic()(a, b)
+    return _device_jaro_winkler_pct.asNondeterministic()(a, b)
 
 
 def birthdate_similarity_pct(a: Column, b: Column) -> Column:
@@ -174,10 +181,10 @@ def fnv1a64(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf(LongType())
-def fnv1a64_hash(keys: pd.Series) -> pd.Series:
-    """FNV-1a of strings in UTF-8, as a signed long."""
-    raw = [b"" if k is None else k.encode() for k in keys]
+@F.arrow_udf(LongType())
+def fnv1a64_hash(keys: pa.Array) -> pa.Array:
+    """FNV-1a of strings in UTF-8, as a signed long; null stays null."""
+    raw = [k or b"" for k in keys.cast(pa.binary()).to_pylist()]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     order = np.argsort(-sizes, kind="stable")  # the longest first: those that have a byte i are the first of all
     data, begins = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(sizes) - sizes)[order]
@@ -186,7 +193,7 @@ def fnv1a64_hash(keys: pd.Series) -> pd.Series:
         h[:n] = (h[:n] ^ data[begins[:n] + i]) * np.uint64(0x100000001B3)
     out = np.empty(len(raw), np.int64)
     out[order] = h.view(np.int64)
-    return pd.Series(out).astype("Int64").where(keys.notna().to_numpy(), pd.NA)
+    return pa.array(out, mask=keys.is_null().to_numpy(zero_copy_only=False))
 
 
 def join_key(first: Column, last: Column, birthdate: Column, middle: Column | None = None) -> Column:
