@@ -149,13 +149,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(by_fp, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows with equal ids, every one.  Rows without an id stay."""
-    gone = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col).filter("doc_id <> component_id")
-    gone = stage(gone.select(F.col("doc_id").alias("__kinloom_gone")).distinct(), "near-copies")
-    return docs.join(bounded(gone), F.col(id_col) == F.col("__kinloom_gone"), "left_anti")
-
-
 def one_row_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of docs for each component, rows without an id among them.
 

@@ -11,7 +11,8 @@ have equal anchors, so repeats are looked for among the occurrences of an anchor
 * An anchor with more stretches than a shard should hold is dealt over several shards.  Each hands on a digest of 128 bits of
   each different window of its suffix array, sorted and cut into ranges, and the shards' runs of a range are looked up in each other by binary search.
 
-Documents are known by a 64-bit hash of id and text, so that fully repeated rows stay rows of their own.
+Documents are known by a 64-bit hash of id and text; fully repeated rows stay rows of their own.  A second hash tells whether
+two different documents share one, which takes another salt.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage, trim
@@ -191,9 +192,24 @@ def covered(marks: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rid(id_col: str, text_col: str, salt: int) -> Column:
+    """What a document is known by: a hash of its id and its text, a null text being empty."""
+    return F.xxhash64(F.lit(salt), F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _salt(docs: DataFrame, id_col: str, text_col: str) -> int:
+    """The first salt with which no two different documents have one hash, by a second hash."""
+    salt = 0
+    while True:
+        both = docs.select(_rid(id_col, text_col, salt).alias("rid"), _rid(id_col, text_col, -1 - salt).alias("other"))
+        if both.groupBy("rid").agg(F.min("other").alias("least"), F.max("other").alias("most")).filter("least <> most").isEmpty():
+            return salt
+        salt += 1
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, salt: int = 0) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _rid(id_col, text_col, salt).alias("rid"))
 
 
 def _occurrences(keyed: DataFrame, span: int) -> DataFrame:
@@ -342,9 +358,9 @@ def _across_shards(runs: DataFrame, span: int) -> DataFrame:
     return grouped(runs, ["ah", "range"], merge, "rid long,from int,to int")
 
 
-def marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+def marks(docs: DataFrame, salt: int, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """The documents with their key (doc_id, text, rid), and staged rid, marks: bytes of each affected document that repeat."""
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, salt)
     found = stage(_occurrences(keyed, span), "anchors")
     place = ["rid", F.col("first").alias("from"), (F.col("last") + span).alias("to")]
     settled, found = found.filter("n = 0").select(*place), found.filter("n > 0")
@@ -370,7 +386,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
     A null text counts as empty; texts shorter than span lose nothing.  Fully repeated rows repeat each other.  Null
     and repeated ids stay as they are.
     """
-    keyed, marked = marks(docs, id_col=id_col, text_col=text_col, span=span)
+    keyed, marked = marks(docs, _salt(docs, id_col, text_col), id_col=id_col, text_col=text_col, span=span)
     names = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string"
 
     def rows(batch: pa.RecordBatch) -> dict:
@@ -401,7 +417,8 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """docs with repeated bytes taken out of the texts; a character that loses a byte goes whole.  Null texts stay null."""
-    _, marked = marks(docs, id_col=id_col, text_col=text_col, span=span)
+    salt = _salt(docs, id_col, text_col)
+    _, marked = marks(docs, salt, id_col=id_col, text_col=text_col, span=span)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -414,9 +431,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             at = batch.schema.names.index("__kinloom_text")
             yield batch.set_column(at, "__kinloom_text", pa.array(texts, pa.string())).drop_columns(["__kinloom_marks"])
 
-    rid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     known = marked.select(F.col("rid").alias("__kinloom_rid"), F.col("marks").alias("__kinloom_marks"))
-    named = docs.withColumn("__kinloom_rid", rid).withColumnRenamed(text_col, "__kinloom_text")
+    named = docs.withColumn("__kinloom_rid", _rid(id_col, text_col, salt)).withColumnRenamed(text_col, "__kinloom_text")
     rids = known.select("__kinloom_rid")
     ids = bounded(rids)
     rest = named.join(ids, "__kinloom_rid", "left_anti").drop("__kinloom_rid")

@@ -209,8 +209,9 @@ def test_simhash(docs, none, monkeypatch):
         want = sorted(((r[0], f"{f:016x}", least.get(k)) for r, f, k in zip(ROWS, fps, root, strict=True)), key=str)
         assert sorted(map(tuple, got), key=str) == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id in (24, 25)").count() == 0 and kept.filter("doc_id = 0").count() == 1 and kept.filter("doc_id is null").count() == 1
+    kept = simhash.one_row_of_each(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id in (24, 25)").count() == 0 and kept.filter("doc_id = 0").count() == 1 and kept.filter("doc_id is null").count() == 0
+    assert kept.count() == len(set(root)) and kept.filter("text = 'another text of document five'").count() == 1
 
 
 def test_simhash_pigeonhole():

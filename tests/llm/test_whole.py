@@ -299,3 +299,14 @@ def test_numbered(spark):
     names = [rng.choice("abc") * rng.randint(0, 3) for _ in range(200)] + [None] * 5 + ["\U00010000", "￿"]
     got = base.numbered(spark.createDataFrame([(n,) for n in names], T.StructType([T.StructField("n", T.StringType())])).repartition(4), F.col("n").asc_nulls_last()).orderBy("number").collect()
     assert [r["number"] for r in got] == list(range(207)) and [r["n"] for r in got] == sorted((n for n in names if n is not None)) + [None] * 5
+
+
+def test_documents_that_share_a_hash(spark, monkeypatch):
+    """Two documents of one hash take another salt; equal rows don't."""
+    docs = spark.createDataFrame([(1, "a" * 300), (2, "b" * 300), (2, "b" * 300)], "doc_id long, text string")
+    assert suffix._salt(docs, "doc_id", "text") == 0
+    real = suffix._rid
+    monkeypatch.setattr(suffix, "_rid", lambda i, t, salt: F.lit(7) if salt in (0, 1) else real(i, t, salt))
+    assert suffix._salt(docs, "doc_id", "text") == 2
+    got = sorted((r["doc_id"], r["n_removed"]) for r in suffix.dedup(docs).collect())
+    assert got == [(1, 300), (2, 300), (2, 300)]
