@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from kinloom import export
 from kinloom.config import AppConfig, DatabaseConfig, ExportConfig, MatchingConfig
 from kinloom.functions.similarity import parse_threshold
+from kinloom.metrics import shuffle_settings
 from kinloom.operators import setops
 from kinloom.plans.algorithms import HOUSEHOLD, Algorithm, MatchOptions, match
 from kinloom.schema import TableColumns
@@ -74,6 +75,7 @@ def run(spark: SparkSession, args: argparse.Namespace, env: dict[str, str]) -> d
     options = MatchOptions(min_confidence=0.0 if algorithm <= 2 else threshold, punctuation=args.direct_fuzzy_normalization, blocking=args.blocking, last_initial=args.last_initial)
     one, two = in_ranges(spark, one, args.table1, partitions=args.partitions), in_ranges(spark, two, args.table2, partitions=args.partitions)
     a, b = persons(spark, one, args.table1), persons(spark, two, args.table2)
+    _log.info("settings: %s", shuffle_settings(spark))
     _log.info("matching %s with %s by %s", args.table1, args.table2, algorithm.name)
     rows = match(a, b, algorithm, options)
     if args.format in ("csv", "both"):
