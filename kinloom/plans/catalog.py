@@ -223,7 +223,6 @@ def _query(sql: str | None):
     return add
 
 
-_BOTH = "(SELECT * FROM persons_a UNION ALL SELECT * FROM persons_b)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
