@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.base import held_out, map_arrow, release, small_batches, trim
 
-#: Classes of characters, by code point.
-CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 OWN = 18  # features of a line itself
 
 
 def _class(x: str) -> int:
+    """The class of a character: 0 lower, 1 upper, 2 digit, 3 space, 4 punctuation, 5 symbol, 6 other."""
     if x.isalpha():
         return 1 if x.isupper() else 0
     if x.isdigit():

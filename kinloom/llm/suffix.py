@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.base import arrow_schema, bounded, map_arrow, partitions, release, stage, trim
+from kinloom.llm.base import bounded, map_arrow, partitions, release, stage, trim
 from kinloom.llm.vectors import grouped
 
 SPAN, GRAM = 200, 32
