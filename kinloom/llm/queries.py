@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import avi, crf, debruijn, langid, mixing, packing, simhash, suffix, vectors, warc
+from kinloom.llm import avi, blockmax, crf, debruijn, interactions, langid, mixing, packing, secrets, simhash, suffix, vectors, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,23 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_simhash_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_debruijn_dedup, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix, op10_embedding_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_crf, op2_simhash_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_debruijn_dedup, op6_warc_derivatives, op7_avi_media, op8_language_id, op9_source_mix, op10_embedding_dedup,
+        op11_secret_scan, op12_block_max_search, op13_filter_interactions,
+    )
+}
+ORACLE_SQL: dict[str, str] = {op12_block_max_search.__name__: blockmax.SEARCH_SQL, op13_filter_interactions.__name__: interactions.AUDIT_SQL}
