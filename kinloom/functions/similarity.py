@@ -77,37 +77,110 @@ def jaro_winkler(a: str, b: str, *, gate: float = 0.7, whole_transpositions: boo
     return j + 0.1 * common * (1 - j)
 
 
-def _by_distinct_pairs(measure, a: pa.Array, b: pa.Array) -> pa.Array:
-    """measure * 100 of each pair of a batch; null where either is.  Each distinct pair is measured once."""
+#: Characters of a name that fit into a machine word, and the words whose lowest n bits are set.
+WORD = 64
+_LOWEST = np.array([(1 << n) - 1 for n in range(WORD + 1)], np.uint64)
+
+
+class Names:
+    """The different names of a batch on one side, as numbers of characters."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.sizes = texts, np.fromiter(map(len, texts), np.int64, len(texts))
+        self.width = min(max(int(self.sizes.max(initial=0)), 1), WORD)
+        self.codes = np.array([t[:WORD] for t in texts], f"U{self.width}").view(np.uint32).reshape(len(texts), self.width)
+
+
+def jaro_of(one: Names, two: Names, i: np.ndarray, j: np.ndarray, *, whole_transpositions: bool = True, gate: float | None = None) -> np.ndarray:
+    """Jaro of one.texts[i] and two.texts[j] for arrays of numbers; with a gate Jaro-Winkler.
+
+    A name of up to WORD characters is a word of bits for each character that occurs, and all pairs of a chunk take a step
+    of the comparison together.  Pairs with a longer name are compared by jaro and jaro_winkler.
+    """
+    out, fits = np.zeros(len(i)), (one.sizes[i] <= WORD) & (two.sizes[j] <= WORD)
+    plain = (lambda a, b: jaro(a, b, whole_transpositions=whole_transpositions)) if gate is None else (lambda a, b: jaro_winkler(a, b, gate=gate, whole_transpositions=whole_transpositions))
+    out[~fits] = [plain(one.texts[x], two.texts[y]) for x, y in zip(i[~fits].tolist(), j[~fits].tolist(), strict=True)]
+    present = np.zeros(max(int(n.codes.max(initial=0)) for n in (one, two)) + 1, bool)
+    for n in (one, two):
+        present[n.codes] = True
+    number, letters = np.cumsum(present) - 1, int(present.sum())
+    first, second = number[one.codes], number[two.codes]
+    order = np.nonzero(fits)[0]
+    order = order[np.argsort(-one.sizes[i[order]], kind="stable")]  # a step takes the first pairs, which are long enough
+    step = int(min(max((1 << 21) // max(letters, 1), 64), 8192))  # a chunk's words of bits stay within 16 MB
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        out[some] = _jaro_words(first, one.sizes, second, two.sizes, i[some], j[some], letters, whole_transpositions, gate)
+    return out
+
+
+def _jaro_words(first, sizes, second, others, i, j, letters: int, whole: bool, gate: float | None) -> np.ndarray:
+    one, bit = np.uint64(1), lambda n: np.uint64(1 << n)
+    names, own = np.unique(j, return_inverse=True)
+    has = np.zeros(len(names) * letters, np.uint64)  # by name and character: where it stands
+    rows, long = np.arange(len(names)) * letters, others[names]
+    for place in range(int(long.max(initial=0))):
+        there = np.nonzero(long > place)[0]
+        has[rows[there] + second[names[there], place]] |= bit(place)
+    la, lb, a, base = sizes[i], others[j], np.ascontiguousarray(first[i].T), own * letters
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    free, taken, window = np.full(len(i), ~np.uint64(0)), np.zeros(len(i), np.uint64), _LOWEST[np.minimum(reach + 1, WORD)]
+    for place, n in enumerate(np.searchsorted(-la, -np.arange(int(la.max(initial=0)))).tolist()):
+        if place:
+            window = (window << one) | (place <= reach).astype(np.uint64)
+        found = has[base[:n] + a[place, :n]] & window[:n] & free[:n]
+        free[:n] ^= found & (~found + one)  # the first of them
+        taken[:n] |= (found != 0).astype(np.uint64) << np.uint64(place)
+    m = np.bitwise_count(taken).astype(np.int64)
+    mine, theirs, apart = taken, ~free, np.zeros(len(i), np.int64)
+    (u, x_all), (v, y_all) = ((c.shape[1], c.ravel()) for c in (first, second))
+    for _ in range(int(m.max(initial=0))):  # the n-th character taken on either side
+        x, y = (np.minimum(np.bitwise_count(~w & (w - one)), n - 1) for w, n in ((mine, u), (theirs, v)))
+        apart += (mine != 0) & (x_all[i * u + x] != y_all[j * v + y])
+        mine, theirs = mine & (mine - one), theirs & (theirs - one)
+    half = apart // 2 if whole else apart / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.where(m > 0, (m / la + m / lb + (m - half) / m) / 3, 0.0)
+    value = np.where((la == 0) & (lb == 0), 1.0, value)
+    if gate is None:
+        return value
+    head = min(4, u, v)
+    same = (first[i, :head] == second[j, :head]) & (np.arange(head) < np.minimum(la, lb)[:, None])
+    common = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    return np.where(value <= gate, value, value + 0.1 * common * (1 - value))
+
+
+def _by_distinct_pairs(a: pa.Array, b: pa.Array, how: dict, part=lambda text: text) -> pa.Array:
+    """jaro_of * 100 of each pair of a batch (of a part of the names); null where either is.  Each distinct pair is measured once."""
     x, y = (c.dictionary_encode() for c in (a, b))
     whole = np.logical_and(*(c.is_valid().to_numpy(zero_copy_only=False) for c in (a, b)))
     i, j = (c.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[whole] for c in (x, y))
-    one, two = x.dictionary.to_pylist(), y.dictionary.to_pylist()
-    pairs, place = np.unique(i * max(len(two), 1) + j, return_inverse=True)
-    made = np.fromiter((measure(one[p // len(two)], two[p % len(two)]) * 100 for p in pairs.tolist()), float, len(pairs))
+    one, two = (Names([part(t) for t in c.dictionary.to_pylist()]) for c in (x, y))
+    n = max(len(two.texts), 1)
+    pairs, place = np.unique(i * n + j, return_inverse=True)
     out = np.zeros(len(a))
-    out[whole] = made[place]
+    if len(pairs):
+        out[whole] = (jaro_of(one, two, pairs // n, pairs % n, **how) * 100)[place]
     return pa.array(out, mask=~whole)
 
 
-def _device_jaro_winkler(a: str, b: str) -> float:
-    one, two = (x.encode()[:64].decode("latin-1") for x in (a, b))  # a character for each byte
-    return jaro_winkler(one, two, gate=-1.0, whole_transpositions=False)
+def _first_bytes(text: str) -> str:
+    return text.encode()[:64].decode("latin-1")  # a character for each byte
 
 
 @F.arrow_udf(DoubleType())
 def _jaro_winkler_pct(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _by_distinct_pairs(jaro_winkler, a, b)
+    return _by_distinct_pairs(a, b, {"gate": 0.7})
 
 
 @F.arrow_udf(DoubleType())
 def _jaro_pct(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _by_distinct_pairs(jaro, a, b)
+    return _by_distinct_pairs(a, b, {})
 
 
 @F.arrow_udf(DoubleType())
 def _device_jaro_winkler_pct(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _by_distinct_pairs(_device_jaro_winkler, a, b)
+    return _by_distinct_pairs(a, b, {"gate": -1.0, "whole_transpositions": False}, _first_bytes)
 
 
 def jaro_winkler_pct(a: Column, b: Column) -> Column:

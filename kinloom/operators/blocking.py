@@ -1,7 +1,8 @@
 """Blocked candidate joins: year of birth, initials and Soundex, with fallbacks for persons that find nothing.
 
 A person of the first table asks for several keys, each with a tier.  A lower tier counts only where the tiers above
-brought no candidate at all, before any birthdate is compared.
+brought no candidate at all, before any birthdate is compared.  Which tiers count depends on a person's block alone, so
+they are settled over the different blocks of both tables; persons then get the keys of their block, and pairs are made once.
 """
 
 from __future__ import annotations
@@ -30,36 +31,33 @@ def _key(year: Column, fi: Column, sx: Column, tier: int) -> Column:
 
 
 def _asked(a: DataFrame, b: DataFrame, keys: list[Column]) -> DataFrame:
-    """The keys of each person (a row's number) of the first table under which the second table has someone.
-
-    Keys are held against the second table's distinct keys, so that no pair is made before the tiers are settled.
-    """
-    numbered = a.withColumn("row", F.monotonically_increasing_id())
-    asked = numbered.withColumn("key", F.explode(F.array_compact(F.array(*keys))))
-    asked = asked.select(F.struct(*[F.col(c) for c in a.columns]).alias("person"), "row", "key.*")
+    """The keys (ask) of each different block of the first table under which the second table has someone; no person is there."""
+    blocks = a.select(*KEY).distinct()
+    asked = blocks.select(F.struct(*KEY).alias("block"), F.inline(F.array_compact(F.array(*keys))))
     return asked.join(b.select(*KEY).distinct(), KEY)
 
 
-def _pairs(settled: DataFrame, b: DataFrame) -> DataFrame:
-    """Candidate pairs (a_*, b_*) of the persons of settled keys."""
+def _pairs(a: DataFrame, b: DataFrame, settled: DataFrame, *, same_birthdate: bool) -> DataFrame:
+    """Candidate pairs (a_*, b_*) of the keys that were settled for each block."""
+    ask = settled.select(*[F.col(f"block.{k}").alias(f"a_{k}") for k in KEY], *[F.col(k).alias(f"b_{k}") for k in KEY])
+    named = side(a, "a").join(ask, [f"a_{k}" for k in KEY])
+    on = [f"b_{k}" for k in KEY]
     two = side(b, "b")
-    on = None
-    for k in KEY:
-        c = F.col(k) == F.col(f"b_{k}")
-        on = c if on is None else on & c
-    names = settled.schema["person"].dataType.fieldNames()
-    return settled.join(two, on).select(*[F.col(f"person.{n}").alias(f"a_{n}") for n in names], *two.columns)
+    if same_birthdate:
+        named, two, on = named.withColumn("date", F.col("a_birthdate")), two.withColumn("date", F.col("b_birthdate")), [*on, "date"]
+    return named.join(two, on).select(*side(a, "a").columns, *two.columns).drop("date")
 
 
-def blocked_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+def blocked_candidates(a: DataFrame, b: DataFrame, *, same_birthdate: bool = False) -> DataFrame:
     """Tier 1: same year, initials and Soundex; 2: a partner without a first initial; 3: the coarse Soundex.
 
-    Each person meets its lowest tier that isn't empty.
+    Each person meets its lowest tier that isn't empty.  same_birthdate: of those only persons of its birthdate.
     """
     year, fi, sx = F.col("year"), F.col("fi"), F.col("sx")
     coarse = phonetic.coarse_soundex(sx)
     asked = _asked(a, b, [_key(year, fi, sx, 1), F.when(fi != "?", _key(year, F.lit("?"), sx, 2)), F.when(sx != coarse, _key(year, fi, coarse, 3))])
-    return _pairs(asked.withColumn("lowest", F.min("tier").over(Window.partitionBy("row"))).filter("tier = lowest"), b)
+    lowest = asked.withColumn("lowest", F.min("tier").over(Window.partitionBy("block"))).filter("tier = lowest")
+    return _pairs(a, b, lowest, same_birthdate=same_birthdate)
 
 
 def neighbour_year_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -67,10 +65,10 @@ def neighbour_year_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     year, fi, sx = F.col("year"), F.col("fi"), F.col("sx")
     coarse = phonetic.coarse_soundex(sx)
     keys = [_key(year, fi, sx, 1), F.when(fi != "?", _key(year, F.lit("?"), sx, 2)), _key(year - 1, fi, sx, 3), _key(year + 1, fi, sx, 3), F.when(sx != coarse, _key(year, fi, coarse, 4))]
-    asked, own = _asked(a, b, keys), Window.partitionBy("row")
+    asked, own = _asked(a, b, keys), Window.partitionBy("block")
     has = {f"has_{t}": F.max((F.col("tier") == t).cast("int")).over(own) for t in (1, 2, 3)}
     counts = (F.col("tier").isin(1, 3)) | ((F.col("tier") == 2) & (F.col("has_1") == 0)) | ((F.col("tier") == 4) & (F.col("has_1") + F.col("has_2") + F.col("has_3") == 0))
-    return _pairs(asked.withColumns(has).filter(counts), b)
+    return _pairs(a, b, asked.withColumns(has).filter(counts), same_birthdate=False)
 
 
 def _scored(persons: DataFrame, accent_fold: bool, middle: bool = False) -> DataFrame:
@@ -79,7 +77,7 @@ def _scored(persons: DataFrame, accent_fold: bool, middle: bool = False) -> Data
 
 def fuzzy_blocked(a: DataFrame, b: DataFrame, *, middle: bool = False, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:
     """A4 (with middle names A3) over blocked candidates with equal birthdates; a subset of what the unblocked rule finds."""
-    pairs = blocked_candidates(_scored(a, accent_fold, middle), _scored(b, accent_fold, middle)).filter("a_birthdate = b_birthdate")
+    pairs = blocked_candidates(_scored(a, accent_fold, middle), _scored(b, accent_fold, middle), same_birthdate=True)
     return _fuzzy(rules.classify(pairs, middle=middle), min_confidence)
 
 
@@ -95,7 +93,7 @@ def fuzzy_blocked_reclassified(a: DataFrame, b: DataFrame, *, min_confidence: fl
     def by(pairs: DataFrame, n: int) -> DataFrame:
         return pairs.withColumns({f"{p}_{c}": F.col(f"{p}_{c}_{n}") for p in ("a", "b") for c in ("full", "code")})
 
-    pairs = blocked_candidates(both(a), both(b)).filter("a_birthdate = b_birthdate")
+    pairs = blocked_candidates(both(a), both(b), same_birthdate=True)
     three = rules.classify(by(pairs, 3), middle=True).drop("label", "score")
     return _fuzzy(rules.classify(by(three, 4), middle=False), min_confidence)
 

@@ -17,11 +17,15 @@ def household_key(prefix: str = "") -> Column:
 
 
 def _best(pairs: DataFrame, person: str, household: str, keep: list[str]) -> DataFrame:
-    """Each person's household of greatest confidence; persons with several such are left out."""
-    top = pairs.groupBy(person, *keep, household).agg(F.max("confidence").alias("confidence"))
-    best = top.withColumn("top", F.max("confidence").over(Window.partitionBy(person))).filter("confidence = top")
-    one = best.groupBy(person).agg(F.min(household).alias(household), F.max(household).alias("other"), *[F.min(k).alias(k) for k in keep])
-    return one.filter(F.col(household) == F.col("other")).drop("other")
+    """Each person's household of greatest confidence; persons with several such are left out.
+
+    One aggregation gives the last and the first household of greatest confidence, which are one if there is only one.
+    """
+    hh = F.col(household)
+    last = F.max(F.struct("confidence", hh.alias("hh")))
+    first = F.min(F.struct((-F.col("confidence")).alias("confidence"), hh.isNull().alias("none"), hh.alias("hh"), *keep))
+    one = pairs.groupBy(person).agg(last.alias("last"), first.alias("first")).filter("last.hh = first.hh")
+    return one.select(person, F.col("first.hh").alias(household), *[F.col(f"first.{k}").alias(k) for k in keep])
 
 
 def _share(found: DataFrame, person: str, sizes: DataFrame, by: str) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from kinloom.functions.normalize import normalize_text
 from kinloom.functions.phonetic import first_char_initial
 from kinloom.operators import rules
-from kinloom.operators.prepared import normalized, scored_names, side
+from kinloom.operators.prepared import coded, full_names, normalized, scored_names, side, spread
 from kinloom.schema import NAMES
+from kinloom.storage import staged
 
 FIELDS_1 = ["id", "uuid", "first_name", "last_name", "birthdate"]
 FIELDS_2 = ["id", "uuid", "first_name", "middle_name", "last_name", "birthdate"]
@@ -31,72 +32,169 @@ def to_pairs(pairs: DataFrame, score, fields, *, flag: str) -> DataFrame:
     )
 
 
+def exact_side(persons: DataFrame, punctuation: bool = False) -> DataFrame:
+    """persons with normalised names, of those that exact rules can match."""
+    return normalized(persons, punctuation=punctuation).filter("n_first is not null and n_last is not null and birthdate is not null")
+
+
 def _exact(a: DataFrame, b: DataFrame, middle: bool, punctuation: bool) -> DataFrame:
-    one, two = (side(normalized(t, punctuation=punctuation).filter("n_first is not null and n_last is not null and birthdate is not null"), p) for t, p in ((a, "a"), (b, "b")))
+    one, two = (side(exact_side(t, punctuation), p) for t, p in ((a, "a"), (b, "b")))
     on = (F.col("a_n_first") == F.col("b_n_first")) & (F.col("a_n_last") == F.col("b_n_last")) & (F.col("a_birthdate") == F.col("b_birthdate"))
     if middle:
         on = on & F.col("a_n_mid").eqNullSafe(F.col("b_n_mid"))
     return one.join(two, on)
 
 
+def exact_pairs(pairs: DataFrame, *, middle: bool) -> DataFrame:
+    """Joined persons as pairs of A1, or with middle names A2."""
+    return to_pairs(pairs, F.lit(100.0), F.array(*map(F.lit, FIELDS_2 if middle else FIELDS_1)), flag="infnmnbd" if middle else "infnbd")
+
+
 def exact_first_last_dob(a: DataFrame, b: DataFrame, *, punctuation: bool = False) -> DataFrame:
     """A1: equal normalised first name, last name and birthdate, none of them null."""
-    return to_pairs(_exact(a, b, False, punctuation), F.lit(100.0), F.array(*map(F.lit, FIELDS_1)), flag="infnbd")
+    return exact_pairs(_exact(a, b, False, punctuation), middle=False)
 
 
 def exact_first_mid_last_dob(a: DataFrame, b: DataFrame, *, punctuation: bool = False) -> DataFrame:
     """A2: A1, and equal middle names, or neither has one."""
-    return to_pairs(_exact(a, b, True, punctuation), F.lit(100.0), F.array(*map(F.lit, FIELDS_2)), flag="infnmnbd")
+    return exact_pairs(_exact(a, b, True, punctuation), middle=True)
+
+
+def _initial(prefix: str) -> Column:
+    return F.coalesce(first_char_initial(normalize_text(F.col(f"{prefix}_last_name"))), F.lit(""))
 
 
-def _same_initial() -> Column:
-    initial = lambda p: F.coalesce(first_char_initial(normalize_text(F.col(f"{p}_last_name"))), F.lit(""))
-    return initial("a") == initial("b")
+#: Pairs of one birthdate from which its persons meet by keys of their names.
+HEAVY = 250_000
+#: Groups that names of one heavy birthdate are dealt to where names of other scripts meet everyone.
+DEALT = 16
 
 
-def _keys() -> Column:
-    """Keys of full, of ASCII, such that any two names that can match share one: the code, and pairs of letters.
+def heavy_dates(a: DataFrame, b: DataFrame, least: int) -> DataFrame | None:
+    """The birthdates that make at least so many pairs, written; None if there are none.
 
-    Of names that are alike by PASS percent at most d edits apart, each of which touches two pairs of letters; so of the
-    2 d + 1 least pairs (by hash, the n-th occurrence of a pair told from the first) of either name one is the other's as well.
+    Runs jobs over the birthdates of both tables.  Such dates are in the calendar: of all years from 1 to 9999 it has under four million.
+    """
+    one, two = (t.filter("birthdate is not null").groupBy("birthdate").agg(F.count(F.lit(1)).alias(n)) for t, n in ((a, "na"), (b, "nb")))
+    dates = staged(one.join(two, "birthdate").filter(F.col("na") * F.col("nb") >= least).select("birthdate"), "heavy")
+    return None if dates.isEmpty() else dates
+
+
+def _edits(n: Column) -> Column:
+    """The most edits between a name of ASCII of n characters and any that is alike by PASS percent."""
+    return F.floor(F.floor(n * 100 / F.lit(rules.PASS)) * F.lit(100 - rules.PASS) / 100).cast("int")
+
+
+def _part(n: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Place (from 1) and length of the i-th of the edits + 1 parts of a name of n characters."""
+    at = lambda k: F.floor(n * k / (edits + 1)).cast("int")
+    return at(i) + 1, at(i + 1) - at(i)
+
+
+def _range(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+
+def name_keys(held: bool) -> Column:
+    """Keys of full, such that a held name and an asking one share a key if they can match.
+
+    A held name of ASCII is cut into one part more than the edits that a match may need; one part is whole in the other
+    name, and moved by no more than these edits.  Its keys are the parts, each with the name's length.  An asking name has
+    the stretches of it that could be such a part of a held name, for every length that such a name can have.  Names of equal
+    code share that.  Other names meet everyone: they are in every one of DEALT groups of the other side, whose names are in one.
     """
     full, n = F.col("full"), F.length("full")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(full, i, F.lit(2)))
-    hashed = F.transform(pairs, lambda p, i: F.xxhash64(p, F.size(F.filter(F.slice(pairs, 1, i), lambda q: q == p))))
-    edits = F.floor(F.floor(n * 100 / F.lit(rules.PASS)) * F.lit(100 - rules.PASS) / 100).cast("int")
-    code = F.when(F.col("code") != "", F.array(F.xxhash64(F.lit("code"), "code"))).otherwise(F.array().cast("array<bigint>"))
-    return F.array_distinct(F.concat(F.slice(F.array_sort(hashed), 1, 2 * edits + 1), F.coalesce(code, F.array().cast("array<bigint>"))))
+    none = F.array().cast("array<bigint>")
+    key = lambda length, i, at, size: F.xxhash64(length, i, F.substr(full, at, size))
+    if held:
+        own = F.transform(_range(F.lit(0), _edits(n)), lambda i: key(n, i, *_part(n, _edits(n), i)))
+    else:
+
+        def stretches(length: Column, i: Column) -> Column:
+            at, size = _part(length, _edits(length), i)
+            return F.transform(_range(F.greatest(at - _edits(length), F.lit(1)), F.least(at + _edits(length), n - size + 1)), lambda p: key(length, i, p, size))
+
+        lengths = _range(F.ceil(n * F.lit(rules.PASS) / 100).cast("int"), F.floor(n * 100 / F.lit(rules.PASS)).cast("int"))
+        own = F.flatten(F.transform(lengths, lambda length: F.flatten(F.transform(_range(F.lit(0), _edits(length)), lambda i: stretches(length, i)))))
+    code = F.coalesce(F.when(F.col("code") != "", F.array(F.xxhash64(F.lit("code"), "code"))), none)
+    dealt = F.pmod(F.xxhash64("full"), F.lit(DEALT))
+    group = lambda side: F.array(F.xxhash64(F.lit(side), dealt))
+    groups = lambda side: F.array(*[F.xxhash64(F.lit(side), F.lit(i).cast("bigint")) for i in range(DEALT)])
+    ascii_ = F.octet_length("full") == n
+    # Asking names of ASCII wait in "asking" for held ones of other scripts; all held names wait in "held" for asking ones of other scripts.
+    if held:
+        return F.array_distinct(F.when(ascii_, F.concat(own, code, group("held"))).otherwise(F.concat(groups("asking"), group("held"))))
+    return F.array_distinct(F.when(ascii_, F.concat(own, code, group("asking"))).otherwise(groups("held")))
+
+
+def keyed(scored: DataFrame, heavy: DataFrame | None, *, held: bool) -> DataFrame:
+    """scored names with heavy, keys and key, a row for each key: one, 0, on light birthdates, and name_keys on heavy ones.
+
+    heavy: a table of birthdates, which is broadcast; None: all of them.
+    """
+    told = scored.withColumn("heavy", F.lit(True)) if heavy is None else scored.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "birthdate", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    light = F.array(F.lit(0).cast("bigint"))
+    # Outer, as Spark puts a filter of the keys, and so the codes once more, below an explode; no row is without a key.
+    return told.withColumn("keys", F.when(F.col("heavy"), name_keys(held)).otherwise(light)).withColumn("key", F.explode_outer("keys"))
+
+
+def met(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Pairs of keyed sides (columns a_*, b_*) of equal birthdate that share a key, once: under the least that they share."""
+    on = (F.col("a_birthdate") == F.col("b_birthdate")) & (F.col("a_key") == F.col("b_key"))
+    once = ~F.col("a_heavy") | (F.col("a_key") == F.array_min(F.array_intersect("a_keys", "b_keys")))
+    return one.join(two, on).filter(once).drop(*[f"{p}_{c}" for p in ("a", "b") for c in ("key", "keys", "heavy")])
+
+
+NAMED = ["birthdate", "s_first", "s_mid", "s_last", "full"]
 
 
-def _joined_by_keys(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Pairs of equal birthdate (columns a_*, b_*) among which are all that can match.
+def _heavy_pairs(a: DataFrame, b: DataFrame, dates: DataFrame | None, *, middle: bool, accent_fold: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Persons of heavy birthdates of both sides (a_*, b_*), and the pairs of their different names that can match.
 
-    Names of ASCII meet under each key they share, and count under the least; the few others meet everyone of their birthdate.
+    Names are normalised below both; only different names get codes and keys and are compared.
     """
-    plain = lambda p: F.octet_length(f"{p}_full") == F.length(f"{p}_full")
-    dates = F.col("a_birthdate") == F.col("b_birthdate")
-    x, y = (t.withColumn(f"{p}_key", F.explode(f"{p}_keys")) for t, p in ((one.filter(plain("a")), "a"), (two.filter(plain("b")), "b")))
-    met = x.join(y, dates & (F.col("a_key") == F.col("b_key"))).filter(F.col("a_key") == F.array_min(F.array_intersect("a_keys", "b_keys"))).drop("a_key", "b_key")
-    far = one.filter(~plain("a")).join(two, dates).unionByName(one.filter(plain("a")).join(two.filter(~plain("b")), dates))
-    return met.unionByName(far).drop("a_keys", "b_keys")
+    own = [t if dates is None else t.join(F.broadcast(dates), "birthdate", "left_semi") for t in (a, b)]
+    named = [full_names(t, middle=middle, accent_fold=accent_fold) for t in own]
+    one, two = (side(keyed(coded(t.select(*NAMED).distinct()), None, held=held), p) for t, p, held in zip(named, ("a", "b"), (False, True), strict=True))
+    return side(named[0], "a"), side(named[1], "b"), met(one, two)
 
 
-def fuzzy_pairs(a: DataFrame, b: DataFrame, *, middle: bool, accent_fold: bool = True, last_initial: bool = False, keys: bool = False) -> DataFrame:
-    """Classified pairs (score, label) with all columns of both sides.
+def fuzzy_pairs(a: DataFrame, b: DataFrame, *, middle: bool, accent_fold: bool = True, last_initial: bool = False, keys: bool = False, heavy: int | None = HEAVY) -> DataFrame:
+    """Classified pairs (score, label) of equal birthdate, with both sides' persons and compared names (columns a_*, b_*).
 
-    last_initial: the first characters of the last names have to agree as well (two persons without last name do), and
-    are part of the join's key.  keys: persons of one birthdate meet only if their names share a key, which loses no
-    match; this is for tables in which very many persons have one birthdate, as pairs no longer grow with their square.
+    Persons of a birthdate that makes fewer than `heavy` pairs are all compared.  Of another, such as a default for unknown
+    dates, the different names are compared, those only that share a key (name_keys), and persons then get the matches of their
+    names: neither loses a match, and comparisons don't grow with the square of the persons.  keys: all birthdates are
+    taken as heavy; heavy=None: none.  A number for heavy runs jobs over the birthdates while the plan is made; where no
+    birthdate is heavy, the plan is that of None.  last_initial: the first characters of the last names have to agree as well (two
+    persons without last name do), and are part of the join's key.
     """
-    scored = (scored_names(t, middle=middle, accent_fold=accent_fold) for t in (a, b))
-    one, two = (side(t.withColumn("keys", _keys()) if keys else t, p) for t, p in zip(scored, ("a", "b"), strict=True))
-    if keys:
-        pairs = rules.classify(_joined_by_keys(one, two), middle=middle)
-        return pairs.filter(_same_initial()) if last_initial else pairs
-    on = F.col("a_birthdate") == F.col("b_birthdate")
-    if last_initial:
-        on = on & _same_initial()
-    return rules.classify(one.join(two, on), middle=middle)
+    a, b = spread(a), spread(b)
+    same = lambda on: on & (_initial("a") == _initial("b")) if last_initial else on
+    dates = None if keys or heavy is None else heavy_dates(a, b, heavy)
+    found = []
+    if not keys:
+        light = a if dates is None else a.join(F.broadcast(dates), "birthdate", "left_anti")
+        one, two = (side(scored_names(t, middle=middle, accent_fold=accent_fold), p) for t, p in ((light, "a"), (b, "b")))
+        found.append(rules.classify(one.join(two, same(F.col("a_birthdate") == F.col("b_birthdate"))), middle=middle))
+    if keys or dates is not None:
+        one, two, names = _heavy_pairs(a, b, dates, middle=middle, accent_fold=accent_fold)
+        alike = rules.classify(names, middle=middle)
+        with_a = one.join(alike, [f"a_{c}" for c in NAMED])
+        both = with_a.join(two, [f"b_{c}" for c in NAMED])
+        found.append(both.filter(_initial("a") == _initial("b")) if last_initial else both)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def compared_pairs(a: DataFrame, b: DataFrame, *, middle: bool, accent_fold: bool = True, heavy: int | None = HEAVY) -> DataFrame:
+    """One row: the pairs of persons of light birthdates and of different names of heavy ones that fuzzy_pairs compares."""
+    dates = None if heavy is None else heavy_dates(a, b, heavy)
+    one, two = (t.filter("birthdate is not null") for t in (a, b))
+    light = one if dates is None else one.join(F.broadcast(dates), "birthdate", "left_anti")
+    counts = [t.groupBy("birthdate").agg(F.count(F.lit(1)).alias(n)) for t, n in ((light, "na"), (two, "nb"))]
+    plain = counts[0].join(counts[1], "birthdate").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("persons"))
+    names = 0 if dates is None else _heavy_pairs(a, b, dates, middle=middle, accent_fold=accent_fold)[2].count()
+    return plain.withColumn("names", F.lit(names).cast("long"))
 
 
 def _fuzzy(pairs: DataFrame, min_confidence: float) -> DataFrame:
@@ -104,11 +202,11 @@ def _fuzzy(pairs: DataFrame, min_confidence: float) -> DataFrame:
     return out.filter(F.col("confidence") >= F.lit(min_confidence).cast("float")) if min_confidence > 0 else out
 
 
-def fuzzy(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False, keys: bool = False) -> DataFrame:
-    """A3: equal birthdates, and first, middle and last name by the case rule."""
-    return _fuzzy(fuzzy_pairs(a, b, middle=True, accent_fold=accent_fold, last_initial=last_initial, keys=keys), min_confidence)
+def fuzzy(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, **how) -> DataFrame:
+    """A3: equal birthdates, and first, middle and last name by the case rule; how: as fuzzy_pairs."""
+    return _fuzzy(fuzzy_pairs(a, b, middle=True, **how), min_confidence)
 
 
-def fuzzy_no_middle(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, accent_fold: bool = True, last_initial: bool = False, keys: bool = False) -> DataFrame:
+def fuzzy_no_middle(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.0, **how) -> DataFrame:
     """A4: A3 without middle names."""
-    return _fuzzy(fuzzy_pairs(a, b, middle=False, accent_fold=accent_fold, last_initial=last_initial, keys=keys), min_confidence)
+    return _fuzzy(fuzzy_pairs(a, b, middle=False, **how), min_confidence)

@@ -18,8 +18,24 @@ def normalized(persons: DataFrame, *, punctuation: bool = False) -> DataFrame:
     return persons.withColumns({"n_first": norm("first_name"), "n_mid": norm("middle_name"), "n_last": norm("last_name")})
 
 
-def scored_names(persons: DataFrame, *, middle: bool, accent_fold: bool = True) -> DataFrame:
-    """persons with s_first, s_mid, s_last, full (their compared forms), code (Double Metaphone of full), for fuzzy rules.
+#: Bytes of a task's share of a scan.
+SPLIT = 128 << 20
+
+
+def spread(persons: DataFrame) -> DataFrame:
+    """persons dealt out by id to as many tasks as there are cores, if Spark estimates the table to be less than a scan of so many tasks.
+
+    Names are costly beside the reading of a row; a small table's scan has a task or two.
+    """
+    if persons.isStreaming:
+        return persons
+    cores = persons.sparkSession.sparkContext.defaultParallelism
+    size = int(str(persons._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return persons.repartition(cores, "id") if size < cores * SPLIT else persons
+
+
+def full_names(persons: DataFrame, *, middle: bool, accent_fold: bool = True) -> DataFrame:
+    """persons with s_first, s_mid, s_last and full, their compared forms, for fuzzy rules.
 
     Persons without any name or without a birthdate can't match and are left out.
     """
@@ -30,8 +46,17 @@ def scored_names(persons: DataFrame, *, middle: bool, accent_fold: bool = True)
     first, mid, last = part("first_name"), part("middle_name"), part("last_name")
     simple = {n: F.coalesce(normalize.normalize_simple(c), F.lit("")) for n, c in (("s_first", first), ("s_mid", mid), ("s_last", last))}
     df = persons.filter(F.col("birthdate").isNotNull()).withColumns(simple | {"full": normalize.full_name(first, last, mid if middle else None)})
-    df = df.filter(F.trim("full") != "")
-    return df.withColumn("code", phonetic.metaphone_code(normalize.normalize_phonetic(F.col("full"))))
+    return df.filter(F.trim("full") != "")
+
+
+def coded(named: DataFrame) -> DataFrame:
+    """Named rows with code, the Double Metaphone of full; declared non-deterministic, so that no filter computes it once more."""
+    return named.withColumn("code", phonetic.metaphone_code.asNondeterministic()(normalize.normalize_phonetic(F.col("full"))))
+
+
+def scored_names(persons: DataFrame, *, middle: bool, accent_fold: bool = True) -> DataFrame:
+    """full_names with their codes."""
+    return coded(full_names(persons, middle=middle, accent_fold=accent_fold))
 
 
 def side(df: DataFrame, prefix: str) -> DataFrame:

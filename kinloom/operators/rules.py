@@ -17,9 +17,13 @@ def candidates(pairs: DataFrame) -> DataFrame:
     A match has two of three metrics over the bar, so Levenshtein or the phonetic code is among them: both are native,
     and only what is left needs Jaro-Winkler.
     """
-    lev = levenshtein_pct(F.col("a_full"), F.col("b_full"))
+    one, two = F.col("a_full"), F.col("b_full")
+    lev = levenshtein_pct(one, two)
+    # Over PASS there are few edits, and no more than these are counted where names are further apart.
+    most = F.floor(F.greatest(F.octet_length(one), F.octet_length(two)) * ((100 - PASS) / 100) + 1e-6).cast("int")
+    near = (F.abs(F.length(one) - F.length(two)) <= most) & (F.call_function("levenshtein", one, two, most) >= 0) & (lev >= PASS)
     same_code = F.coalesce((F.col("a_code") == F.col("b_code")) & (F.col("a_code") != ""), F.lit(False))
-    return pairs.filter(same_code | (lev >= PASS)).withColumns({"lev": lev, "mp": F.when(same_code, 100.0).otherwise(0.0)})
+    return pairs.filter(same_code | near).withColumns({"lev": lev, "mp": F.when(same_code, 100.0).otherwise(0.0)})
 
 
 def classify(pairs: DataFrame, *, middle: bool) -> DataFrame:

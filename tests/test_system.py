@@ -130,10 +130,7 @@ def test_partitions(spark, tmp_path):
     assert pairs_of(got) == pairs_of(match(a, b, 4))
 
 
-def test_stream_settings():
-    assert stream.stream_settings(512) == stream.StreamSettings(5_000, 1_000)
-    assert stream.stream_settings(1 << 20) == stream.StreamSettings(100_000, 10_000)
-    assert stream.stream_settings(1024 + 4 * 40_000).batch_size == 40_000
+def test_retries():
     assert list(stream.backoff()) == [0.5, 1.0, 2.0, 4.0, 8.0]
     tries, slept = [], []
 
