@@ -23,7 +23,7 @@ FILTERS = "ABCDE"
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 100, 80, 10, r"[#$%&*|]"
 BREAKS = r"[\x20\x09-\x0D]+"
 MASKS = 1 << len(FILTERS)
-#: Copies of one row are dealt to so many groups at most.
+#: Copies of one row, and documents of one text, are dealt to so many groups at most.
 COPIES = 16
 
 
@@ -51,9 +51,12 @@ def flags(docs: DataFrame, labels: DataFrame | None, *, id_col: str, text_col: s
         (100 * capitals > CAPITAL_PERCENT * F.length("text")).alias("C"), F.col("text").rlike(SIGNS).alias("D"),
     )
     plain = stage(plain, "filter-flags")
+    # Documents of one text are dealt out, and its first document goes to each group of them.
     first = plain.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = first.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    plain = plain.withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.lit(COPIES)).cast("int"))
     counted = word_counts(rows.select("doc_id", "h", "text").filter("text <> ''")).withColumnsRenamed({"doc_id": "w_id", "h": "w_h"})
-    joined = plain.join(counted, F.expr("doc_id <=> w_id and h = w_h"), "left").join(first, "sha", "left")
+    joined = plain.join(counted, F.expr("doc_id <=> w_id and h = w_h"), "left").join(first, ["sha", "copy"], "left")
     good = toxic = F.lit(False)
     if labels is not None:
         known = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("bad"))
