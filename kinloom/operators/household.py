@@ -28,11 +28,29 @@ def _best(pairs: DataFrame, person: str, household: str, keep: list[str]) -> Dat
     return one.select(person, F.col("first.hh").alias(household), *[F.col(f"first.{k}").alias(k) for k in keep])
 
 
-def _share(found: DataFrame, person: str, sizes: DataFrame, by: str) -> DataFrame:
-    """Percentage of each household's members that were found, where it is over 50."""
-    n = found.groupBy("uuid", "hh_id").agg(F.countDistinct(person).alias("found"))
+def _share(counts: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """Percentage of each household's members that were found, where it is over 50; counts has uuid, hh_id and found."""
     percent = (F.col("found") * 100.0 / F.col("size")).cast("float")
-    return n.join(sizes, by).withColumn("match_percentage", percent).filter("match_percentage > 50")
+    return counts.join(sizes, by).withColumn("match_percentage", percent).filter("match_percentage > 50")
+
+
+def _found(best: DataFrame, person: str) -> DataFrame:
+    return best.groupBy("uuid", "hh_id").agg(F.countDistinct(person).alias("found"))
+
+
+def sizes_t1(a: DataFrame) -> DataFrame:
+    """Persons of each household of the first table."""
+    return a.filter("uuid is not null").groupBy("uuid").agg(F.count(F.lit(1)).alias("size"))
+
+
+def sizes_t2(b: DataFrame) -> DataFrame:
+    """Persons of each household of the second table."""
+    return b.groupBy(household_key().alias("hh_id")).agg(F.count(F.lit(1)).alias("size"))
+
+
+def rolled(counts: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """Household rows from the persons found of each pair of households."""
+    return _numbered(_share(counts, sizes, by))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -40,6 +58,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
     Households are dealt out by ranges that Spark draws from the rows themselves, and written; a row's number is its
     place in its range and the rows of the ranges before, so that no task orders all households, whatever their ids look like.
+    The rows are written while the plan is made.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.select("uuid", "hh_id", "match_percentage").repartitionByRange(parts, "uuid", "hh_id").withColumn("range", F.spark_partition_id())
@@ -57,8 +76,7 @@ def household_t1(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.95, pa
     pairs = fuzzy_no_middle(a, b, accent_fold=accent_fold) if pairs is None else pairs
     pairs = pairs.filter(F.col("a_uuid").isNotNull() & (F.col("confidence") >= F.lit(min_confidence).cast("float")))
     pairs = pairs.select("a_id", F.col("a_uuid").alias("uuid"), household_key("b_").alias("hh_id"), "confidence")
-    sizes = a.filter("uuid is not null").groupBy("uuid").agg(F.count(F.lit(1)).alias("size"))
-    return _numbered(_share(_best(pairs, "a_id", "hh_id", ["uuid"]), "a_id", sizes, "uuid"))
+    return rolled(_found(_best(pairs, "a_id", "hh_id", ["uuid"]), "a_id"), sizes_t1(a), "uuid")
 
 
 def household_t2(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.95, pairs: DataFrame | None = None, accent_fold: bool = True) -> DataFrame:
@@ -66,8 +84,7 @@ def household_t2(a: DataFrame, b: DataFrame, *, min_confidence: float = 0.95, pa
     pairs = fuzzy_no_middle(a, b, accent_fold=accent_fold) if pairs is None else pairs
     pairs = pairs.filter(F.col("a_uuid").isNotNull() & (F.col("confidence") >= F.lit(min_confidence).cast("float")))
     pairs = pairs.select("b_id", F.col("a_uuid").alias("uuid"), household_key("b_").alias("hh_id"), "confidence")
-    sizes = b.groupBy(household_key().alias("hh_id")).agg(F.count(F.lit(1)).alias("size"))
-    return _numbered(_share(_best(pairs, "b_id", "uuid", ["hh_id"]), "b_id", sizes, "hh_id"))
+    return rolled(_found(_best(pairs, "b_id", "uuid", ["hh_id"]), "b_id"), sizes_t2(b), "hh_id")
 
 
 def household_sql(a: DataFrame, b: DataFrame, *, extras: tuple[str, ...] = ()) -> DataFrame:

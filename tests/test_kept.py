@@ -12,9 +12,12 @@ from kinloom.functions import similarity
 from kinloom.generate import dirty_dataset
 from kinloom.metrics import Progress
 from kinloom.operators import blocking, household, matching
+from kinloom.operators.prepared import side
+from kinloom.plans import engine
 from kinloom.plans.algorithms import MatchOptions, match
 from kinloom.schema import PERSON
 from kinloom.sources import database
+from kinloom.streaming import households
 from kinloom.streaming import index as kept
 from kinloom.streaming import match as stream
 
@@ -310,3 +313,68 @@ def test_progress_is_told_at_intervals():
         p.batch(10, 1)
     assert told == [(10, 9.0), (40, 18.0)]
     assert p.line() == "50 of 100 rows, 5 pairs, 4 rows a second, 13 s left" and Progress(clock=lambda: 1.0).seconds_left() is None
+
+
+# ---- matchers over groups ----
+
+
+def alike():
+    """Matchers of Jaro-Winkler of last names, over arrays and pair by pair; local, so that tasks get the classes themselves."""
+
+    class Groups:
+        def compare_groups(self, a, b):
+            one, two = ([x or "" for x in t.column("last_name").to_pylist()] for t in (a, b))
+            i, j = (g.ravel() for g in np.meshgrid(np.arange(len(one)), np.arange(len(two)), indexing="ij"))
+            scores = similarity.jaro_of(similarity.Names(one), similarity.Names(two), i, j, gate=0.7)
+            good = scores >= 0.9
+            return i[good], j[good], scores[good], [f"{len(one)} x {len(two)}"] * int(good.sum())
+
+    class Pairs:
+        def compare(self, a, b):
+            s = similarity.jaro_winkler(a["last_name"] or "", b["last_name"] or "")
+            return (s, "pair") if s >= 0.9 else None
+
+    return Groups(), Pairs()
+
+
+@pytest.mark.parametrize("cell", [10, 1000])
+def test_group_matchers_see_bounded_cells(spark, tables, cell):
+    a, b = (t.dropDuplicates(["id"]) for t in tables)
+    parts = engine.on_columns("birthdate")
+    got = engine._grouped_join(side(a, "a"), side(b, "b"), parts("a"), parts("b"), alike()[0], cell).collect()
+    want = engine.keyed_join(a, b, ["birthdate"], alike()[1]).collect()
+    pairs = lambda rows: sorted((r["a_id"], r["b_id"], r["score"]) for r in rows)
+    assert pairs(got) == pairs(want) and len(got) > 100
+    sizes = [int(x) for r in got for x in r["explanation"].split(" x ")]
+    assert max(sizes) <= 3 * 10 if cell == 10 else max(sizes) > 30
+
+
+def test_group_matchers_of_nothing(spark, tables):
+    a, b = tables
+    assert engine.keyed_join(a.limit(0), b, ["birthdate"], alike()[0]).count() == 0
+    assert engine.keyed_join(a.filter("birthdate is null"), b, ["birthdate"], alike()[0]).count() == 0
+
+
+# ---- households over streams ----
+
+
+@pytest.mark.parametrize("algorithm", [5, 6])
+def test_roll_up_after_every_batch_is_that_of_all_pairs(spark, tmp_path, algorithm):
+    rng, rows = random.Random(algorithm), []
+    for _ in range(160):
+        a_id, b_id = rng.randint(1, 24), rng.randint(101, 124)
+        rows.append((a_id, None if a_id == 7 else f"u{a_id // 3}", b_id, None if b_id % 5 == 0 else f"h{b_id // 3}", rng.choice([0.9, 0.95, 0.97, 1.0])))
+    schema = "a_id long, a_uuid string, b_id long, b_hh_id string, confidence float"
+    a = spark.createDataFrame([(i, None if i == 7 else f"u{i // 3}", None, None, None, None, None) for i in range(1, 25)], PERSON)
+    b = spark.createDataFrame([(i, None, None, None, None, None, None if i % 5 == 0 else f"h{i // 3}") for i in range(101, 125)], PERSON)
+    seen = spark.createDataFrame([], schema)
+    for n in range(3):
+        part = spark.createDataFrame(rows[n * 50 : (n + 1) * 50 + 5], schema)  # some pairs come twice
+        part.write.parquet(f"{tmp_path}/pairs/batch={n}")
+        seen = seen.unionByName(part)
+        households.roll_up_stream(households.pair_stream(spark, f"{tmp_path}/pairs", part.schema, files_per_batch=3), algorithm, out=f"{tmp_path}/out", checkpoint=f"{tmp_path}/cp").awaitTermination()
+        got = households.rolled_up(spark, f"{tmp_path}/out", a if algorithm == 5 else b, algorithm)
+        run = household.household_t1 if algorithm == 5 else household.household_t2
+        want = run(a, b, pairs=seen)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    assert got.count() > 0
