@@ -14,7 +14,7 @@ from kinloom.functions import phonetic
 from kinloom.functions.similarity import birthdate_similarity_pct, composite_score
 from kinloom.operators import rules
 from kinloom.operators.matching import _fuzzy, to_pairs
-from kinloom.operators.prepared import normalized, scored_names, side
+from kinloom.operators.prepared import normalized, scored_names, side, small, spread
 
 
 def block_columns(persons: DataFrame) -> DataFrame:
@@ -45,6 +45,9 @@ def _pairs(a: DataFrame, b: DataFrame, settled: DataFrame, *, same_birthdate: bo
     two = side(b, "b")
     if same_birthdate:
         named, two, on = named.withColumn("date", F.col("a_birthdate")), two.withColumn("date", F.col("b_birthdate")), [*on, "date"]
+    # Else the few keys may stay one task, in which all pairs of two small tables are made.
+    if small(a):
+        named = named.repartition(a.sparkSession.sparkContext.defaultParallelism, *on)
     return named.join(two, on).select(*side(a, "a").columns, *two.columns).drop("date")
 
 
@@ -72,7 +75,7 @@ def neighbour_year_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _scored(persons: DataFrame, accent_fold: bool, middle: bool = False) -> DataFrame:
-    return block_columns(scored_names(persons, middle=middle, accent_fold=accent_fold))
+    return block_columns(scored_names(spread(persons), middle=middle, accent_fold=accent_fold))
 
 
 def fuzzy_blocked(a: DataFrame, b: DataFrame, *, middle: bool = False, min_confidence: float = 0.0, accent_fold: bool = True) -> DataFrame:

@@ -22,16 +22,18 @@ def normalized(persons: DataFrame, *, punctuation: bool = False) -> DataFrame:
 SPLIT = 128 << 20
 
 
-def spread(persons: DataFrame) -> DataFrame:
-    """persons dealt out by id to as many tasks as there are cores, if Spark estimates the table to be less than a scan of so many tasks.
+def small(table: DataFrame) -> bool:
+    """Spark estimates the table to be less than a scan's share for every core."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return not table.isStreaming and int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPLIT
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table dealt out by id to as many tasks as there are cores; others as they are.
 
     Names are costly beside the reading of a row; a small table's scan has a task or two.
     """
-    if persons.isStreaming:
-        return persons
-    cores = persons.sparkSession.sparkContext.defaultParallelism
-    size = int(str(persons._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return persons.repartition(cores, "id") if size < cores * SPLIT else persons
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism, "id") if small(table) else table
 
 
 def full_names(persons: DataFrame, *, middle: bool, accent_fold: bool = True) -> DataFrame:
