@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--blocking", choices=["soundex", "keys"])
     p.add_argument("--last-initial", action="store_true", help="fuzzy rules compare persons of equal last initial only")
     p.add_argument("--partitions", type=int, default=64, help="ranges of ids in which a database table is read")
-    p.add_argument("--workbook", action="store_true", help="xlsx: one file, written by the driver row by row, instead of a folder of sheets")
+    p.add_argument("--workbook", action="store_true", help="xlsx: one file on the driver, joined from blocks that the executors compress, instead of a folder of sheets")
     p.add_argument("--verbose", action="store_true", help="log what is done")
     p.add_argument("--check-only", action="store_true", help="check the tables' columns and stop")
     return p

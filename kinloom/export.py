@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import csv
+import io
+import math
 import re
+import time
 import zipfile
-from collections.abc import Iterable
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kinloom.plans.algorithms import HOUSEHOLD, Algorithm
+from kinloom.storage import staged
 
 _TITLES = {"id": "ID", "uuid": "UUID", "first_name": "FirstName", "middle_name": "MiddleName", "last_name": "LastName", "birthdate": "Birthdate"}
 _FLAGS = {Algorithm.FIRST_LAST_DOB: "is_matched_Infnbd", Algorithm.FIRST_MID_LAST_DOB: "is_matched_Infnmnbd", Algorithm.FUZZY: "is_matched_Fuzzy", Algorithm.FUZZY_NO_MIDDLE: "is_matched_Fuzzy"}
@@ -73,25 +80,74 @@ def household_sheets(rows: DataFrame) -> dict[str, DataFrame]:
     return {"Household_Matches": household_report(rows)}
 
 
+BLOCK_ROWS = 10_000  # rows of a block
+_BLOCK = "task int, block int, rows long, size long, crc long, packed binary"
+
+
+def _packed(data: bytes) -> bytes:
+    """Deflate blocks without an end, which other blocks may follow and precede."""
+    packer = zlib.compressobj(wbits=-15)
+    return packer.compress(data) + packer.flush(zlib.Z_FULL_FLUSH)
+
+
+def row_blocks(report: DataFrame, text: Callable[[Iterable[tuple]], bytes], *, most: int = BLOCK_ROWS) -> DataFrame:
+    """A report's rows as packed blocks of at most ``most`` rows, rendered and compressed by the tasks and staged as Parquet.
+
+    Spark commits the blocks of the attempt that succeeds, so that a lost executor neither loses nor repeats any.  task and
+    block give the report's order; size and crc are those of the unpacked text.  Timestamps become strings.
+    """
+    plain = report.select(*[(F.col(f"`{n}`").cast("string") if t.startswith("timestamp") else F.col(f"`{n}`")).alias(f"c{i}") for i, (n, t) in enumerate(report.dtypes)])
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, block = TaskContext.get().partitionId(), 0  # type: ignore[union-attr]
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                some = batch.slice(at, most)
+                data = text(zip(*(c.to_pylist() for c in some.columns), strict=True))
+                made = (pa.int32(), task), (pa.int32(), block), (pa.int64(), some.num_rows), (pa.int64(), len(data)), (pa.int64(), zlib.crc32(data)), (pa.binary(), _packed(data))
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for t, v in made], names=names)
+                block += 1
+
+    return staged(plain.mapInArrow(run, _BLOCK), "blocks")
+
+
+def _in_order(blocks: DataFrame) -> Iterator[Row]:
+    """Blocks in the report's order; the driver holds those of one partition, compressed."""
+    return blocks.orderBy("task", "block").toLocalIterator()
+
+
+def _cell_text(v: object) -> object:
+    return "" if v is None else str(v).lower() if isinstance(v, bool) else v
+
+
+def _csv_rows(rows: Iterable[Iterable[object]]) -> bytes:
+    out = io.StringIO(newline="")
+    csv.writer(out).writerows([_cell_text(v) for v in row] for row in rows)
+    return out.getvalue().encode()
+
+
 class CsvWriter:
-    """One CSV file on the driver that grows by rows or by whole reports, each read partition by partition."""
+    """One CSV file on the driver that grows by rows or by whole reports, whose text the executors make."""
 
     def __init__(self, path: str, header: list[str], *, flush_every: int = 5_000):
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        self.file = open(path, "w", newline="", encoding="utf-8")  # noqa: SIM115
-        self.writer, self.rows, self.flush_every = csv.writer(self.file), 0, flush_every
-        self.writer.writerow(header)
+        self.file = open(path, "wb")  # noqa: SIM115
+        self.rows, self.flush_every = 0, flush_every
+        self.file.write(_csv_rows([header]))
 
     def write(self, row: Iterable[object]) -> None:
-        self.writer.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row])
+        self.file.write(_csv_rows([row]))
         self.rows += 1
         if self.rows % self.flush_every == 0:
             self.file.flush()
 
     def append(self, report: DataFrame) -> int:
         """Write a report's rows; returns how many this file has now."""
-        for row in report.toLocalIterator():
-            self.write(row)
+        for block in _in_order(row_blocks(report, _csv_rows)):
+            self.file.write(zlib.decompressobj(wbits=-15).decompress(bytes(block["packed"])))
+            self.rows += block["rows"]
+        self.file.flush()
         return self.rows
 
     def close(self) -> None:
@@ -111,10 +167,79 @@ _LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 
 
+def _cell(v: object) -> str:
+    if isinstance(v, bool):
+        return f'<c t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, (int, float)) and math.isfinite(v):
+        return f"<c><v>{v}</v></c>"
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_NO_XML.sub("", "" if v is None else str(v)))}</t></is></c>'
+
+
+def _sheet_rows(rows: Iterable[Iterable[object]]) -> bytes:
+    return "".join(f"<row>{''.join(map(_cell, row))}</row>" for row in rows).encode()
+
+
+_CRC = 0xEDB88320  # the polynomial of CRC-32, lowest power in the highest bit (fixed)
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials over GF(2) modulo that of CRC-32."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ (_CRC if b & 1 else 0)
+    return out
+
+
+def joined_crc(first: int, second: int, size: int) -> int:
+    """The CRC-32 of two texts one after the other, from their own and the second's size: the first's is moved on by 8 * size powers of x."""
+    power = 1 << 23  # x ** 8
+    while size:
+        if size & 1:
+            first = _times(first, power)
+        power, size = _times(power, power), size >> 1
+    return first ^ second
+
+
+class _Entry:
+    """An entry of a zip file that takes text and packed blocks in turn.  Its header is written again when its sizes are known."""
+
+    def __init__(self, book: zipfile.ZipFile, name: str):
+        self.book, self.packer = book, zlib.compressobj(wbits=-15)
+        self.info = zipfile.ZipInfo(name, time.localtime()[:6])
+        self.info.compress_type, self.info.header_offset, self.info.CRC = zipfile.ZIP_DEFLATED, book.fp.tell(), 0
+        book.fp.write(self.info.FileHeader(zip64=True))
+
+    def _out(self, packed: bytes, crc: int = 0, size: int = 0) -> None:
+        self.book.fp.write(packed)
+        self.info.CRC = joined_crc(self.info.CRC, crc, size)
+        self.info.file_size += size
+        self.info.compress_size += len(packed)
+
+    def write(self, data: bytes) -> None:
+        self._out(self.packer.compress(data), zlib.crc32(data), len(data))
+
+    def block(self, packed: bytes, crc: int, size: int) -> None:
+        self._out(self.packer.flush(zlib.Z_FULL_FLUSH))
+        self._out(packed, crc, size)
+
+    def close(self) -> None:
+        self._out(self.packer.flush())
+        out, end = self.book.fp, self.book.fp.tell()
+        out.seek(self.info.header_offset)
+        out.write(self.info.FileHeader(zip64=True))
+        out.seek(end)
+        self.book.filelist.append(self.info)
+        self.book.NameToInfo[self.info.filename] = self.info
+        self.book.start_dir = end
+
+
 class WorkbookWriter:
-    """An .xlsx file on the driver, written sheet after sheet and row after row.
+    """An .xlsx file on the driver, written sheet after sheet, by rows or by whole reports.
 
-    Rows beyond what a sheet holds go on in a further sheet (name, name_2, ...).
+    Reports are rendered and compressed by the executors; the driver puts their blocks one behind the other.  Rows beyond what a
+    sheet holds go on in a further sheet (name, name_2, ...), which may begin at a block's end, before the last sheet is full.
     """
 
     def __init__(self, path: str):
@@ -130,34 +255,26 @@ class WorkbookWriter:
 
     def _open(self, name: str) -> None:
         self.names.append(name[:31])
-        self.sheet, self.rows = self.zip.open(f"xl/worksheets/sheet{len(self.names)}.xml", "w"), 0
-        self.sheet.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode())
-        self._row(self.header)
-
-    def _row(self, values: Iterable[object]) -> None:
-        cells = []
-        for v in values:
-            if isinstance(v, bool):
-                cells.append(f'<c t="b"><v>{int(v)}</v></c>')
-            elif isinstance(v, (int, float)):
-                cells.append(f"<c><v>{v}</v></c>")
-            else:
-                cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_NO_XML.sub("", "" if v is None else str(v)))}</t></is></c>')
-        self.sheet.write(f"<row>{''.join(cells)}</row>".encode())
-        self.rows += 1
+        self.sheet, self.rows = _Entry(self.zip, f"xl/worksheets/sheet{len(self.names)}.xml"), 1
+        self.sheet.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode() + _sheet_rows([self.header]))
 
-    def write(self, row: Iterable[object]) -> None:
+    def _room(self, rows: int) -> None:
         if self.sheet is None:
             raise ValueError("begin a sheet first")
-        if self.rows == _SHEET_ROWS:
+        if self.rows + rows > _SHEET_ROWS:
             self._end()
             self.part += 1
             self._open(f"{self.title}_{self.part}")
-        self._row(row)
+        self.rows += rows
+
+    def write(self, row: Iterable[object]) -> None:
+        self._room(1)
+        self.sheet.write(_sheet_rows([row]))
 
     def append(self, report: DataFrame) -> None:
-        for row in report.toLocalIterator():
-            self.write(row)
+        for block in _in_order(row_blocks(report, _sheet_rows, most=min(BLOCK_ROWS, _SHEET_ROWS - 1))):
+            self._room(block["rows"])
+            self.sheet.block(bytes(block["packed"]), block["crc"], block["size"])
 
     def _end(self) -> None:
         if self.sheet is not None:
@@ -194,7 +311,7 @@ class WorkbookWriter:
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """All sheets as one .xlsx file on the driver, which holds one partition of rows at a time; for large results use write_sheets."""
+    """All sheets as one .xlsx file on the driver, which only joins what the executors have compressed; for results of many sheets' rows use write_sheets."""
     with WorkbookWriter(path) as book:
         for name, df in sheets.items():
             book.begin(name, df.columns)

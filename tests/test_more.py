@@ -1,6 +1,8 @@
 """Blocked and keyed variants, databases, workbooks, streams of the user's own matchers, numbering, folders."""
 
+import random
 import zipfile
+import zlib
 from collections import Counter
 from datetime import date
 from xml.etree import ElementTree
@@ -172,6 +174,35 @@ def test_workbook_and_csv(spark, tmp_path, monkeypatch):
         assert b"match_percentage" in z.read("xl/worksheets/sheet1.xml")
 
 
+def test_workbook_blocks(spark, tmp_path):
+    """Blocks that tasks compressed make the same cells, in order, as rows written one by one."""
+    rng = random.Random(5)
+    for _ in range(50):
+        x, y = rng.randbytes(rng.randrange(300)), rng.randbytes(rng.randrange(70_000))
+        assert export.joined_crc(zlib.crc32(x), zlib.crc32(y), len(y)) == zlib.crc32(x + y)
+    rows = spark.range(0, 25_000, numPartitions=3).select(
+        "id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("näme <&> "), F.col("id"))).alias("a.b"), (F.col("id") % 2 == 0).alias("even"), (F.col("id") / 3).cast("float").alias("third"),
+        F.when(F.col("id") == 5, F.lit(float("nan"))).otherwise(F.lit(1.5)).alias("odd one"), F.timestamp_seconds("id").alias("at"), F.lit("2020-01-02").cast("date").alias("on"),
+    )
+    cells = lambda path, n: [["".join(c.itertext()) for c in r] for r in ElementTree.fromstring(zipfile.ZipFile(path).read(f"xl/worksheets/sheet{n}.xml"))[0]]
+    export.write_workbook({"one": rows, "none": rows.limit(0)}, str(tmp_path / "blocks.xlsx"))
+    with export.WorkbookWriter(str(tmp_path / "rows.xlsx")) as book:
+        book.begin("one", rows.columns)
+        for r in rows.collect():
+            book.write(r)
+    assert zipfile.ZipFile(tmp_path / "blocks.xlsx").testzip() is None
+    got = cells(tmp_path / "blocks.xlsx", 1)
+    assert got == cells(tmp_path / "rows.xlsx", 1) and len(got) == 25_001 and cells(tmp_path / "blocks.xlsx", 2) == [rows.columns]
+    with export.WorkbookWriter(str(tmp_path / "mixed.xlsx")) as book:  # rows before, between and after blocks
+        book.begin("s", ["id"])
+        for part in (rows.select("id").limit(3), rows.select("id").limit(0), rows.select("id").limit(2)):
+            book.write(["x"])
+            book.append(part)
+        book.write([None])
+    assert [r[0] for r in cells(tmp_path / "mixed.xlsx", 1)] == ["id", "x", "0", "1", "2", "x", "x", "0", "1", ""]
+    assert export.row_blocks(rows, export._csv_rows, most=1000).agg(F.sum("rows"), F.max("rows")).first()[:] == (25_000, 1000)
+
+
 def test_household_numbers_follow_the_order(spark):
     """Ids that begin alike: numbers are whole and in order, and no range holds all rows."""
     rows = spark.range(5000).select(F.concat(F.lit("usr-2024-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("uuid"), F.lit("h").alias("hh_id"), F.lit(75.0).cast("float").alias("match_percentage"))
