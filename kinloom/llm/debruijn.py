@@ -7,7 +7,8 @@ between them.  Only edges that several documents have matter, and they are found
   and consecutive edges of a document that have one anchor are a path.  Equal paths are brought together by anchor and
   hash; all but the smallest document's copies repeat as a whole.
 * Where an anchor has several different paths the graph branches.  Those paths, one copy each, are fetched by joins with
-  the documents they come from, taken apart into edges again, and compared edge by edge.
+  the documents they come from, taken apart into edges again, and compared edge by edge.  An edge that very many
+  documents have is settled within each batch first, and what is left streams past its first copy.
 * Each repeated piece names the document and the place of its first copy.  The pieces' ends are nodes of the graph that the
   document walks in its source's coordinates; nodes at which as many pieces end as begin don't branch, and the pieces
   around them are compacted into one span.  What is left are nodes at which spans begin or end.
@@ -31,10 +32,9 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.base import arrow_schema, map_arrow, partitions, release, stage, trim
 from kinloom.llm.suffix import _split, _texts, covered, least_positions
-from kinloom.llm.vectors import grouped
 
 WINDOW, GRAM = 13, 4
-PATHS = 128  # paths of one anchor that are compared together
+PATHS = 128  # paths of one anchor that are compared whole
 CHUNK_BYTES = 2 << 20  # texts whose words are hashed together, one text at least
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
@@ -239,60 +239,128 @@ def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+#: kind 0: a path of an anchor with few, its edges packed; 1: an edge (key) of an anchor with many; 2: a piece that repeats.
+MEETING = "kind int,key long,doc_id long,rid long,edges binary,places binary,first int,last int,source long,source_first int"
+
+
+class _Heads:
+    """Edges in the order of edge, doc_id, rid, place, batch after batch: only the first row of the last edge is remembered."""
+
+    def __init__(self) -> None:
+        self.last: tuple | None = None
+
+    def take(self, edge: np.ndarray, doc: np.ndarray, rid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Which edges a document with a smaller id has, and the pieces that they make up."""
+        goes_on = self.last is not None and self.last[0] == edge[0]
+        new = np.r_[not goes_on, edge[1:] != edge[:-1]]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        before = self.last[1:] if goes_on else (0, 0, 0)
+        first = [np.where(head < 0, h, x[head]) for h, x in zip(before, (doc, rid, at), strict=True)]
+        later = doc > first[0]
+        self.last = (edge[-1], *(x[-1] for x in first))
+        return later, _join_pieces(rid[later], at[later], at[later], first[1][later], first[2][later])
+
+
+def _ordered(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns in the order of the first, then the second, ..."""
+    order = np.lexsort(columns[::-1])
+    return tuple(c[order] for c in columns)
+
+
 def _branches(keyed: DataFrame, copies: DataFrame) -> DataFrame:
     """rid, first, last, source, source_first: edges of branching paths that an earlier document has as well.
 
-    An anchor with very many paths is dealt out by its edges' hashes, about PATHS paths to a part.
+    Anchors of up to PATHS paths are compared whole.  Of an anchor with more, edges travel by themselves: those that an earlier
+    document of the same batch has are settled before they do, and the others stream past their first row in order, so
+    that no task holds an edge's rows, however many documents have it.
     """
-    many = copies.groupBy("key").count().filter(F.col("count") > PATHS).select("key", F.ceil(F.col("count") / PATHS).cast("int").alias("parts"))
-    dealt = copies.join(stage(many, "large-anchors"), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    asked = dealt.groupBy("rid").agg(F.collect_set(F.struct("key", "parts", "first", "last")).alias("asked"))
+    many = copies.groupBy("key").count().filter(F.col("count") > PATHS).select("key", F.lit(True).alias("large"))
+    dealt = copies.join(stage(many, "large-anchors"), "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    asked = dealt.groupBy("rid").agg(F.collect_set(F.struct("key", "large", "first", "last")).alias("asked"))
     rids = stage(asked.select("rid"), "branching-documents")
-    schema = "key long,part int,doc_id long,rid long,edges binary,places binary"
-
-    def cut(batch: pa.RecordBatch) -> dict:
-        doc_id, rid, lists = batch.column("doc_id").to_numpy(), batch.column("rid").to_numpy(), batch.column("asked")
-        flat, upto = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        key, parts, first, last = (flat.field(c).to_numpy() for c in ("key", "parts", "first", "last"))
-        made = []
-        for i, some in _chunks(batch.column("text")):
-            h, offsets = word_hashes(some)
-            edges, j = _runs(h, WINDOW), i + len(some)
-            a, b = upto[i], upto[j]
-            own = np.repeat(np.arange(j - i), np.diff(upto[i : j + 1]))
-            sizes = last[a:b] - first[a:b] + 1
-            place = _ragged(first[a:b].astype(np.int64), sizes)
-            edge = edges[place + np.repeat(offsets[own], sizes)]
-            row = np.repeat(np.arange(b - a), sizes)
-            part = (edge % parts[a:b][row].astype(np.uint64)).astype(np.int32)
-            if (parts[a:b] > 1).any():
-                order = np.lexsort((place, part, row))
-                edge, place, row, part = edge[order], place[order], row[order], part[order]
-            begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(row) else np.zeros(0, np.int64)
-            sizes, at = np.diff(np.r_[begins, len(row)]), row[begins]
-            made.append((key[a:b][at], part[begins], doc_id[own[at] + i], rid[own[at] + i], _binary(edge, sizes), _binary(place.astype(np.int32), sizes)))
-        columns = zip(*made, strict=True)
-        return {n: pa.concat_arrays(list(c)) if isinstance(c[0], pa.Array) else np.concatenate(c) for n, c in zip((x.split()[0] for x in schema.split(",")), columns, strict=True)}
-
     texts = _texts(keyed.filter("doc_id is not null"), rids).dropDuplicates(["rid"])
-    pieces = map_arrow(texts.join(asked, "rid").select("doc_id", "rid", "text", "asked"), cut, schema)
-
-    def compare(table: pa.Table) -> Iterator[dict]:
-        table = table.combine_chunks()
-        raw = table.column("edges").to_pylist()
-        n = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
-        edge, at = np.frombuffer(b"".join(raw), np.uint64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
-        doc, rid = (np.repeat(table.column(c).to_numpy(), n) for c in ("doc_id", "rid"))
-        order = np.lexsort((at, rid, doc, edge))
-        edge, doc, rid, at = edge[order], doc[order], rid[order], at[order]
-        new = np.r_[True, edge[1:] != edge[:-1]]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        hit = np.flatnonzero(doc > doc[head])
-        if len(hit):
-            yield dict(zip(PLACES, _join_pieces(rid[hit], at[hit], at[hit], rid[head][hit], at[head][hit]), strict=True))
+    cut = map_arrow(texts.join(asked, "rid").select("doc_id", "rid", "text", "asked"), _cut, MEETING)
+    return _met(cut)
+
+
+def _cut(batch: pa.RecordBatch) -> dict:
+    """The edges that a batch of documents is asked for."""
+    doc_id, rid, lists = batch.column("doc_id").to_numpy(), batch.column("rid").to_numpy(), batch.column("asked")
+    flat, upto = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    key, large, first, last = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "large", "first", "last"))
+    packed, single = [], []
+    for i, some in _chunks(batch.column("text")):
+        h, offsets = word_hashes(some)
+        edges, j = _runs(h, WINDOW), i + len(some)
+        a, b = upto[i], upto[j]
+        own = np.repeat(np.arange(i, j), np.diff(upto[i : j + 1]))
+        sizes = last[a:b] - first[a:b] + 1
+        place, row = _ragged(first[a:b].astype(np.int64), sizes), np.repeat(np.arange(b - a), sizes)
+        edge, alone = edges[place + offsets[own[row] - i]], large[a:b][row]
+        single.append((edge[alone], doc_id[own[row[alone]]], rid[own[row[alone]]], place[alone]))
+        edge, place, row = edge[~alone], place[~alone], row[~alone]
+        begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        sizes, at = np.diff(np.r_[begins, len(row)]), row[begins]
+        packed.append((key[a:b][at], doc_id[own[at]], rid[own[at]], _binary(edge, sizes), _binary(place.astype(np.int32), sizes)))
+    keys, docs, rids, edges, places = (list(c) for c in zip(*packed, strict=True))
+    edge, doc, own_rid, at = _ordered(*(np.concatenate(c) for c in zip(*single, strict=True)))
+    later, pieces = _Heads().take(edge, doc, own_rid, at) if len(edge) else (np.zeros(0, bool), (at,) * 5)
+    edge, doc, own_rid, at = (c[~later] for c in (edge, doc, own_rid, at))
+    counts = [sum(map(len, keys)), len(edge), len(pieces[0])]
+    zeros = [np.zeros(n, np.int64) for n in counts]
+    nulls = pa.nulls(counts[1] + counts[2], pa.binary())
+    columns = {
+        "key": (*keys, edge.view(np.int64), pieces[0]), "doc_id": (*docs, doc, zeros[2]), "rid": (*rids, own_rid, pieces[0]), "first": (zeros[0], at, pieces[1]),
+        "last": (zeros[0], at, pieces[2]), "source": (zeros[0], zeros[1], pieces[3]), "source_first": (zeros[0], zeros[1], pieces[4]),
+    }
+    made = {n: np.concatenate(c) for n, c in columns.items()}
+    return made | {"kind": np.repeat(np.arange(3), counts), "edges": pa.concat_arrays([*edges, nulls]), "places": pa.concat_arrays([*places, nulls])}
+
+
+def _together(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Pieces of whole anchors' packed paths.  Equal edges have equal anchors, so that several anchors may be compared at once."""
+    raw = table.column("edges").to_pylist()
+    n = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+    edge, at = np.frombuffer(b"".join(raw), np.uint64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
+    doc, rid = (np.repeat(table.column(c).to_numpy(), n) for c in ("doc_id", "rid"))
+    return _Heads().take(*_ordered(edge, doc, rid, at))[1]
+
+
+def _met(cut: DataFrame) -> DataFrame:
+    """Rows of _cut brought together: pieces of documents that an earlier document has."""
+    schema = "rid long,first int,last int,source long,source_first int"
+    target = arrow_schema(schema)
+    spread = cut.repartition(partitions(cut), "key").sortWithinPartitions("kind", "key", "doc_id", "rid", "first")
+
+    def made(pieces: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        if len(pieces[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(pieces, target, strict=True)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        heads, rest = _Heads(), None
+        for batch in batches:
+            a, b = np.searchsorted(batch.column("kind").to_numpy(), [1, 2]).tolist()
+            if a:
+                rest = pa.concat_tables([*([rest] if rest is not None else []), pa.Table.from_batches([batch.slice(0, a)])])
+                key = rest.column("key").to_numpy()
+                whole = rest.num_rows if a < batch.num_rows else int(np.searchsorted(key, key[-1]))  # the last anchor may go on
+                if whole:
+                    yield from made(_together(rest.slice(0, whole)))
+                rest = rest.slice(whole) if whole < rest.num_rows else None
+            elif rest is not None:
+                yield from made(_together(rest))
+                rest = None
+            if b > a:
+                some = batch.slice(a, b - a)
+                yield from made(heads.take(*(some.column(c).to_numpy() for c in ("key", "doc_id", "rid", "first")))[1])
+            if b < batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(n).slice(b) for n in PLACES], schema=target)
+        if rest is not None:
+            yield from made(_together(rest))
+        trim()
 
-    # Equal edges have equal anchors, so that whole groups may be compared with each other as well.
-    return grouped(pieces, ["key", "part"], compare, "rid long,first int,last int,source long,source_first int", apart=False)
+    return spread.mapInArrow(run, schema)
 
 
 PLACES = ["rid", "first", "last", "source", "source_first"]

@@ -427,6 +427,23 @@ def test_repeated_rows_and_long_texts(spark, monkeypatch):
         assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == want
 
 
+def test_edges_of_very_many_documents(spark, monkeypatch):
+    """Edges that thousands of documents have travel once for each batch, not once for each document."""
+    rng, largest, met = random.Random(4), {}, debruijn._met
+    shared = words(rng, 14).split()
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(15)] + shared + [f"b{i}x{j}" for j in range(15)])) for i in range(4000)]
+
+    def watched(cut):
+        for r in cut.filter("kind < 2").groupBy("kind", "key").count().groupBy("kind").max("count").collect():
+            largest[r["kind"]] = r[1]
+        return met(cut)
+
+    monkeypatch.setattr(debruijn, "_met", watched)
+    got = debruijn.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 14 if i else 0 for i, _ in rows}
+    assert largest[1] <= 40 and largest.get(0, 0) <= debruijn.PATHS
+
+
 def test_compacted_in_pieces(spark, monkeypatch):
     """A path that is alone before a cut still has its first document's places compared, and no others."""
     paths = [(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (2, 6), (3, 2), (3, 7), (3, 8)]
