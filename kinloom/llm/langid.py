@@ -91,20 +91,26 @@ class Profiles:
         return self.names[best], float(1 - cost[best] / (self.size * len(top)))
 
 
+def _drawn(rows: DataFrame, per_language: int) -> DataFrame:
+    """text and lang of about per_language rows (text, lang, id) of each language, each different row once."""
+    # A row for each language.
+    share = {r["lang"]: per_language / r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not share:
+        return rows.select("text", "lang")
+    least = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
+    draw = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / F.lit(float(1 << 53))
+    return rows.filter(draw < least[F.col("lang")]).dropDuplicates().select("text", "lang")
+
+
 def fit_profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000, size: int = PROFILE) -> Profiles:
-    """Profiles from about per_language texts of each language, those with the smallest hashes of their ids.
+    """Profiles from about per_language texts of each language, those with the smallest hashes of id and text.
 
-    per_language bounds what is learnt from (a mean, not a hard limit); a language with fewer texts gives all of them.
+    per_language bounds what is learnt from (a mean, not a hard limit); a language with fewer texts gives all of them, and
+    rows that are equal teach once.  Languages have to be few: their profiles are held by the driver and every task.
     Rows whose language or text is null teach nothing.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).filter("lang is not null and text is not null")
-    n = rows.groupBy("lang").count()
-    # A row for each language, and for each language and n-gram of the bounded sample.
-    share = {r["lang"]: per_language / r["count"] for r in n.collect()}
-    if not share:
-        return Profiles({}, size)
-    least = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    drawn = (F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))) < least[F.col("lang")]
+    drawn = _drawn(rows, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
@@ -117,7 +123,7 @@ def fit_profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
             grams = np.fromiter(own, np.uint64, len(own)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(grams), pa.array(list(own.values()), type=pa.int64())], schema=arrow_schema("lang string,gram long,n long"))
 
-    counted = rows.filter(drawn).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Each language's best of eight parts first, so that no task ranks a whole language.
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(8))).orderBy(F.desc("n"), "gram")
     best = counted.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= size).drop("r")

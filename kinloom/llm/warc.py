@@ -2,6 +2,9 @@
 
 Both derivatives refer to the response by its record id (WARC-Refers-To), keep its target URI and date, and carry digests of
 their own block; the metadata record lists the response's HTTP headers and digests, and names the conversion record.
+
+Bodies are read as their headers say: chunks are joined, gzip and deflate are inflated.  HTML becomes its visible text, other text
+stays as it is; what isn't text, or is coded in another way, has a metadata record alone, which says why.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,7 +68,10 @@ def get(headers: list[tuple[str, str]], name: str) -> str | None:
 
 
 def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of every record in data; ValueError where data is no WARC."""
+    """Headers and block of every record in data, plain or in gzip members; ValueError where data is no WARC."""
+    if data[:2] == GZIP:
+        yield from (r for member in _members(data) for r in parse(member))
+        return
     at = 0
     while at < len(data):
         end = data.find(CRLF * 2, at)
@@ -82,6 +89,34 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             at += 2
 
 
+GZIP = b"\x1f\x8b"
+
+
+def _member(data: bytes, at: int, wbits: int) -> tuple[bytes, int, bool]:
+    """What the deflated stream at a place gives, as far as it goes, where it ends, and whether it is whole."""
+    out, stream = [], zlib.decompressobj(wbits=wbits)
+    while at < len(data):
+        piece = data[at : at + (1 << 16)]
+        at += len(piece)
+        try:
+            out.append(stream.decompress(piece))
+        except zlib.error:
+            break
+        if stream.eof:
+            return b"".join(out), at - len(stream.unused_data), True
+    return b"".join(out), at, False
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of data, inflated; ValueError where one is broken or cut short."""
+    at = 0
+    while at < len(data):
+        member, at, whole = _member(data, at, 31)
+        if not whole:
+            raise ValueError("a gzip member that is broken or cut short")
+        yield member
+
+
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload of an HTTP response."""
     head, _, payload = block.partition(CRLF * 2)
@@ -89,6 +124,79 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0].decode("utf-8", "replace"), _fields(lines[1:]), payload
 
 
+def _joined_chunks(payload: bytes) -> bytes:
+    """The body of chunked payload, as far as it goes; payload itself where it isn't chunked, as archives also keep joined bodies."""
+    out, at = [], 0
+    while m := _CHUNK.match(payload, at):
+        n = int(m[1], 16)
+        out.append(payload[m.end() : m.end() + n])
+        at = m.end() + n
+        if not n or at >= len(payload):
+            return b"".join(out)
+        at += 2 * (payload[at : at + 2] == CRLF)
+    return b"".join(out) if out else payload
+
+
+def _inflated(data: bytes, wbits: int) -> bytes:
+    """What data inflates to, as far as it goes; gzip (31) may have several members."""
+    out, at, whole = [], 0, True
+    while whole and (not at or wbits == 31 and data[at : at + 2] == GZIP):
+        member, at, whole = _member(data, at, wbits)
+        out.append(member)
+    return b"".join(out)
+
+
+def _tokens(fields: list[tuple[str, str]], name: str) -> list[str]:
+    return [t.strip().lower() for k, v in fields if k.lower() == name for t in v.split(",") if t.strip()]
+
+
+def body(fields: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str | None]:
+    """An HTTP response's body without its transfer and content codings, and the coding that can't be undone, if there is one.
+
+    Codings that the bytes don't have, as where an archive undid them and kept the header, are passed over.
+    """
+    codings = [*_tokens(fields, "content-encoding"), *_tokens(fields, "transfer-encoding")]
+    for coding in reversed(codings):
+        if coding == "chunked":
+            payload = _joined_chunks(payload)
+        elif coding in ("gzip", "x-gzip"):
+            payload = _inflated(payload, 31) if payload[:2] == GZIP else payload
+        elif coding == "deflate":
+            zlib_head = len(payload) > 1 and payload[0] & 15 == 8 and (payload[0] << 8 | payload[1]) % 31 == 0
+            payload = _inflated(payload, 15 if zlib_head else -15) or payload
+        elif coding != "identity":
+            return payload, coding
+    return payload, None
+
+
+def _text_of(fields: list[tuple[str, str]], payload: bytes) -> tuple[str | None, str]:
+    """The text of a response's payload, or None and the reason why it has none."""
+    data, coding = body(fields, payload)
+    if coding:
+        return None, f"content coding {coding}"
+    stated = get(fields, "Content-Type") or ""
+    kind = stated.split(";")[0].strip().lower()
+    if not kind:  # unstated: markup, text without zero bytes, or neither
+        kind = "text/html" if data.lstrip()[:1] in (b"<", b"") else "application/octet-stream" if b"\0" in data else "text/plain"
+    page = kind in _PAGES
+    if not page and not kind.startswith("text/"):
+        return None, f"content type {kind}"
+    mark = next((c for m, c in _MARKS if data.startswith(m)), None)
+    named = re.search(r"charset=[\"']?([\w.:-]+)", stated, re.I) or (_META.search(data[:1024].decode("latin-1")) if page else None)
+    try:
+        text = data.decode(mark or (named[1] if named else "utf-8"), "replace")
+    except (LookupError, UnicodeError):  # an unknown name, or one of no character set
+        text = data.decode("utf-8", "replace")
+    return (plain_text(text) if page else text), ""
+
+
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+_PAGES = frozenset(("text/html", "application/xhtml+xml"))
+_META = re.compile(r"<meta\b[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+#: Byte order marks and their character sets (fixed values).
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
 def plain_text(page: str) -> str:
     """A page's visible text: its title, then a line for each block element; white space run together, entities resolved.
 
@@ -165,27 +273,27 @@ def response(url: str | None, page: str | None, *, key: object, date: str) -> by
 def derivatives(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The metadata and the conversion record of a response, without Content-Length; none for another record.
 
-    A payload digest that doesn't fit the payload is reported in the metadata record (payload-digest-valid: false).
+    A response without text has no conversion record.  A payload digest that fits neither the payload nor its joined chunks is
+    reported in the metadata record (payload-digest-valid: false).
     """
     if get(headers, "WARC-Type") != "response":
         return []
     status, fields, payload = http_parts(block)
     source, target, date = (get(headers, k) or "" for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
-    charset = re.search(r"charset=\"?([\w-]+)", get(fields, "Content-Type") or "")
-    try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
-    text = plain_text(page).encode("utf-8", "surrogatepass")
+    found, reason = _text_of(fields, payload)
+    text = None if found is None else found.encode("utf-8", "surrogatepass")
     own, other = record_id("conversion", source), record_id("metadata", source)
     stated = get(headers, "WARC-Payload-Digest")
+    valid = stated is None or stated == digest(payload) or "chunked" in _tokens(fields, "transfer-encoding") and stated == digest(_joined_chunks(payload))
     lines = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in fields)]
     lines += [(f"source-{k.lower()}", v) for k in ("WARC-Block-Digest", "WARC-Payload-Digest", "Content-Type") if (v := get(headers, k))]
-    lines += [("payload-digest-valid", str(stated is None or stated == digest(payload)).lower()), ("conversion-record", own), ("conversion-digest", digest(text))]
+    lines += [("payload-digest-valid", str(valid).lower())]
+    lines += [("conversion-none", reason)] if text is None else [("conversion-record", own), ("conversion-digest", digest(text))]
     meta = b"".join(f"{k}: {v}".encode() + CRLF for k, v in lines)
     made = []
     for kind, rid, what, data in (("metadata", other, "application/warc-fields", meta), ("conversion", own, "text/plain; charset=utf-8", text)):
-        made.append(([("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Refers-To", source), ("Content-Type", what), ("WARC-Block-Digest", digest(data))], data))
+        if data is not None:
+            made.append(([("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Refers-To", source), ("Content-Type", what), ("WARC-Block-Digest", digest(data))], data))
     return made
 
 
@@ -193,7 +301,9 @@ ROWS = "page_id long,warc_type string,record_id string,refers_to string,target_u
 
 
 def derive(responses: DataFrame, *, id_col: str = "page_id", warc_col: str = "warc") -> DataFrame:
-    """Two rows for each response record in a column of WARC bytes: one ``metadata``, one ``conversion``.
+    """Two rows for each response record in a column of WARC bytes (plain, or gzip members): one ``metadata``, one ``conversion``.
+
+    A response without text, or of a content coding other than gzip and deflate, has the first alone.
 
     Other records, null bytes and broken records give no rows; what stands before a broken record is kept.  Equal rows give equal
     record ids.  record_sha256 is of the whole derived record as it is written.

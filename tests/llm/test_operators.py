@@ -1,5 +1,6 @@
 """The ten operators and the pipeline on small tables: brute force, round trips, held-out accuracy, edge cases."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -480,6 +481,48 @@ def test_warc(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_codings_and_types(spark):
+    """Chunks, gzip and deflate are undone; what isn't text has no conversion; gzip members read as plain records do."""
+    page, chunked = "<p>hello</p> ä".encode(), lambda b: b"".join(b"%x;x=1\r\n%s\r\n" % (len(b[i : i + 5]), b[i : i + 5]) for i in range(0, len(b), 5)) + b"0\r\n\r\n"
+    squeezed, raw = gzip.compress(page), zlib.compressobj(wbits=-15)
+    html_, plain = ("Content-Type", "text/html; charset=utf-8"), ("Content-Type", "text/plain")
+    cases = [
+        ([html_], page, "hello\nä"), ([html_, ("Transfer-Encoding", "chunked")], chunked(page), "hello\nä"), ([html_, ("content-encoding", "GZIP")], squeezed, "hello\nä"),
+        ([html_, ("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")], chunked(squeezed), "hello\nä"), ([html_, ("Content-Encoding", "deflate")], zlib.compress(page), "hello\nä"),
+        ([html_, ("Content-Encoding", "deflate")], raw.compress(page) + raw.flush(), "hello\nä"), ([html_, ("Content-Encoding", "gzip")], squeezed + squeezed, "hello\nä\nhello\nä"),
+        ([html_, ("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")], page, "hello\nä"), ([html_, ("Content-Encoding", "gzip")], gzip.compress(page * 9999)[:-9], None),
+        ([plain], b"if a<b and c>d then x", "if a<b and c>d then x"), ([("Content-Type", "image/png")], b"\x89PNG\0\xff", ""), ([html_, ("Content-Encoding", "br")], b"zz", ""),
+        ([], b" <b>x</b>", "x"), ([], b"a < b", "a < b"), ([], b"\0\1", ""), ([("Content-Type", "text/html")], '<meta charset="latin-1">\xe4'.encode("latin-1"), "ä"),
+        ([plain], "\ufeffä".encode("utf-16-le"), "ä"), ([("Content-Type", "text/plain; charset=nope")], "ä".encode(), "ä"), ([("Content-Type", "text/html; charset=base64")], b"<p>x", "x"), ([html_], b"", ""),
+    ]
+    records = []
+    for i, (fields, payload, want) in enumerate(cases):
+        block = b"\r\n".join([b"HTTP/1.1 200 OK", *(f"{k}: {v}".encode() for k, v in fields)]) + b"\r\n\r\n" + payload
+        headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>"), ("WARC-Payload-Digest", warc.digest(payload))]
+        records.append(warc.record(headers, block))
+        made = warc.derivatives(headers, block)
+        lines = made[0][1].decode()
+        assert "payload-digest-valid: true" in lines
+        if want == "" and payload:
+            assert len(made) == 1 and "conversion-none: content" in lines and "conversion-record" not in lines, i
+        elif want is None:  # cut short: what there is
+            assert made[1][1].startswith("hello\nä\nhello".encode())
+        else:
+            assert made[1][1].decode() == want and f"conversion-digest: {warc.digest(want.encode())}" in lines, i
+    joined = [("WARC-Type", "response"), ("WARC-Payload-Digest", warc.digest(page))]
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(page)
+    assert b"payload-digest-valid: true" in warc.derivatives(joined, block)[0][1]
+    assert b"payload-digest-valid: false" in warc.derivatives([joined[0], ("WARC-Payload-Digest", "sha1:X")], block)[0][1]
+    whole, members = b"".join(records), b"".join(map(gzip.compress, records))
+    want = list(warc.parse(whole))
+    assert len(want) == len(cases) and list(warc.parse(members)) == list(warc.parse(gzip.compress(whole))) == want
+    table = spark.createDataFrame([(1, bytearray(whole), "k"), (2, bytearray(members), "k"), (3, bytearray(members[:-4]), "k"), (4, bytearray(b"\x1f\x8bjunk"), "k")], "page_id long, warc binary, record_id string")
+    got = Counter()
+    for r in warc.derive(table).collect():
+        got[r["page_id"], r["warc_type"]] += 1
+    assert got[1, "metadata"] == got[2, "metadata"] == len(cases) and got[1, "conversion"] == got[2, "conversion"] == len(cases) - 3 and got[3, "metadata"] == len(cases) - 1 and not got[4, "metadata"]
+
+
 def test_warc_without_end_tags():
     """A head, svg, noscript or template without an end tag does not take the rest of the page with it."""
     for page, want in (

@@ -151,6 +151,15 @@ def top(counts, size):
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))[:size]]
 
 
+def test_language_sample_is_bounded(spark):
+    """Rows without an id are drawn like others, and equal rows teach once, however many they are."""
+    df = spark.range(15_000).selectExpr("case when id >= 5000 then id end as id", "case when id < 10000 then concat('text ', id) else 'same' end as text", "'aa' as lang")
+    for rows, most in ((df.filter("id is null"), 140), (df.filter("id < 10000"), 140), (df.filter("text = 'same'"), 140), (df.filter("text = 'same'").withColumn("id", df["id"] * 0), 1)):
+        assert langid._drawn(rows, 100).count() <= most
+    assert langid._drawn(df.filter("id is null"), 100).count() >= 60 and langid._drawn(df, 20_000).count() == 15_000
+    assert langid._drawn(df.limit(0), 5).count() == 0
+
+
 def test_language_id_equals_plain(spark):
     """The query's rows, held against rank lists of dictionaries: very long texts, equal distances, repeated rows, far letters."""
     rng = random.Random(3)
@@ -162,7 +171,7 @@ def test_language_id_equals_plain(spark):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
     learnt = {lang: Counter() for lang in alphabet}
     for i, text, lang in rows:
-        # a null id is in no sample, as samples are drawn by the hash of the id
+        # all rows are learnt from, as there are fewer than per_language
         if lang and text is not None and not held(i):
             learnt[lang].update(plain_grams(text))
     profiles = {lang: {g: r for r, g in enumerate(top(c, 40))} for lang, c in learnt.items()}
