@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom import metrics
-from kinloom.export import household_report, pair_report
+from kinloom.export import household_report, pair_report, pair_sheets, write_csv, write_sheets
 from kinloom.functions import normalize, phonetic, similarity
 from kinloom.generate import FIRST, LAST, MIDDLE, pick
 from kinloom.operators import blocking, household, matching, partition, setops
@@ -720,3 +720,35 @@ def bench_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_regionkey").distinct()
     stats = metrics.run_statistics(runs.select((F.col("n_regionkey") * 2 + 12).cast("double").alias("seconds"), F.lit(100).alias("records")))
     return stats.withColumns({c: F.round(c, 6) for c in ("std_seconds", "mean_rps")})
+
+
+# ---- sinks, read back ----
+
+
+def _csv_back(report: DataFrame, folder: str) -> DataFrame:
+    """A folder of CSV files by the schema it was written with; empty strings come back as such."""
+    back = report.sparkSession.read.schema(report.schema).option("header", True).csv(folder)
+    return back.select(*[F.coalesce(n, F.lit("")).alias(n) if t == "string" else F.col(n) for n, t in back.dtypes])
+
+
+@_query(ORACLE_SQL["export_pairs"])
+def csv_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, folder = export_pairs(spark, sf_dir), work_folder(spark, "csv")
+    write_csv(report, folder)
+    return _csv_back(report, folder)
+
+
+@_query(f"""SELECT * REPLACE (replace("MatchedFields", ',', ';') AS "MatchedFields") FROM ({ORACLE_SQL["export_pairs_with_middle"]})""")
+def sheets_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workbook of both exact results as a folder of sheets, of which the second is read."""
+    a, b = persons(spark, sf_dir)
+    one, two, folder = match(a, b, Algorithm.FIRST_LAST_DOB), match(a, b, Algorithm.FIRST_MID_LAST_DOB), work_folder(spark, "sheets")
+    write_sheets(pair_sheets(one, two, setops.summary(setops.match_counts(a, b, one, two))), folder, format="parquet")
+    return spark.read.parquet(f"{folder}/Algorithm_2_Results")
+
+
+@_query(ORACLE_SQL["export_households"])
+def household_sheet_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, folder = export_households(spark, sf_dir), work_folder(spark, "sheets")
+    write_sheets({"Household_Matches": report}, folder)
+    return _csv_back(report, f"{folder}/Household_Matches")
