@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.generate import dirty_dataset
-from kinloom.operators import household, matching
+from kinloom.operators import blocking, household, matching
 from kinloom.schema import PERSON
 
 
@@ -45,3 +45,30 @@ def test_a_household_without_id_is_no_ones_match(spark):
     b = spark.sql(f"select * from values (11L, null, 'Ann', null, 'Lee', {d}, 'h1'), (12L, null, 'Bob', null, 'Ray', {d}, null)").toDF(*[f.name for f in PERSON])
     for run in (household.household_t1, household.household_t2):
         assert [tuple(r) for r in run(a, b, keys=True).collect()] == [tuple(r) for r in run(a, b, pairs=matching.fuzzy_no_middle(a, b, heavy=None)).collect()]
+
+
+def person_pairs(a, b, candidates, middle):
+    """Blocked pairs of persons, compared one by one."""
+    from kinloom.operators import rules
+    from kinloom.operators.prepared import scored_names
+
+    one, two = (blocking.block_columns(scored_names(t, middle=middle)) for t in (a, b))
+    return rules.classify(candidates(one, two), middle=middle)
+
+
+@pytest.mark.parametrize("middle", [False, True])
+def test_blocked_classes_are_compared_once(spark, tables, middle):
+    a, b = tables
+    linked = blocking.linked_blocked(a, b, middle=middle)
+    want = person_pairs(a, b, lambda x, y: blocking.blocked_candidates(x, y, same_birthdate=True), middle)
+    assert rows_of(matching._fuzzy(linked.pairs(), 0.0)) == rows_of(matching._fuzzy(want, 0.0))
+    assert linked.links.count() * 100 < want.count()
+
+
+def test_neighbour_years_by_classes(spark, tables):
+    a, b = tables
+    want = person_pairs(a, b, blocking.neighbour_year_candidates, False)
+    got = blocking.fuzzy_birthdate(a, b)
+    assert sorted(map(tuple, got.select("a_id", "b_id").collect())) == sorted(map(tuple, want.select("a_id", "b_id").collect()))
+    assert "ArrowEvalPython [_jaro_winkler_pct" in (plan := got._jdf.queryExecution().executedPlan().toString())
+    assert plan.index("Join") < plan.index("ArrowEvalPython [_jaro_winkler_pct")  # persons get the matches of their classes afterwards
