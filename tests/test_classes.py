@@ -7,6 +7,7 @@ from kinloom import export
 from kinloom.generate import dirty_dataset
 from kinloom.operators import matching
 from kinloom.operators.partition import BirthYears
+from kinloom.plans import engine
 from kinloom.plans.algorithms import MatchOptions, match, match_classes
 from kinloom.schema import PERSON
 from kinloom.streaming import households
@@ -111,3 +112,43 @@ def test_a_page_ends_where_its_rows_do(spark):
                 assert stream.page_end(table, after, page) == (left[min(page, len(left)) - 1] if left else None)
     finally:
         stream.ORDERED = ordered
+
+
+class _Native:
+    def score(self):
+        return F.when(F.coalesce("a_last_name", F.lit("?")) == F.coalesce("b_last_name", F.lit("?")), 50.0)
+
+    def explanation(self):
+        return F.lit("same")
+
+
+def matchers():
+    """The same three times; local, so that tasks get the classes themselves."""
+
+    class Pairs:
+        def compare(self, a, b):
+            return (50.0, "same") if (a["last_name"] or "?") == (b["last_name"] or "?") else None
+
+    class Groups:
+        seen = []
+
+        def compare_groups(self, a, b):
+            one, two = ([x or "?" for x in t.column("last_name").to_pylist()] for t in (a, b))
+            hits = [(i, j) for i, x in enumerate(one) for j, y in enumerate(two) if x == y]
+            return [i for i, _ in hits], [j for _, j in hits], [50.0] * len(hits), ["same"] * len(hits)
+
+    return [_Native(), Pairs(), Groups()]
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_matchers_that_tell_their_columns_compare_values_once(spark, tables, kind):
+    none = lambda t: t.withColumn("last_name", F.when(F.col("id") % 5 > 0, F.col("last_name")))
+    a, b = map(none, tables)
+    plain, told = matchers()[kind], matchers()[kind]
+    told.columns = ("last_name",)
+    by_year = lambda p: [F.year(f"{p}_birthdate")]
+    for key in (["birthdate"], by_year):
+        got, want = (engine.keyed_join(a, b, key, m) for m in (told, plain))
+        assert got.columns == want.columns and rows_of(got) == rows_of(want) != []
+    plan = engine.keyed_join(a, b, ["birthdate"], told)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") + plan.count("FlatMapCoGroups") >= 3 and plan.count("Aggregate [") >= 2  # the values, then their rows
