@@ -113,3 +113,29 @@ def test_default_birthdates_show_what_their_names_tell(spark):
     parts = plan.split("\n+- ")
     assert len(parts) == 2  # persons of light birthdates, and of the others by their names
     assert not [r for r in RENDERING if r in parts[1][: parts[1].index("Join")]]
+
+
+def test_last_initials_are_compared_once(tables):
+    from kinloom.plans import catalog
+
+    want = catalog._pairs_out(matching.fuzzy_no_middle(*tables, last_initial=True, heavy=None))
+    plain, by_names = matching.fuzzy_parts(*tables, middle=False, last_initial=True, heavy=1)
+    got = catalog._fuzzy_out((plain, by_names))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert by_names.pairs().filter("a_s_initial <> b_s_initial").isEmpty()
+    assert "s_initial" in by_names.by  # pairs need no comparison
+
+
+def test_fuzzy_reports_show_what_their_links_tell(spark):
+    from kinloom.plans import catalog
+
+    for query in (catalog.export_fuzzy_pairs, catalog.export_fuzzy_pairs_no_middle):
+        assert not [r for r in RENDERING if r in above_the_last_join(query(spark, "/root/testdata/sf0.001"))]
+
+
+def test_reclassified_pairs_show_what_their_links_tell(spark, tables):
+    from kinloom.plans import catalog
+
+    got = catalog._linked_out(blocking.linked_reclassified(*tables))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog._pairs_out(blocking.fuzzy_blocked_reclassified(*tables)).collect()))
+    assert not [r for r in RENDERING if r in above_the_last_join(catalog.fuzzy_blocked_reclassified(spark, "/root/testdata/sf0.001"))]
