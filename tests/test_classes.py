@@ -152,3 +152,13 @@ def test_matchers_that_tell_their_columns_compare_values_once(spark, tables, kin
         assert got.columns == want.columns and rows_of(got) == rows_of(want) != []
     plan = engine.keyed_join(a, b, ["birthdate"], told)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") + plan.count("FlatMapCoGroups") >= 3 and plan.count("Aggregate [") >= 2  # the values, then their rows
+
+
+@pytest.mark.parametrize("algorithm", [1, 2])
+def test_sheets_of_classes_have_every_pair(spark, tables, tmp_path, algorithm):
+    a, b = tables
+    want = export.pair_report(match(a, b, algorithm), algorithm, separator=";")
+    back = export.write_sheet_classes(export.linked_report(match_classes(a, b, algorithm), algorithm), f"file://{tmp_path}/sheet")
+    assert rows_of(export.report_pairs(back, algorithm, separator=";")) == rows_of(want)
+    files = [spark.read.parquet(f"file://{tmp_path}/sheet/{n}").count() for n in ("first", "second")]
+    assert files[0] <= a.count() and files[1] <= b.count() and sum(files) < want.count()
